@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import chat, line_dedup, mixing, quality
+from marlstone.llm import chat, line_dedup, mixing, ngram_join, packing, quality
 
+#: The vocabulary that packing counts tokens in; a parameter of the operator.
+VOCABULARY = "word_bpe_49k.json"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -16,6 +18,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_join.similar_groups(read(spark, sf_dir, "documents"))
+    return out.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.remove_lines(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", "text", "n_lines", "n_removed")
@@ -49,7 +62,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op4_line_dedup, op6_chat_format, op9_quality_rules, op10_mix_sources]
+    found = [op2_ngram_join, op3_retrieval_packing, op4_line_dedup, op6_chat_format, op9_quality_rules, op10_mix_sources]
     return {f.__name__: f for f in found}
 
 
