@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import chat, line_dedup, mixing, ngram_join, packing, quality
+from marlstone.llm import chat, html_extract, line_dedup, mixing, ngram_join, packing, quality
 
 #: The vocabulary that packing counts tokens in; a parameter of the operator.
 VOCABULARY = "word_bpe_49k.json"
@@ -51,6 +51,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract(read(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.measure(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_chars")
@@ -62,7 +67,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op2_ngram_join, op3_retrieval_packing, op4_line_dedup, op6_chat_format, op9_quality_rules, op10_mix_sources]
+    found = [op2_ngram_join, op3_retrieval_packing, op4_line_dedup, op6_chat_format, op8_html_extract, op9_quality_rules, op10_mix_sources]
     return {f.__name__: f for f in found}
 
 
