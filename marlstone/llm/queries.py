@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import chat, html_extract, line_dedup, mixing, ngram_join, packing, quality
+from marlstone.llm import chat, embedding_dedup, html_extract, line_dedup, mixing, ngram_join, packing, quality
 
 #: The vocabulary that packing counts tokens in; a parameter of the operator.
 VOCABULARY = "word_bpe_49k.json"
@@ -34,6 +34,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "text", "n_lines", "n_removed")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -67,7 +71,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op2_ngram_join, op3_retrieval_packing, op4_line_dedup, op6_chat_format, op8_html_extract, op9_quality_rules, op10_mix_sources]
+    found = [op2_ngram_join, op3_retrieval_packing, op4_line_dedup, op5_embedding_dedup, op6_chat_format, op8_html_extract, op9_quality_rules, op10_mix_sources]
     return {f.__name__: f for f in found}
 
 
