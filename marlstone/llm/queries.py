@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import chat, embedding_dedup, html_extract, line_dedup, mixing, ngram_join, packing, quality
+from marlstone.llm import chat, embedding_dedup, html_extract, line_dedup, mixing, ngram_join, packing, quality, toxicity
 
 #: The vocabulary that packing counts tokens in; a parameter of the operator.
 VOCABULARY = "word_bpe_49k.json"
@@ -55,6 +55,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels").withColumn("low_quality", 1 - F.col("quality"))
+    return toxicity.score(read(spark, sf_dir, "documents"), labels)
+
+
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_extract.extract(read(spark, sf_dir, "pages"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
@@ -71,7 +76,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op2_ngram_join, op3_retrieval_packing, op4_line_dedup, op5_embedding_dedup, op6_chat_format, op8_html_extract, op9_quality_rules, op10_mix_sources]
+    found = [op2_ngram_join, op3_retrieval_packing, op4_line_dedup, op5_embedding_dedup, op6_chat_format, op7_toxicity_chain, op8_html_extract, op9_quality_rules, op10_mix_sources]
     return {f.__name__: f for f in found}
 
 
