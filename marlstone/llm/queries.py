@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import chat, embedding_dedup, html_extract, line_dedup, mixing, ngram_join, packing, quality, toxicity
+from marlstone.llm import chat, embedding_dedup, html_extract, line_dedup, lm_scoring, mixing, ngram_join, packing, quality, toxicity
 
 #: The vocabulary that packing counts tokens in; a parameter of the operator.
 VOCABULARY = "word_bpe_49k.json"
@@ -18,6 +18,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(read(spark, sf_dir, "documents"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ngram_join.similar_groups(read(spark, sf_dir, "documents"))
     return out.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
@@ -76,7 +80,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op2_ngram_join, op3_retrieval_packing, op4_line_dedup, op5_embedding_dedup, op6_chat_format, op7_toxicity_chain, op8_html_extract, op9_quality_rules, op10_mix_sources]
+    found = [op1_lm_scoring, op2_ngram_join, op3_retrieval_packing, op4_line_dedup, op5_embedding_dedup, op6_chat_format, op7_toxicity_chain, op8_html_extract, op9_quality_rules, op10_mix_sources]
     return {f.__name__: f for f in found}
 
 

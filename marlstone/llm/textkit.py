@@ -23,6 +23,8 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LETTER = _LETTER[_LOWER]
+#: ASCII but for letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _powers = np.ones(1, dtype=np.uint64)
 
 
@@ -65,12 +67,15 @@ def pieces(batch: pa.RecordBatch, text: str, most: int = PIECE_BYTES) -> Iterato
         at = to
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word, and where each text's words begin (one more entry than texts)."""
+def words(texts: pa.Array, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word, and where each text's words begin (one more entry than texts).
+
+    gap: for each byte, whether it stands between words.
+    """
     data, offsets = buffers(texts)
     if not len(data):
         return np.zeros(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
-    solid = ~_SPACE[data]
+    solid = ~gap[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     cuts = offsets[:-1][offsets[:-1] < len(data)]

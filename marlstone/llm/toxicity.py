@@ -33,7 +33,7 @@ DENSE = 3
 
 def word_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashed words of each text, where each text's begin, and dense features of the texts."""
-    h, at = textkit.words(texts)
+    h, at = textkit.words(texts, textkit.PUNCTUATION)
     n = np.diff(at)
     owner = np.repeat(np.arange(len(n)), n)
     s, own_at = textkit.distinct_in(h >> np.uint64(64 - HASH_BITS), owner, len(n))
