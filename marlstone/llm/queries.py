@@ -84,5 +84,63 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in found}
 
 
+
+def quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+LINE_FAILS = f"""(NOT regexp_matches(s, {quoted(quality.LETTER_RE)}) OR length(regexp_replace(s, {quoted(quality.NOT_SYMBOLS)}, '', 'g')) * 10 > length(s)
+  OR (len(regexp_extract_all(s, {quoted(quality.WORD)})) < 3 AND NOT regexp_matches(s, {quoted(quality.TERMINAL_RE)})) OR regexp_matches(s, {quoted(quality.SEPARATORS_RE)})
+  OR (len(regexp_extract_all(s, {quoted(quality.WORD)})) <= {quality.NAVIGATION_WORDS} AND regexp_matches(s, {quoted(quality.NAVIGATION_RE)}) AND NOT regexp_matches(s, {quoted(quality.TERMINAL_RE)}))
+  OR regexp_matches(s, {quoted(quality.BOILERPLATE_RE)}))"""
+EDGES = rf"'^{quality.SPACE}+|{quality.SPACE}+$'"
+QUALITY = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+ w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{quality.SPACE}+'), lambda x: x <> '') AS ws FROM d),
+ tri AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+ twice AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+ rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+ ls AS (SELECT doc_id, pos, line, regexp_replace(line, {EDGES}, '', 'g') AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d)),
+ lj AS (SELECT doc_id, count(*) FILTER (s <> '') - count(DISTINCT line) FILTER (s <> '') AS dups,
+   sum(CASE WHEN s <> '' AND {LINE_FAILS} THEN 0 ELSE length(regexp_replace(line, '{quality.SPACE}+', '', 'g')) END)::BIGINT AS clean FROM ls GROUP BY doc_id),
+ m AS (SELECT w.doc_id, len(ws) AS n_words, length(regexp_replace(text, '{quality.SPACE}+', '', 'g')) AS word_chars, length(regexp_replace(text, {quoted(quality.NOT_SYMBOLS)}, '', 'g')) AS n_symbols,
+   lj.dups AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, lj.clean AS clean_chars FROM w JOIN lj USING (doc_id) LEFT JOIN rep USING (doc_id)),
+ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ((word_chars - clean_chars) * 100 > 50 * word_chars) AS kept, clean_chars FROM b"""
+
+LINES = rf"""
+WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+ t AS (SELECT *, regexp_replace(line, {EDGES}, '', 'g') AS s FROM l),
+ wide AS (SELECT s, min((doc_id, pos)) AS first FROM t WHERE s <> '' GROUP BY s HAVING count(DISTINCT coalesce(source, '')) >= 5),
+ j AS (SELECT t.*, wide.s IS NOT NULL AND (doc_id, pos) <> wide.first AS gone FROM t LEFT JOIN wide USING (s)),
+ g AS (SELECT doc_id, count(*) FILTER (s <> '') AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM j GROUP BY doc_id)
+SELECT doc_id, source, g.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed FROM documents LEFT JOIN g USING (doc_id)"""
+
+ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '|', '&#124;')"
+CHAT = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, * FROM (VALUES (0, 'user', '</s>[INST] ok [/INST]'), (1, 'assistant', '</s>[INST] ok [/INST]')) t),
+ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS under,
+  sum(length({ESCAPED.format('role')}) + length({ESCAPED.format('text')}) + 11)::BIGINT AS formatted_chars FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(under) AS loss_chars, sha256(under) AS loss_sha256, formatted_chars FROM g"""
+
+REACH = """
+ reach(a, b) AS (SELECT id, id FROM nodes UNION SELECT reach.a, links.v FROM reach JOIN links ON reach.b = links.u),
+ comp AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
+NGRAMS = rf"""
+WITH RECURSIVE w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{quality.SPACE}+'), lambda x: x <> '') AS ws FROM documents),
+ sh AS (SELECT DISTINCT id, g FROM (SELECT id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5) UNION ALL SELECT id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4)),
+ n AS (SELECT id, count(*) AS n FROM sh GROUP BY id), nodes AS (SELECT id FROM w),
+ both_ AS (SELECT a.id AS u, b.id AS v, count(*) AS k FROM sh a JOIN sh b ON a.g = b.g AND a.id <> b.id GROUP BY ALL),
+ links AS (SELECT u, v FROM both_ JOIN n x ON x.id = u JOIN n y ON y.id = v WHERE 100 * k >= 75 * (x.n + y.n - k)), {REACH}
+SELECT w.id AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM w LEFT JOIN n USING (id) JOIN comp USING (id)"""
+VECTORS = f"""
+WITH RECURSIVE e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x FROM embeddings), nodes AS (SELECT id FROM e),
+ links AS (SELECT a.id AS u, b.id AS v FROM e a JOIN e b ON a.label = b.label AND a.id <> b.id WHERE list_inner_product(a.x, b.x) / (sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x))) >= 0.93), {REACH},
+ n AS (SELECT u AS id, count(*) AS n FROM links GROUP BY u)
+SELECT nodes.id AS vec_id, coalesce(n.n, 0) AS n_links, component_id, nodes.id = component_id AS kept FROM nodes JOIN comp USING (id) LEFT JOIN n USING (id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL for the queries that it can express; the others are tested against brute force."""
+    return {"op2_ngram_join": NGRAMS, "op4_line_dedup": LINES, "op5_embedding_dedup": VECTORS, "op6_chat_format": CHAT, "op9_quality_rules": QUALITY}
