@@ -66,9 +66,12 @@ def remove_lines(docs: DataFrame, min_sites: int = 5, doc_id: str = "doc_id", te
 
 
 def dedup_corpus(docs: DataFrame, min_sites: int = 5) -> DataFrame:
-    """The documents without cross-site lines; those that had nothing else go."""
-    columns = docs.columns
-    out = remove_lines(docs, min_sites).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*columns)
+    """The documents without cross-site lines; those that had nothing else go. The columns of ``docs``; ``n_chars`` follows."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    held = docs.select("doc_id", "text", "source", F.struct(*rest).alias("__rest") if rest else F.lit(1).alias("__rest"))
+    out = remove_lines(held, min_sites).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    new = {c: F.col(c) for c in ("doc_id", "text", "source")}
+    if "n_chars" in rest:
+        changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("__rest.n_chars"))
+        new["n_chars"] = changed.alias("n_chars")
+    return out.select(*(new.get(c, F.col(f"__rest.{c}")) for c in docs.columns))

@@ -21,7 +21,6 @@ from pyspark.sql.window import Window
 MAX_USES = 3
 #: Cost of the first, second and third use of a word: rising, so that the flow repeats evenly.
 USE_COSTS = (0, 1, 3)
-BUCKETS = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -127,11 +126,15 @@ def mix(docs: DataFrame, members: Column, weights=None, total: float | None = No
     ``source_size`` and ``target`` are sums over a document's sources. A null text has size
     0. Rows are selected in the order of a seeded hash of the id (ties: any of equal rows),
     so reruns agree; the document at the edge of a quota gives only the words still needed.
+    Columns of ``docs`` with the names of added columns are replaced, others stay.
     The driver sees one row per membership pattern.
     """
-    sized = docs.withColumns({"size": word_count(F.col(text)), "pattern": F.array_sort(F.array_distinct(F.transform(members, lambda s: F.struct(s.isNull().alias("none"), F.coalesce(s, F.lit("")).alias("name")))))})
+    added = {"size", "pattern", "source_size", "target", "taken"} - {doc_id, text}
+    pattern = F.array_sort(F.array_distinct(F.transform(members, lambda s: F.struct(s.isNull().alias("none"), F.coalesce(s, F.lit("")).alias("name")))))
+    sized = docs.withColumn("__p", F.coalesce(pattern, F.expr("cast(array() as array<struct<none: boolean, name: string>>)")))
+    sized = sized.drop(*added).withColumnRenamed("__p", "pattern").withColumn("size", word_count(F.col(text)))
     rows = sized.groupBy("pattern").agg(F.sum("size").alias("words")).collect()
-    supply = [(frozenset(None if x["none"] else x["name"] for x in r["pattern"] or ()), int(r["words"] or 0)) for r in rows]
+    supply = [(frozenset(None if x["none"] else x["name"] for x in r["pattern"]), int(r["words"] or 0)) for r in rows]
     names = sorted({s for own, _ in supply for s in own}, key=lambda s: (s is None, s or ""))
     sizes = {s: sum(words for own, words in supply if s in own) for s in names}
     share = weights or {s: 1 + k % 3 for k, s in enumerate(names)}
@@ -142,23 +145,22 @@ def mix(docs: DataFrame, members: Column, weights=None, total: float | None = No
             given[k] = words
     plan = []
     for r, (own, words), flow in zip(rows, supply, given, strict=True):
-        wanted = min(round(flow), MAX_USES * words)
+        wanted = min(int(flow + 0.5), MAX_USES * words)
         epochs = min(wanted // words, MAX_USES) if words else 0
         plan.append((r["pattern"], float(sum(sizes[s] for s in own)), float(sum(quota[s] for s in own)), int(epochs), int(wanted - epochs * words)))
     kind = dict(sized.dtypes)["pattern"]
     planned = docs.sparkSession.createDataFrame(plan, f"pattern {kind}, source_size double, target double, epochs long, rest long")
-    ranked = sized.withColumns({"__h": F.xxhash64(F.lit(seed), F.col(doc_id))}).withColumn("__b", F.pmod("__h", F.lit(BUCKETS)))
-    # the order in two steps: words of each bucket of the hash, then places inside a bucket
+    ranked = sized.withColumn("__h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(doc_id).cast("string")))).withColumn("__b", F.substring("__h", 1, 3))
+    # the order in two steps: words of each of the 4096 first hex digits of the hash, then places inside
     buckets = ranked.groupBy("pattern", "__b").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("pattern").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
-    edges = buckets.join(planned, buckets["pattern"].eqNullSafe(planned["pattern"])).drop(planned["pattern"])
+    edges = buckets.join(planned, "pattern")
     edges = edges.withColumn("room", F.col("rest") - F.coalesce(before, F.lit(0))).drop("words", "rest")
     inside = Window.partitionBy("pattern", "__b").orderBy("__h", doc_id).rowsBetween(Window.unboundedPreceding, -1)
     placed = ranked.withColumn("__before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    edges = edges.withColumnRenamed("__b", "__eb").withColumnRenamed("pattern", "__ep")
-    joined = placed.join(edges, placed["pattern"].eqNullSafe(edges["__ep"]) & (placed["__b"] == edges["__eb"]))
+    joined = placed.join(edges, ["pattern", "__b"])  # dealt out as the places were
     extra = F.least("size", F.greatest(F.lit(0), F.col("room") - F.col("__before")))
-    return joined.withColumns({"source_size": F.col("source_size").cast("long"), "taken": (F.col("epochs") * F.col("size") + extra).cast("long")}).drop("__h", "__b", "__eb", "__ep", "__before", "room", "epochs")
+    return joined.withColumns({"source_size": F.col("source_size").cast("long"), "taken": (F.col("epochs") * F.col("size") + extra).cast("long")}).drop("__h", "__b", "__before", "room", "epochs")
 
 
 def mix_sources(docs: DataFrame, source: str = "source", **more) -> DataFrame:
@@ -168,7 +170,9 @@ def mix_sources(docs: DataFrame, source: str = "source", **more) -> DataFrame:
 
 def mixed_corpus(docs: DataFrame) -> DataFrame:
     """The mix as documents: each as often as its words are taken, rounded; in the columns of ``docs``."""
-    columns = docs.columns
-    chosen = mix_sources(docs.withColumn("__text", F.col("text"))).where("taken > 0")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    held = docs.select("doc_id", "text", "source", F.struct(*rest).alias("__rest") if rest else F.lit(1).alias("__rest"))
+    chosen = mix_sources(held).where("taken > 0")
     times = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
-    return chosen.where(times > 0).withColumn("__n", F.explode(F.array_repeat(F.lit(1), times))).select(*columns)
+    repeated = chosen.where(times > 0).withColumn("__n", F.explode(F.array_repeat(F.lit(1), times)))
+    return repeated.select(*(F.col(f"__rest.{c}") if c in rest else F.col(c) for c in docs.columns))

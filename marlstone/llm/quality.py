@@ -140,8 +140,7 @@ def measure(docs: DataFrame, text: str = "text", max_lost_percent: int = 50, min
 
 def keep_clean(docs: DataFrame) -> DataFrame:
     """The kept documents with their clean text, in the columns of ``docs``; ``n_chars`` follows."""
-    columns = docs.columns
-    out = measure(docs).where("kept").withColumn("text", F.col("clean_text"))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*columns)
+    rest = [c for c in docs.columns if c != "text"]
+    out = measure(docs.select("text", F.struct(*rest).alias("__rest"))).where("kept")
+    new = {"text": F.col("clean_text").alias("text"), "n_chars": F.length("clean_text").cast("long").alias("n_chars")}
+    return out.select(*(new.get(c, F.col(f"__rest.{c}")) for c in docs.columns))

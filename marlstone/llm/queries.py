@@ -140,7 +140,18 @@ WITH RECURSIVE e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x FROM e
  n AS (SELECT u AS id, count(*) AS n FROM links GROUP BY u)
 SELECT nodes.id AS vec_id, coalesce(n.n, 0) AS n_links, component_id, nodes.id = component_id AS kept FROM nodes JOIN comp USING (id) LEFT JOIN n USING (id)"""
 
+MIX = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {quoted(quality.WORD)}))::BIGINT AS size FROM documents),
+ s AS (SELECT source, sum(size)::BIGINT AS total FROM d GROUP BY source),
+ r(source, w, cap, done, share, step) AS (SELECT source, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3, 3 * total, false, 0.0::DOUBLE, 0 FROM s
+  UNION ALL SELECT source, w, cap, done OR share > cap, share, step FROM (SELECT source, w, cap, done, step + 1 AS step,
+   (sum(cap) OVER () / 3 - coalesce(sum(cap) FILTER (done) OVER (), 0))::DOUBLE * w / sum(w) FILTER (NOT done) OVER () AS share FROM r WHERE step <= (SELECT count(*) FROM s))),
+ t AS (SELECT source, cap // 3 AS total, CASE WHEN done THEN cap::DOUBLE ELSE share END AS target FROM r QUALIFY step = max(step) OVER ()),
+ p AS (SELECT *, least(floor(target + 0.5)::BIGINT, 3 * total) AS wanted FROM t),
+ q AS (SELECT d.*, p.total, p.target, p.wanted, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('17:' || doc_id::VARCHAR), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, total AS source_size, target, CASE WHEN total = 0 THEN 0 ELSE (wanted // total) * size + least(size, greatest(0, wanted % total - before)) END::BIGINT AS taken FROM q"""
+
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that it can express; the others are tested against brute force."""
-    return {"op2_ngram_join": NGRAMS, "op4_line_dedup": LINES, "op5_embedding_dedup": VECTORS, "op6_chat_format": CHAT, "op9_quality_rules": QUALITY}
+    return {"op2_ngram_join": NGRAMS, "op4_line_dedup": LINES, "op5_embedding_dedup": VECTORS, "op6_chat_format": CHAT, "op9_quality_rules": QUALITY, "op10_mix_sources": MIX}
