@@ -9,6 +9,7 @@ The models are fitted on a bounded sample of labelled rows; every document is sc
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -163,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_lab
     if not len(found):
         zero = Linear(np.zeros(0, dtype=np.int64), np.zeros(DENSE), np.ones(DENSE), np.zeros(0))
         return [Linear(zero.words, zero.mean, zero.scale, np.zeros(DENSE + c + 1)) for c in range(len(categories))], {}
-    fold = np.array([hash(i) % FOLDS for i, _ in found])
+    fold = np.array([zlib.crc32(str(i).encode()) % FOLDS for i, _ in found])  # ids may follow a pattern
     models, held_out = fit_chain(s, at, dense, y, fold)
     told = {c: float(np.mean((held_out[:, k] >= 0.5)[~np.isnan(y[:, k])] == y[~np.isnan(y[:, k]), k])) for k, c in enumerate(categories)}
     return models, told
