@@ -93,4 +93,4 @@ def intents(signals: DataFrame, balance: float, max_position: float = 50, min_ed
     size = min(max_position, balance * 0.02)
     able = enabled and active and balance > 10 and size >= 1
     strong = signals.where(F.lit(able) & (F.abs("net_edge") >= min_edge + 0.5) & F.col("market_id").isNotNull())
-    return strong.orderBy("ord").limit(most).select("ord", "market_id", "direction", number_or(F.col("poly_prob"), 0.5).alias("price"), round_half_away(F.lit(float(size)), 2).alias("size"))
+    return strong.orderBy("ord").limit(most).select("ord", "market_id", "direction", number_or(F.col("market_prob"), 0.5).alias("price"), round_half_away(F.lit(float(size)), 2).alias("size"))

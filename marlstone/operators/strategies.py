@@ -83,7 +83,7 @@ def crypto_lag(markets: DataFrame, spot: DataFrame, as_of: Column, most: int | N
     rows = rows.withColumn("raw", (F.col("model") - F.col("price")) * 100).withColumn("net", F.col("raw") - fee).where(F.abs("net") > min_edge)
     return rows.select(
         "symbol", "ord", F.substring("question", 1, 100).alias("question"), "spot", "threshold", round_half_away(F.col("distance") * 100, 2).alias("distance_pct"), round_half_away(F.col("hours"), 1).alias("hours_left"),
-        round_half_away(F.col("model"), 3).alias("model_prob"), round_half_away(F.col("price"), 3).alias("poly_prob"), round_half_away(F.col("raw"), 2).alias("raw_edge"), round_half_away(F.col("net"), 2).alias("net_edge"),
+        round_half_away(F.col("model"), 3).alias("model_prob"), round_half_away(F.col("price"), 3).alias("market_prob"), round_half_away(F.col("raw"), 2).alias("raw_edge"), round_half_away(F.col("net"), 2).alias("net_edge"),
         F.when(F.col("net") > 0, F.lit("BUY YES")).otherwise(F.lit("BUY NO")).alias("direction"),
     )
 
@@ -101,7 +101,7 @@ def crypto_lag_v1(markets: DataFrame, spot: DataFrame, as_of: Column, most: int
     rows = rows.withColumn("model", model).withColumn("raw", (F.col("model") - F.col("price")) * 100).withColumn("net", F.col("raw") - fee)
     return rows.where((F.abs("net") > min_edge) & (F.col("far") > 1)).select(
         "symbol", "ord", F.substring("question", 1, 80).alias("question"), "spot", "threshold", round_half_away(F.col("hours"), 1).alias("hours_left"), round_half_away(F.col("far"), 2).alias("distance_pct"),
-        round_half_away(F.col("model"), 3).alias("model_prob"), round_half_away(F.col("price"), 3).alias("poly_prob"), round_half_away(F.col("raw"), 2).alias("raw_edge"), round_half_away(F.col("net"), 2).alias("net_edge"),
+        round_half_away(F.col("model"), 3).alias("model_prob"), round_half_away(F.col("price"), 3).alias("market_prob"), round_half_away(F.col("raw"), 2).alias("raw_edge"), round_half_away(F.col("net"), 2).alias("net_edge"),
         F.when(F.col("net") > 0, F.lit("BUY YES")).otherwise(F.lit("BUY NO")).alias("direction"),
     )
 

@@ -85,7 +85,7 @@ def edges(probs: DataFrame, matched: DataFrame, min_edge: float = 1.0, fee: floa
     scored = first.withColumn("way", way).withColumn("aligned", aligned).withColumn("raw", raw).withColumn("net", F.col("raw") - fee)
     kept = scored.where((F.abs("net") > min_edge) & (F.col("spread") < MOST_SPREAD))
     return kept.select(
-        "city", "station_id", "outcome", round_half_away(F.col("prob"), 3).alias("model_prob"), round_half_away(F.col("aligned"), 3).alias("model_aligned"), round_half_away(F.col("price"), 3).alias("poly_prob"),
+        "city", "station_id", "outcome", round_half_away(F.col("prob"), 3).alias("model_prob"), round_half_away(F.col("aligned"), 3).alias("model_aligned"), round_half_away(F.col("price"), 3).alias("market_prob"),
         round_half_away(F.col("raw"), 2).alias("raw_edge"), round_half_away(F.col("net"), 2).alias("net_edge"), F.when(F.col("net") > 0, F.lit("BUY YES")).otherwise(F.lit("BUY NO")).alias("direction"),
         F.col("way").alias("yes_direction"), "market_id", "question",
     )

@@ -137,7 +137,7 @@ CRYPTO = f"""WITH {MARKETS}, {SPOT}, {named(V.SYMBOLS, V.RELATION_WORDS, 8)},
 """
 
 
-@query(CRYPTO + f"""SELECT symbol, ord, question[1:100] AS question, spot, threshold, {rnd('(distance * 100)', 2)} AS distance_pct, {rnd('hours', 1)} AS hours_left, {rnd('model', 3)} AS model_prob, {rnd('price', 3)} AS poly_prob,
+@query(CRYPTO + f"""SELECT symbol, ord, question[1:100] AS question, spot, threshold, {rnd('(distance * 100)', 2)} AS distance_pct, {rnd('hours', 1)} AS hours_left, {rnd('model', 3)} AS model_prob, {rnd('price', 3)} AS market_prob,
   {rnd('raw', 2)} AS raw_edge, {rnd('net', 2)} AS net_edge, CASE WHEN net > 0 THEN 'BUY YES' ELSE 'BUY NO' END AS direction FROM e WHERE abs(net) > 3.0""")
 def crypto_lag(spark, sf_dir):
     return strategies.crypto_lag(A.markets(spark, sf_dir), A.spot(spark), A.as_of())
@@ -148,7 +148,7 @@ def crypto_lag(spark, sf_dir):
  d AS (SELECT *, abs(spot - threshold) / threshold * 100 AS far FROM t WHERE threshold IS NOT NULL AND (above OR below) AND price <> 0 AND hours >= 0 AND hours <= 24),
  s AS (SELECT *, CASE WHEN CASE WHEN above THEN spot > threshold ELSE spot < threshold END THEN least(0.95::DOUBLE, 0.5::DOUBLE + far * 3) ELSE greatest(0.05::DOUBLE, 0.5::DOUBLE - far * 3) END AS model FROM d),
  e AS (SELECT *, (model - price) * 100 AS raw, (model - price) * 100 - 1.25::DOUBLE AS net FROM s)
-SELECT symbol, ord, question[1:80] AS question, spot, threshold, {rnd('hours', 1)} AS hours_left, {rnd('far', 2)} AS distance_pct, {rnd('model', 3)} AS model_prob, {rnd('price', 3)} AS poly_prob,
+SELECT symbol, ord, question[1:80] AS question, spot, threshold, {rnd('hours', 1)} AS hours_left, {rnd('far', 2)} AS distance_pct, {rnd('model', 3)} AS model_prob, {rnd('price', 3)} AS market_prob,
   {rnd('raw', 2)} AS raw_edge, {rnd('net', 2)} AS net_edge, CASE WHEN net > 0 THEN 'BUY YES' ELSE 'BUY NO' END AS direction FROM e WHERE abs(net) > 1.5 AND far > 1""")
 def crypto_lag_v1(spark, sf_dir):
     return strategies.crypto_lag_v1(A.markets(spark, sf_dir), A.spot(spark), A.as_of())
@@ -234,7 +234,7 @@ def station_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.weather_signals(now, aliases, A.markets(spark, sf_dir), A.prices(spark, sf_dir))
 
 
-@query(WEATHER + f"""SELECT city, station_id, outcome, {rnd('prob', 3)} AS model_prob, {rnd('aligned', 3)} AS model_aligned, {rnd('price', 3)} AS poly_prob, {rnd('raw', 2)} AS raw_edge, {rnd('net', 2)} AS net_edge,
+@query(WEATHER + f"""SELECT city, station_id, outcome, {rnd('prob', 3)} AS model_prob, {rnd('aligned', 3)} AS model_aligned, {rnd('price', 3)} AS market_prob, {rnd('raw', 2)} AS raw_edge, {rnd('net', 2)} AS net_edge,
   CASE WHEN net > 0 THEN 'BUY YES' ELSE 'BUY NO' END AS direction, way AS yes_direction, market_id, question FROM e WHERE abs(net) > 1.0""")
 def weather_edges(spark, sf_dir):
     return station_signals(spark, sf_dir)
@@ -339,10 +339,10 @@ def latest_per_key(spark, sf_dir):
 NEGRISK = "(" + SQL["negrisk_rebalance"] + ")"
 CRYPTO_ROWS, COMBO_ROWS = f"({SQL['crypto_lag']})", f"({SQL['combinatorial_pairs']})"
 UNION = f"""WITH {MARKETS}, eco AS ({ECONOMICS}), geo AS ({GEOPOLITICS}),
- u AS (SELECT 'economics' AS type, 'Economics / Macro' AS strategy, question, NULL::DOUBLE AS model_prob, NULL::DOUBLE AS poly_prob, NULL::DOUBLE AS net_edge, NULL AS direction, market_id FROM eco
+ u AS (SELECT 'economics' AS type, 'Economics / Macro' AS strategy, question, NULL::DOUBLE AS model_prob, NULL::DOUBLE AS market_prob, NULL::DOUBLE AS net_edge, NULL AS direction, market_id FROM eco
   UNION ALL SELECT 'geopolitics', 'Geopolitics (0% fee)', question, NULL, NULL, net_edge, direction, market_id FROM geo
   UNION ALL SELECT 'negrisk', 'NegRisk Rebalancing', question, NULL, NULL, net_edge, direction, NULL FROM {NEGRISK}
-  UNION ALL SELECT 'crypto', 'Crypto Price Lag', question, model_prob, poly_prob, net_edge, direction, NULL FROM {CRYPTO_ROWS}
+  UNION ALL SELECT 'crypto', 'Crypto Price Lag', question, model_prob, market_prob, net_edge, direction, NULL FROM {CRYPTO_ROWS}
   UNION ALL SELECT 'combinatorial', 'Combinatorial Arbitrage', question, NULL, NULL, net_edge, NULL, NULL FROM {COMBO_ROWS})
 """
 
@@ -352,7 +352,7 @@ def cycle_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(UNION + """SELECT regexp_replace(type || '_' || coalesce(market_id::VARCHAR, nullif(question[1:20], '')) || '_897868800000', '[^a-zA-Z0-9_]', '_', 'g') AS id, '1998-06-15T00:00:00.000Z' AS ts, '' AS city, type AS "stationId", strategy AS outcome, question[1:200] AS question,
-  coalesce(model_prob, 0) AS "modelProb", coalesce(poly_prob, 0) AS "polyProb", coalesce(net_edge, 0) AS "netEdge", coalesce(direction, '') AS direction, coalesce(market_id::VARCHAR, '') AS "marketId", strategy, 0 AS acted FROM u""")
+  coalesce(model_prob, 0) AS "modelProb", coalesce(market_prob, 0) AS "marketProb", coalesce(net_edge, 0) AS "netEdge", coalesce(direction, '') AS direction, coalesce(market_id::VARCHAR, '') AS "marketId", strategy, 0 AS acted FROM u""")
 def strategy_union(spark, sf_dir):
     return scans.stored(cycle_signals(spark, sf_dir), A.as_of())
 

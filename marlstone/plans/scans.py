@@ -44,7 +44,7 @@ def stored(signals: DataFrame, as_of: Column) -> DataFrame:
     return signals.select(
         row_id(place, market, F.unix_millis(as_of).cast("string")).alias("id"), F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("ts"), text_or(text("city"), "").alias("city"), text_or(place, "").alias("stationId"),
         text_or(first_text(text("outcome"), text("strategy")), "").alias("outcome"), F.substring(text_or(text("question"), ""), 1, 200).alias("question"), number_or(F.coalesce(number("model_prob"), number("model_aligned")), 0.0).alias("modelProb"),
-        number_or(number("poly_prob"), 0.0).alias("polyProb"), number_or(number("net_edge"), 0.0).alias("netEdge"), text_or(text("direction"), "").alias("direction"), text_or(text("market_id"), "").alias("marketId"), text_or(text("strategy"), "weather").alias("strategy"), F.lit(0).alias("acted"),
+        number_or(number("market_prob"), 0.0).alias("marketProb"), number_or(number("net_edge"), 0.0).alias("netEdge"), text_or(text("direction"), "").alias("direction"), text_or(text("market_id"), "").alias("marketId"), text_or(text("strategy"), "weather").alias("strategy"), F.lit(0).alias("acted"),
     )
 
 

@@ -18,7 +18,7 @@ MARKET = (
     "endDate string, end_date_iso string, clobTokenIds array<string>, tokens array<struct<token_id: string>>"
 )
 OPPORTUNITIES = (
-    "id string, ts string, city string, stationId string, outcome string, question string, modelProb double, polyProb double, netEdge double, direction string, marketId string, strategy string, acted int"
+    "id string, ts string, city string, stationId string, outcome string, question string, modelProb double, marketProb double, netEdge double, direction string, marketId string, strategy string, acted int"
 )
 TRADES = (
     "id string, ts string, oppId string, mode string, direction string, marketId string, question string, price double, size double, outcome string, resolvedAt string, pnl double, status string, notes string"

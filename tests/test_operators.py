@@ -146,7 +146,7 @@ def test_place_is_a_fold(spark):
 
 
 def test_intents(spark):
-    rows = spark.createDataFrame([(k, m, "BUY YES", 0.0 if k == 2 else 0.3, e) for k, (m, e) in enumerate([(1, 1.9), (None, 9.0), (3, -2.0), (4, 5.0), (5, 5.0), (6, 5.0)])], "ord long, market_id long, direction string, poly_prob double, net_edge double")
+    rows = spark.createDataFrame([(k, m, "BUY YES", 0.0 if k == 2 else 0.3, e) for k, (m, e) in enumerate([(1, 1.9), (None, 9.0), (3, -2.0), (4, 5.0), (5, 5.0), (6, 5.0)])], "ord long, market_id long, direction string, market_prob double, net_edge double")
     got = ledger.intents(rows, 1000.0).orderBy("ord").collect()
     assert [(r["ord"], r["price"], r["size"]) for r in got] == [(2, 0.5, 20.0), (3, 0.3, 20.0), (4, 0.3, 20.0)]
     assert ledger.intents(rows, 10.0).count() == 0 and ledger.intents(rows, 1000.0, enabled=False).count() == 0
@@ -174,5 +174,5 @@ def test_stored_defaults(spark):
     got = {r["stationId"]: r for r in scans.stored(signals, now()).collect()}
     assert len(got["negrisk"]["question"]) == 200 and got["negrisk"]["modelProb"] == 0.0 and got["negrisk"]["marketId"] == ""
     assert got["economics"]["netEdge"] == 0.0 and got["economics"]["id"] == "economics_7_1704844800000" and got["economics"]["outcome"] == "Economics / Macro"
-    after, _ = scans.cycle(signals.withColumns({"direction": F.lit(""), "poly_prob": F.lit(0.0), "ord": F.lit(0)}), spark.createDataFrame([], schemas.OPPORTUNITIES), now(), 1000.0, dict(schemas.default_settings(spark).collect()))
+    after, _ = scans.cycle(signals.withColumns({"direction": F.lit(""), "market_prob": F.lit(0.0), "ord": F.lit(0)}), spark.createDataFrame([], schemas.OPPORTUNITIES), now(), 1000.0, dict(schemas.default_settings(spark).collect()))
     assert after.count() == 2
