@@ -36,6 +36,8 @@ SEEN_IN_BATCH = 3
 MOST_COSTLY = 1 << 17
 #: Documents of a costly token that share one hub; more are split and their hubs meet in turn.
 PER_HUB = 20_000
+#: Documents of a token that stand in one row when all that hold it are compared.
+BLOCK = 256
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -148,6 +150,38 @@ def verify_rows(width: int, percent: int, costly: np.ndarray):
     return run
 
 
+def count_shared(percent: int):
+    """Of rows (doc, n, others) sorted by doc: the pairs that share enough index entries.
+
+    A pair that shares k entries has at most k tokens of one's prefix in the other, so that
+    the rest of that prefix is not shared.
+    """
+
+    def pairs(doc: np.ndarray, n: np.ndarray, other: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((other, doc))
+        doc, n, other, m = doc[order], n[order], other[order], m[order]
+        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (other[1:] != other[:-1])])) if len(doc) else np.zeros(0, dtype=np.int64)
+        k = np.diff(np.append(first, len(doc)))
+        most = np.maximum(*(x[first] - prefix_length(x[first], percent) for x in (n, m))) + k
+        good = first[most * (100 + percent) >= percent * (n[first] + m[first])]
+        return pa.record_batch([pa.array(doc[good]), pa.array(other[good])], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, dtype=np.int64)] * 4
+        for batch in batches:
+            others = batch.column(2)
+            sizes = np.diff(others.offsets.to_numpy())
+            values = others.flatten()
+            new = [np.repeat(batch.column(0).to_numpy(), sizes), np.repeat(batch.column(1).to_numpy(), sizes), values.field(0).to_numpy(), values.field(1).to_numpy()]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            done = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last document may go on
+            yield pairs(*(x[:done] for x in held))
+            held = [x[done:] for x in held]
+        yield pairs(*held)
+
+    return run
+
+
 def shared(x: np.ndarray, y: np.ndarray) -> int:
     """Common values of two sorted arrays."""
     if len(x) > len(y):
@@ -199,17 +233,15 @@ def similar_groups(docs: DataFrame, percent: int = 75, width: int = 5, doc_id: s
     # what is left: pairs of different components that share an entry
     own = reps.join(labels, reps["doc"] == labels["id"], "left").select("doc", "n", F.coalesce("label", "doc").alias("label"))
     told = held.select("token", "doc").join(own, "doc")
-    open_ = told.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    told = scratch.table(told.join(open_, "token"), "open")
-    x, y = (told.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("doc", "n", "label"))) for k in ("u", "v"))
-    close = (F.col("n_u") * 100 >= F.col("n_v") * percent) & (F.col("n_v") * 100 >= F.col("n_u") * percent)
-    pairs = x.join(y, "token").where((F.col("doc_u") < F.col("doc_v")) & (F.col("label_u") != F.col("label_v")) & close)
-    pairs = pairs.groupBy("doc_u", "doc_v").agg(F.count(F.lit(1)).alias("k"), F.max("n_u").alias("n_u"), F.max("n_v").alias("n_v"))
-    # at most k tokens of one's prefix are in the other, so that many more at least are not shared
-    outside = lambda n: F.ceil(F.lit(percent) * n / 100) - 1
-    most = F.greatest(outside(F.col("n_u")), outside(F.col("n_v"))) + F.col("k")
-    pairs = pairs.where(most * (100 + percent) >= percent * (F.col("n_u") + F.col("n_v")))
-    pairs = pairs.select(F.col("doc_u").alias("u"), F.col("doc_v").alias("v")).join(first, ["u", "v"], "left_anti")
+    shared_by = told.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("held")).where("lo < hi")
+    told = scratch.table(told.join(shared_by.select("token", F.ceil(F.col("held") / BLOCK).alias("blocks")), "token"), "open")
+    block = F.pmod(F.xxhash64("doc"), F.col("blocks"))
+    blocks = told.groupBy(F.col("token").alias("t"), block.alias("block")).agg(F.collect_list(F.struct("doc", "n", "label")).alias("members"))
+    close = lambda m: (m["n"] * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= m["n"] * percent)
+    others = F.filter("members", lambda m: (m["doc"] > F.col("doc")) & (m["label"] != F.col("label")) & close(m))
+    met = told.join(blocks, told["token"] == blocks["t"]).select("doc", "n", F.transform(others, lambda m: F.struct(m["doc"].alias("doc"), m["n"].alias("n"))).alias("others")).where(F.size("others") > 0)
+    pairs = met.repartition("doc").sortWithinPartitions("doc").mapInArrow(count_shared(percent), "u long, v long")
+    pairs = pairs.join(first, ["u", "v"], "left_anti")
     more = verified(pairs, usable, width, percent, costly)
     labels = components(links.unionByName(scratch.table(more, "links")))
     named = filled.join(classes, ["n", "c", "d"]).select("doc", "n", "rep")
