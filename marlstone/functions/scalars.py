@@ -75,3 +75,8 @@ def minutes_text(seconds: Column) -> Column:
 def row_id(*parts: Column) -> Column:
     """A key made of the parts, with anything but letters, digits and _ replaced."""
     return F.regexp_replace(F.concat_ws("_", *parts), "[^a-zA-Z0-9_]", "_")
+
+
+def grouped_text(x: Column, digits: int = 0) -> Column:
+    """With thousands separators."""
+    return F.format_number(x, digits)

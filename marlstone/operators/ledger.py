@@ -94,3 +94,9 @@ def intents(signals: DataFrame, balance: float, max_position: float = 50, min_ed
     able = enabled and active and balance > 10 and size >= 1
     strong = signals.where(F.lit(able) & (F.abs("net_edge") >= min_edge + 0.5) & F.col("market_id").isNotNull())
     return strong.orderBy("ord").limit(most).select("ord", "market_id", "direction", number_or(F.col("market_prob"), 0.5).alias("price"), round_half_away(F.lit(float(size)), 2).alias("size"))
+
+
+def overview(trades: DataFrame, settings: DataFrame, balance: float = START) -> DataFrame:
+    """The statistics with the settings beside them, as one row of JSON texts."""
+    held = settings.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value"))))).alias("settings"))  # a few keys
+    return statistics(trades, balance, None).select("total_trades", "open_trades", "win_rate", "total_pnl").crossJoin(held)  # one row each

@@ -80,3 +80,21 @@ def source_status(sources: Sequence[tuple[str, DataFrame]], text: str = "questio
         return df.agg(F.count(F.lit(1)).alias("n")).crossJoin(head).select(F.lit(name).alias("source"), "n", "sample", (F.col("n") > 0).alias("ok"))  # one row each
 
     return reduce(DataFrame.unionByName, [one(name, df) for name, df in sources])
+
+
+def spot_prices(symbols: DataFrame, primary: DataFrame, secondary: DataFrame) -> DataFrame:
+    """(symbol, spot): the first source's price, else the second's; symbols that neither has, or at 0, are left out."""
+    first, second = primary.select("symbol", F.col("spot").alias("__a")), secondary.select("symbol", F.col("spot").alias("__b"))
+    found = symbols.select("symbol").join(first, "symbol", "left").join(second, "symbol", "left")
+    return found.select("symbol", F.coalesce("__a", "__b").alias("spot")).where("spot <> 0")
+
+
+def all_ok(status: DataFrame) -> DataFrame:
+    """One row: whether every source is fine; without sources it is."""
+    return status.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("all_ok"), F.count(F.lit(1)).alias("sources"))
+
+
+def running_counts(batches: DataFrame, order: str, *counters: str) -> DataFrame:
+    """Totals after each cycle; the input has a row for each cycle."""
+    so_far = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return batches.select(order, *(F.sum(c).over(so_far).alias(c) for c in counters))

@@ -371,6 +371,29 @@ def source_diag(spark, sf_dir):
     return markets.source_status([(name, listed.where(test)) for name, test in SLICES])
 
 
+@query("SELECT * FROM (VALUES ('BTC', 250000.0::DOUBLE), ('ETH', 120500.0::DOUBLE), ('SOL', 60000.0::DOUBLE)) t(symbol, spot)")
+def spot_fallback(spark, sf_dir):
+    wanted = spark.createDataFrame([(s,) for s, _ in V.SYMBOLS], "symbol string")
+    second = spark.createDataFrame([("BTC", 1.0), ("ETH", 120500.0), ("XRP", 0.0)], "symbol string, spot double")
+    return markets.spot_prices(wanted, A.spot(spark).where(F.col("symbol").isin("BTC", "SOL")), second)
+
+
+@query("SELECT false AS all_ok, 3::BIGINT AS sources")
+def probe_all_ok(spark, sf_dir):
+    return markets.all_ok(source_diag(spark, sf_dir))
+
+
+@query(UNION + "SELECT type, CASE type WHEN 'geopolitics' THEN 0 WHEN 'negrisk' THEN 1 WHEN 'economics' THEN 2 WHEN 'crypto' THEN 3 WHEN 'weather' THEN 4 ELSE 5 END AS display_rank, count(*) AS n FROM u GROUP BY ALL")
+def display_order(spark, sf_dir):
+    return scans.for_display(cycle_signals(spark, sf_dir)).groupBy("type", "display_rank").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS scanned, count(*) FILTER (value > 100) AS edges FROM events GROUP BY ALL) SELECT day, sum(scanned) OVER (ORDER BY day)::BIGINT AS scanned, sum(edges) OVER (ORDER BY day)::BIGINT AS edges FROM d")
+def running_counters(spark, sf_dir):
+    cycles = A.read(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("scanned"), F.count_if(F.col("value") > 100).alias("edges"))
+    return markets.running_counts(cycles, "day", "scanned", "edges")
+
+
 # --- tables --------------------------------------------------------------------------------
 
 UPDATES = [("min_edge", "2.5"), ("max_position", "75"), ("unknown", "1")]
@@ -434,6 +457,12 @@ def portfolio_stats(spark, sf_dir):
     return ledger.statistics(resolved(spark, sf_dir), most=None)
 
 
+@query(f"""WITH {TRADES} SELECT count(*) AS total_trades, count(*) FILTER (status = 'open') AS open_trades, {rnd("(count(*) FILTER (status = 'won') / count(*) FILTER (status <> 'open') * 100)", 1)} AS win_rate,
+  {rnd("(sum(CAST(sign(pnl) * floor(abs(pnl) * 100 + 0.5) AS BIGINT)) FILTER (status <> 'open') / 100)", 2)} AS total_pnl, '{{"live_enabled":"false","max_position":"50","min_edge":"1.5","paper_balance":"1000","paper_enabled":"true","scan_active":"true"}}' AS settings FROM r""")
+def stats_composite(spark, sf_dir):
+    return ledger.overview(resolved(spark, sf_dir), schemas.default_settings(spark))
+
+
 @query(WEATHER + f"SELECT market_id AS ord, market_id, CASE WHEN net > 0 THEN 'BUY YES' ELSE 'BUY NO' END AS direction, {rnd('price', 3)} AS price, 20.0::DOUBLE AS size FROM e WHERE abs({rnd('net', 2)}) >= 2.0 AND abs(net) > 1.0 ORDER BY market_id, outcome LIMIT 3")
 def auto_trade_intents(spark, sf_dir):
     signals = station_signals(spark, sf_dir).withColumn("ord", F.col("market_id"))
@@ -465,3 +494,9 @@ def stream_dedup(spark, sf_dir):
 @query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def stream_latest(spark, sf_dir):
     return feeds.drain_latest(event_stream(spark, sf_dir), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type", "value")
+
+
+@query("SELECT event_id, user_id FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)")
+def stream_subscribed(spark, sf_dir):
+    ids = A.read(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("user_id"))
+    return feeds.drain(feeds.subscribed(event_stream(spark, sf_dir), ids, "user_id").select("event_id", "user_id"))

@@ -70,3 +70,10 @@ def cycle(signals: DataFrame, old: DataFrame, as_of: Column, balance: float, set
     after = markets.insert_or_ignore(old, stored(signals, as_of).dropDuplicates(["id"]), ["id"])
     on = lambda key: settings.get(key) == "true"
     return after, ledger.intents(signals, balance, float(settings.get("max_position") or 50), float(settings.get("min_edge") or 1.5), on("paper_enabled"), on("scan_active"))
+
+
+def for_display(signals: DataFrame) -> DataFrame:
+    """Signals by type in a fixed order, newest strategies' order inside; unknown types last."""
+    place = {"geopolitics": 0, "negrisk": 1, "economics": 2, "crypto": 3, "weather": 4}
+    rank = F.coalesce(*(F.when(F.col("type") == k, F.lit(v)) for k, v in place.items()), F.lit(len(place)))
+    return signals.withColumn("display_rank", rank)
