@@ -72,6 +72,8 @@ def marks(tag: str, raw: str, up: Node) -> tuple[bool, bool]:
         if main or tag in ("html", "body"):
             bad = bool(main and tag == "article" and COMMENTS.search(names))
         elif tag not in HEADINGS:
+            if up.in_main:  # an article's own header has its title
+                names = names.lower().replace("header", "")
             bad = bad or hidden or role in ROLES or bool(NAMED.search(names))
     return bad, main and not bad
 

@@ -223,6 +223,7 @@ PAGE = '<!DOCTYPE html><html><head><title>t</title><script>var x="<p>";</script>
         (PAGE.format("<main><aside>no</aside><p>a</p><form><p>f</p></form><div class='share-bar social'>s</div><ul><li>b<li>c</ul></main>"), "a\nb\nc"),
         ("<body><h2>no article</h2>text <i>in</i>line<div class='cookie-notice'>c</div><!-- open", "no article\ntext inline"),
         ("<article><p>cut &am", "cut &am"), ("<article><p>cut <p cla", "cut"), ("plain", "plain"), ("", ""), (None, ""), ("<article></article>", ""), ("a < b and c > d", "a < b and c > d"),
+        ("<article><div class='post-header'><h1>T</h1></div><header><h2>S</h2></header><p>x</p></article><div class='page-header'>no</div>", "T\nS\nx"),
         ('<article class="has-sidebar"><p title="a>b">q</p></article>', "q"), ("<article><p>a</p><article class='comment'>c</article></article>", "a"), ("<article><pre>x\n y</pre><table><tr><td>1<td>2</table></article>", "x y\n1\n2"),
     ],
 )
