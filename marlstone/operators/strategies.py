@@ -6,8 +6,6 @@ Every scan is a function of DataFrames and plain parameters. Rows arrive in the
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,7 +53,9 @@ def negrisk_v1(legs: DataFrame, min_edge: float = 0.5, most: int | None = None)
 
 def symbol_markets(markets: DataFrame, spot: DataFrame, symbols: list, relations: list[str], most: int | None) -> DataFrame:
     """Markets that name a symbol and a relation, with its spot price; the first ``most`` of each symbol."""
-    named = reduce(lambda a, b: a.unionByName(b), [markets.where(T.contains_any(F.col("question"), words) & T.contains_any(F.col("question"), relations)).withColumn("symbol", F.lit(s)) for s, words in symbols])
+    # one pass over the markets: each comes with the symbols that it names
+    found = F.filter(F.array(*(F.when(T.contains_any(F.col("question"), words), F.lit(s)) for s, words in symbols)), lambda s: s.isNotNull())
+    named = markets.where(T.contains_any(F.col("question"), relations)).withColumn("symbol", F.explode(found))
     if most is not None:
         named = named.withColumn("__n", F.row_number().over(Window.partitionBy("symbol").orderBy("ord"))).where(F.col("__n") <= most).drop("__n")
     return named.join(F.broadcast(spot.where(F.col("symbol").isin([s for s, _ in symbols]) & (F.col("spot") != 0))), "symbol")  # a row for each symbol

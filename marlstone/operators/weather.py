@@ -62,10 +62,11 @@ def match_markets(stations: DataFrame, markets: DataFrame, most: int = MARKETS_P
 
     The stations are a few rows of fixed values, so every market meets them in its own task.
     """
-    named = markets.join(F.broadcast(stations), F.contains(F.lower("question"), F.col("alias")))
-    named = named.dropDuplicates(["station_id", "ord"])
+    names = stations.groupBy("city", "station_id").agg(F.collect_set("alias").alias("aliases"))
+    low = F.lower("question")
+    named = markets.join(F.broadcast(names), F.exists("aliases", lambda a: F.contains(low, a)))
     place = F.row_number().over(Window.partitionBy("station_id").orderBy("ord"))
-    return named.withColumn("place", place).where(F.col("place") <= most).drop("place", "alias")
+    return named.withColumn("place", place).where(F.col("place") <= most).drop("place", "aliases")
 
 
 def edges(probs: DataFrame, matched: DataFrame, min_edge: float = 1.0, fee: float = FEE) -> DataFrame:
