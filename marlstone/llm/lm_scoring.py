@@ -35,7 +35,7 @@ ORDER = 2
 FOLDS, HELD_OUT = 7, 2
 #: Training documents of this remainder have their counts deleted to learn the weights.
 DELETED = 3
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 4 << 20
 #: Buckets of context frequency are powers of two.
 FREQUENCIES = 24
