@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.sources import scratch
+
 #: Sketches have 2**LG_K registers; their relative standard error is 1.04 / sqrt(2**LG_K), 1.6 %.
 LG_K = 12
 #: Estimates within this share of the threshold, or one site, are counted exactly: five standard errors.
@@ -47,7 +49,8 @@ def remove_lines(docs: DataFrame, min_sites: int = 5, doc_id: str = "doc_id", te
     (no lines), rows with a null id keep their text, and repeated rows of an id are
     treated as the one document that they are. Other columns stay as they are.
     """
-    spread = spread_lines(docs, min_sites, doc_id, text, site)
+    # a table, so that the join below is planned by its size, and a line that stands in a third of all documents is split
+    spread = scratch.table(spread_lines(docs, min_sites, doc_id, text, site), "spread")
     lines = exploded(docs, doc_id, text, site).where(F.col("d").isNotNull())
     hits = lines.join(spread, "h").where((F.col("d") != F.col("first.d")) | (F.col("pos") != F.col("first.pos")))
     gone = hits.groupBy("d").agg(F.collect_set("pos").alias("__gone"))
