@@ -6,6 +6,8 @@ Every scan is a function of DataFrames and plain parameters. Rows arrive in the
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -106,16 +108,22 @@ def crypto_lag_v1(markets: DataFrame, spot: DataFrame, as_of: Column, most: int
     )
 
 
+def threshold_markets(markets: DataFrame, most: int | None, min_volume: float) -> DataFrame:
+    """(topic, ord, question, price, threshold) of the listed markets whose question says "above"."""
+    listed = capped(markets.where(F.col("volume") >= min_volume), most, "ord").withColumn("price", first_price(F.col("outcome_prices")))
+    able = listed.where((F.col("price") != 0) & F.lower("question").contains("above")).withColumn("threshold", T.first_number_k(F.col("question"))).where("threshold is not null")
+    topics = F.filter(F.array(*[F.when(F.col("question").rlike(f"(?i){t}"), F.lit(t)) for t in V.TOPICS]), lambda t: t.isNotNull())
+    return able.select("ord", "question", "price", "threshold", F.explode(topics).alias("topic"))
+
+
 def combinatorial(markets: DataFrame, min_edge: float = 1.0, least: float = 0.03, fee: float = 2.5, most: int | None = 300, min_volume: float = 1000) -> DataFrame:
     """Pairs of a topic where the higher threshold has the higher price.
 
     Both questions say "above". The listing gives the first ``most`` markets with volume;
     pairs of a topic grow with the square of that limit and so does the result.
+    ``combinatorial_best`` has the whole table.
     """
-    listed = capped(markets.where(F.col("volume") >= min_volume), most, "ord").withColumn("price", first_price(F.col("outcome_prices")))
-    able = listed.where((F.col("price") != 0) & F.lower("question").contains("above")).withColumn("threshold", T.first_number_k(F.col("question"))).where("threshold is not null")
-    topics = F.filter(F.array(*[F.when(F.col("question").rlike(f"(?i){t}"), F.lit(t)) for t in V.TOPICS]), lambda t: t.isNotNull())
-    able = able.select("ord", "question", "price", "threshold", F.explode(topics).alias("topic"))
+    able = threshold_markets(markets, most, min_volume)
     hi, lo = (able.select("topic", *(F.col(c).alias(f"{k}_{c}") for c in ("ord", "question", "price", "threshold"))) for k in ("hi", "lo"))
     pairs = hi.join(lo, "topic").where((F.col("hi_threshold") > F.col("lo_threshold")) & (F.col("hi_price") - F.col("lo_price") > least))
     diff = F.col("hi_price") - F.col("lo_price")
@@ -123,6 +131,58 @@ def combinatorial(markets: DataFrame, min_edge: float = 1.0, least: float = 0.03
     return pairs.select("topic", "hi_ord", "lo_ord", F.concat_ws(" vs ", F.substring("hi_question", 1, 50), F.substring("lo_question", 1, 50)).alias("question"), "hi_price", "lo_price", round_half_away(diff, 3).alias("price_diff"), round_half_away(F.col("net"), 2).alias("net_edge"))
 
 
+def count_below(ranks: np.ndarray, first: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """For each k: how many of ``ranks[:first[k]]`` are less than ``below[k]``; ranks are a permutation (wavelet matrix)."""
+    count, a, b = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64), first.astype(np.int64)
+    top = 1 << len(ranks).bit_length()
+    below = np.minimum(below, top - 1)
+    while top := top >> 1:
+        ones = (ranks & top) != 0
+        zeros = np.concatenate([[0], np.cumsum(~ones)])
+        za, zb, up = zeros[a], zeros[b], (below & top) != 0
+        count += np.where(up, zb - za, 0)
+        a, b = np.where(up, zeros[-1] + a - za, za), np.where(up, zeros[-1] + b - zb, zb)
+        ranks = np.concatenate([ranks[~ones], ranks[ones]])
+    return count
+
+
+def topic_violations(min_edge: float, least: float, fee: float):
+    def run(topic: pa.Table) -> pa.Table:
+        order, price, threshold = (topic.column(c).to_numpy() for c in ("ord", "price", "threshold"))
+        ranked = np.lexsort((order, price))
+        rank = np.empty(len(ranked), np.int64)
+        rank[ranked] = np.arange(len(ranked))
+        by = np.argsort(threshold, kind="stable")
+        lower = np.searchsorted(threshold[by], threshold, "left")
+        # the counterparts cheap enough are the first of those ranked by price
+        cheap, end = np.zeros(len(by), np.int64), np.full(len(by), len(by))
+        while (open_ := cheap < end).any():
+            mid = (cheap + end) // 2
+            diff = price - price[ranked[np.minimum(mid, len(by) - 1)]]
+            fine = open_ & (diff > least) & (diff * 100 - fee > min_edge)
+            cheap, end = np.where(fine, mid + 1, cheap), np.where(open_ & ~fine, mid, end)
+        count = count_below(rank[by], lower, cheap)
+        hit = np.flatnonzero(count)
+        best = ranked[np.minimum.accumulate(rank[by])[lower[hit] - 1]]
+        columns = (order[hit], order[best], count[hit], price[hit], price[best])
+        return pa.table([topic.column("topic").take(pa.array(hit)), *map(pa.array, columns)], names=["topic", "hi_ord", "lo_ord", "violations", "hi_price", "lo_price"])
+
+    return run
+
+
+def combinatorial_best(markets: DataFrame, min_edge: float = 1.0, least: float = 0.03, fee: float = 2.5, most: int | None = None, min_volume: float = 1000) -> DataFrame:
+    """For each market with a pair in ``combinatorial``: how many it has as the higher threshold, and the best.
+
+    The best counterpart has the lowest price, then the first place. Every market of the
+    table is compared with all of its topic in n log n steps, so no limit is needed; a
+    topic's numbers are held by one task.
+    """
+    able = threshold_markets(markets, most, min_volume).select("topic", "ord", F.col("price").cast("double").alias("price"), F.col("threshold").cast("double").alias("threshold"))
+    rows = able.groupBy("topic").applyInArrow(topic_violations(min_edge, least, fee), "topic string, hi_ord long, lo_ord long, violations long, hi_price double, lo_price double")
+    diff = F.col("hi_price") - F.col("lo_price")
+    return rows.withColumns({"price_diff": round_half_away(diff, 3), "net_edge": round_half_away(diff * 100 - fee, 2)})
+
+
 def economics(markets: DataFrame, most: int | None = 20) -> DataFrame:
     """Thinly traded markets about economic releases."""
     rows = markets.withColumns({"tag": T.economy_tag(F.col("question")), "price": first_price(F.col("outcome_prices"))})

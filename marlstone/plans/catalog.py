@@ -176,6 +176,12 @@ def combinatorial_pairs(spark, sf_dir):
     return strategies.combinatorial(A.markets(spark, sf_dir))
 
 
+@query(COMBINATORIAL.replace(" ORDER BY ord LIMIT 300", "") + f""", b AS (SELECT topic, hi_ord, arg_min(lo_ord, (lo_price, lo_ord)) AS lo_ord, count(*) AS violations, any_value(hi_price) AS hi_price, min(lo_price) AS lo_price FROM p WHERE net > 1.0 GROUP BY topic, hi_ord)
+SELECT *, {rnd('(hi_price - lo_price)', 3)} AS price_diff, {rnd('((hi_price - lo_price) * 100 - 2.5::DOUBLE)', 2)} AS net_edge FROM b""")
+def combinatorial_best(spark, sf_dir):
+    return strategies.combinatorial_best(A.markets(spark, sf_dir))
+
+
 # --- flags ---------------------------------------------------------------------------------
 
 TAG = "CASE " + " ".join(f"WHEN {any_of('question', words)} THEN '{tag}'" for tag, words in V.ECONOMY_TAGS) + " END"

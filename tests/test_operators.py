@@ -1,5 +1,6 @@
 """Operators on small tables with both sides of each threshold."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -87,6 +88,20 @@ def test_combinatorial(spark):
     assert {(r["hi_ord"], r["lo_ord"]) for r in got} == {(1, 0), (2, 0)}
 
 
+def test_combinatorial_beyond_the_listing_limit(spark):
+    rng = random.Random(3)
+    rows = [(f"{rng.choice(['bitcoin', 'cpi', 'bitcoin cpi'])} above {rng.randrange(1, 90)}", f'["{rng.randrange(0, 30) / 30}"]', 2000.0, None) for _ in range(700)]
+    df = listed(spark, *rows)
+    assert strategies.combinatorial(df, most=7).agg(F.max("hi_ord")).first()[0] < 7  # the limit stays a parameter
+    want = {}
+    for r in strategies.combinatorial(df, most=None).collect():
+        n, best = want.get((r["topic"], r["hi_ord"]), (0, (9, 0)))
+        want[r["topic"], r["hi_ord"]] = n + 1, min(best, (r["lo_price"], r["lo_ord"]))
+    got = {(r["topic"], r["hi_ord"]): (r["violations"], (r["lo_price"], r["lo_ord"])) for r in strategies.combinatorial_best(df).collect()}
+    assert got == want and max(o for _, o in got) >= 300
+    assert strategies.combinatorial_best(df.where("false")).count() == 0
+
+
 def test_flags(spark):
     eco = listed(spark, ("CPI", '["0.4"]', 500.0, None), ("CPI", '["0.4"]', 501.0, None), ("CPI", '["0.4"]', 50000.0, None), ("CPI", '["0"]', 600.0, None), ("other", '["0.4"]', 600.0, None))
     assert [r["ord"] for r in strategies.economics(eco).collect()] == [1]
