@@ -1,7 +1,7 @@
 """Lexical retrieval packing: windows filled with the seed document's BM25 neighbours.
 
-Documents are dealt to shards by a hash of their id, about SHARD_BYTES of text each. A
-shard encodes its texts and holds a BM25 inverted index over token ids. A document's full
+Texts are encoded once and dealt by content to shards of about SHARD_BYTES of text each
+(see ``dealing``). A shard holds a BM25 inverted index over token ids. A document's full
 windows stand alone. What remains of the documents seeds windows in turn: the index
 returns the seed's best unused neighbours, which fill the window whole where they fit; the
 best of the others is cut to fill it up and stays in the index with the rest. So only the
@@ -11,13 +11,17 @@ last window of a shard needs padding.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm import dealing
 from marlstone.llm.encoder import encoder
+from marlstone.sources import scratch
 
 WINDOW = 2048
 END_ID = 1
@@ -111,12 +115,25 @@ def pack_documents(ids: list[np.ndarray], window: int = WINDOW) -> list[tuple[in
         sequence += 1
 
 
-def pack_shard(path: str, window: int):
+def encode_rows(path: str):
+    """(doc_id, text) to (doc_id, ids, size): the ids with the end id, and the bytes of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, end = encoder(path), np.array([END_ID], dtype=np.uint16).tobytes()
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                ids = [x.tobytes() + end for x in code(part.column(1).to_pylist())]
+                size = pc.add(pc.fill_null(pc.binary_length(part.column(1)), 0).cast(pa.int64()), 16)
+                yield pa.record_batch([part.column(0), pa.array(ids, type=pa.binary()), size], names=["doc_id", "ids", "size"])
+
+    return run
+
+
+def pack_shard(window: int):
     def run(key: tuple, shard: pa.Table) -> pa.Table:
-        code = encoder(path)
-        shard = shard.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        end = np.array([END_ID], dtype=np.uint16)
-        ids = [np.concatenate([x, end]) for x in code(shard.column("text").to_pylist())]
+        shard = shard.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
+        ids = dealing.as_ids(shard.column("ids"))
         names = shard.column("doc_id").to_pylist()
         rows = []
         for d, start, length, sequence, offset in pack_documents(ids, window):
@@ -128,17 +145,38 @@ def pack_shard(path: str, window: int):
     return run
 
 
+def deal(coded: DataFrame, shards: int) -> DataFrame:
+    """Add ``shard`` to rows of doc_id, ids and size, by content."""
+    if shards == 1:
+        return coded.select("doc_id", "ids", F.lit(0).cast("long").alias("shard"))
+    spread = (F.pmod(F.xxhash64("doc_id", "ids"), F.lit(1 << 20)) / F.lit(1 << 20)).alias("spread")
+    n = coded.count()
+
+    def sample(most: int, seed: int) -> DataFrame:
+        # half as many again are drawn, so that chance leaves enough
+        return coded.where(F.pmod(F.xxhash64("ids", "doc_id", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, 1.5 * most / n) * (1 << 30)))
+
+    drawn = sample(dealing.BASIS_SAMPLE, 1).select("ids").limit(dealing.BASIS_SAMPLE).collect()
+    drawn = drawn or coded.select("ids").limit(1).collect()
+    idf, directions = dealing.basis([np.frombuffer(r["ids"], dtype=np.uint16) for r in drawn])
+    points = sample(dealing.TREE_SAMPLE * shards, 2).select("ids", spread, "size").mapInArrow(dealing.vector_rows(idf, directions), "vector binary, size long").toArrow()
+    x = np.frombuffer(b"".join(points.column("vector").to_pylist()), dtype=np.float32).reshape(-1, dealing.WIDTH + 1)
+    cuts = dealing.tree(x, points.column("size").to_numpy().astype(np.float64), shards)
+    return coded.select("doc_id", "ids", spread).mapInArrow(dealing.shard_rows(idf, directions, cuts), "doc_id long, ids binary, shard long")
+
+
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The pieces of all documents: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
     A document's ids are those of its whole text and one end id; null text is empty. Every
     row is packed for itself, repeated ids and null ids too. A sequence is ``window`` ids
-    but for the last of each shard. Neighbours are searched within a shard, so that a
-    document is used once without shards waiting for each other; ties go by id, then text.
-    Other columns are ignored; an empty table gives no rows.
+    but for the last of each shard. Documents are dealt to shards by content and neighbours
+    are searched within a shard, so that a document is used once without shards waiting for
+    each other; ties go by id, then text. Other columns are ignored; an empty table gives
+    no rows.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    total = own.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 16).alias("n")).first()["n"] or 0
-    shards = max(1, -(-total // shard_bytes))
-    dealt = own.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(pack_shard(tokenizer_path, window), SCHEMA)
+    coded = scratch.table(own.mapInArrow(encode_rows(tokenizer_path), "doc_id long, ids binary, size long"), "packing-ids")
+    total = coded.agg(F.sum("size").alias("n")).first()["n"] or 0
+    dealt = deal(coded, max(1, -(-total // shard_bytes)))
+    return dealt.groupBy("shard").applyInArrow(pack_shard(window), SCHEMA)

@@ -143,6 +143,28 @@ def test_packing(docs):
     assert sorted((r["doc_id"] or 0, r["length"]) for r in twice) == [(0, 2), (1, 3), (1, 3)]
 
 
+def test_packing_meets_neighbours_across_the_table(docs):
+    rng = random.Random(8)
+    words = [[f"{chr(97 + t)}{rng.choice('aeiou')}{chr(97 + rng.randrange(26))}{k}" for k in range(60)] for t in range(8)]
+    texts = [" ".join(rng.choices(words[k % 8], k=90)) for k in range(320)]
+    size = sum(map(len, texts)) + 16 * len(texts)
+    rows = packing.pack(docs(*texts), VOCABULARY, shard_bytes=size // 8).collect()
+    check_pieces(rows, dict(enumerate(texts)))
+    by = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        by[r["sequence_id"]].append((r["doc_id"] % 8, r["length"]))
+    alike = sum(n for own in by.values() for t, n in own[1:] if t == own[0][0])
+    assert alike > 0.8 * sum(n for own in by.values() for _, n in own[1:])
+
+
+def test_packing_splits_a_group_of_copies(docs):
+    texts = ["one text that all of these share"] * 300 + [f"other {k} text" for k in range(100)]
+    rows = packing.pack(docs(*texts), VOCABULARY, shard_bytes=2000).collect()
+    check_pieces(rows, dict(enumerate(texts)))
+    loads = collections.Counter(r["sequence_id"] >> 32 for r in rows)
+    assert len(loads) >= 7 and max(loads.values()) < 150
+
+
 def test_packing_takes_neighbours():
     rng = np.random.default_rng(1)
     topics = [rng.integers(100 * t, 100 * t + 80, 700) for t in range(4)]
