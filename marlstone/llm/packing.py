@@ -3,8 +3,9 @@
 Texts are encoded once and dealt by content to shards of about SHARD_BYTES of text each
 (see ``dealing``). A shard holds a BM25 inverted index over token ids. A document's full
 windows stand alone. What remains of the documents seeds windows in turn: the index
-returns the seed's best unused neighbours, which fill the window whole where they fit; the
-best of the others is cut to fill it up and stays in the index with the rest. So only the
+returns the seed's unused neighbours in lots, the best first, which fill the window whole
+where they fit; the best of a lot's others is cut to fill it up and stays in the index with
+the rest. Documents that share no term follow only when no neighbour is left. So only the
 last window of a shard needs padding.
 """
 
@@ -26,7 +27,7 @@ from marlstone.sources import scratch
 WINDOW = 2048
 END_ID = 1
 SHARD_BYTES = 4 << 20
-#: The seed's most telling terms that are looked up, and the neighbours asked for.
+#: The seed's terms that are looked up at a time, the most telling first, and the neighbours put in order at a time.
 QUERY_TERMS = 24
 NEIGHBOURS = 32
 K1, B = 1.2, 0.75
@@ -54,17 +55,32 @@ class Index:
         self.own, self.own_at = row[order], np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=n))])
         self.n = n
 
-    def neighbours(self, seed: int, free: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with the seed, the best first, ties by place."""
-        score = np.zeros(self.n, dtype=np.float32)
-        for t in self.own[self.own_at[seed] : self.own_at[seed + 1]][:QUERY_TERMS]:
-            a, b = self.at[t], self.at[t + 1]
-            score[self.doc[a:b]] += self.weight[a:b]
-        score[~free] = 0
-        found = np.flatnonzero(score)
-        if len(found) > NEIGHBOURS:
-            found = found[np.sort(np.argpartition(-score[found], NEIGHBOURS)[:NEIGHBOURS])]
-        return found[np.argsort(-score[found], kind="stable")]
+    def neighbours(self, seed: int, free: np.ndarray) -> Iterator[np.ndarray]:
+        """Unused documents that share a term with the seed, in lots, the best first, ties by place.
+
+        Those that share one of the most telling terms come first; while more is asked for,
+        the rest of them, and then those that share only the next terms, to the last term.
+        """
+        own = self.own[self.own_at[seed] : self.own_at[seed + 1]]
+        seen = ~free
+        for first in range(0, len(own), QUERY_TERMS):
+            score = np.zeros(self.n, dtype=np.float32)
+            for t in own[first : first + QUERY_TERMS]:
+                a, b = self.at[t], self.at[t + 1]
+                score[self.doc[a:b]] += self.weight[a:b]
+            score[seen] = 0
+            found = np.flatnonzero(score)
+            seen[found] = True
+            if len(found) > NEIGHBOURS:
+                top = np.sort(np.argpartition(-score[found], NEIGHBOURS)[:NEIGHBOURS])
+                best = found[top]
+                yield best[np.argsort(-score[best], kind="stable")]
+                found = np.delete(found, top)
+                found = found[np.argsort(-score[found], kind="stable")]
+            else:
+                found = found[np.argsort(-score[found], kind="stable")]
+            for at in range(0, len(found), NEIGHBOURS):
+                yield found[at : at + NEIGHBOURS]
 
 
 def pack_documents(ids: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -96,19 +112,22 @@ def pack_documents(ids: list[np.ndarray], window: int = WINDOW) -> list[tuple[in
         if queue == len(ids):
             return out
         seed, room = queue, put(queue, window)
-        cut = None
         if room:
-            for d in index.neighbours(seed, free):
-                if left[d] <= room:
-                    room = put(d, room)
-                elif cut is None:
-                    cut = d
+            for lot in index.neighbours(seed, free):
+                cut = None
+                for d in lot:
+                    if left[d] <= room:
+                        room = put(d, room)
+                    elif cut is None:
+                        cut = d
+                    if not room:
+                        break
+                if room and cut is not None:
+                    room = put(cut, room)
                 if not room:
                     break
-            if room and cut is not None:
-                room = put(cut, room)
             at_queue = queue
-            while room and at_queue < len(ids):  # no neighbour is left: the next in line
+            while room and at_queue < len(ids):  # no unused document shares a term: the next in line
                 if free[at_queue]:
                     room = put(at_queue, room)
                 at_queue += 1

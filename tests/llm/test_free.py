@@ -143,6 +143,17 @@ def test_packing(docs):
     assert sorted((r["doc_id"] or 0, r["length"]) for r in twice) == [(0, 2), (1, 3), (1, 3)]
 
 
+@pytest.mark.parametrize("lonely", [0, 30])
+def test_packing_fills_with_neighbours_to_the_last(lonely):
+    """Short documents, more to a window than a lot; with terms of its own, rarer than the shared ones, in each."""
+    topics = [np.arange(100, 110), np.arange(200, 210)]
+    ids = [np.concatenate([topics[k % 2], 1000 + lonely * k + np.arange(lonely)]).astype(np.uint16) for k in range(200)]
+    by = collections.defaultdict(list)
+    for d, _, length, seq, _ in packing.pack_documents(ids, window=50 * len(ids[0])):
+        by[seq].append((d % 2, length))
+    assert len(by) == 4 and all(len({t for t, _ in own}) == 1 for own in by.values())
+
+
 def test_packing_meets_neighbours_across_the_table(docs):
     rng = random.Random(8)
     words = [[f"{chr(97 + t)}{rng.choice('aeiou')}{chr(97 + rng.randrange(26))}{k}" for k in range(60)] for t in range(8)]
