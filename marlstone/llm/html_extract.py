@@ -1,8 +1,8 @@
 """Main text of web pages by site template removal.
 
-Every element outside the article, and link lists inside it, is hashed with all that it
-holds. Spark counts each host's pages that hold a subtree; those on many pages are the
-site's template and are deleted. What marks itself as a menu, header, footer, sidebar,
+Every element outside the article, and link lists and boxes inside it, is hashed with all
+that it holds. Spark counts each host's pages that hold a subtree, for a box its different
+articles; those on many are the site's template and are deleted. What marks itself as a menu, header, footer, sidebar,
 notice, advert, form or reader comment is deleted on single pages too. The rest of the
 article (of the body, where a page names no article) is the main text.
 """
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A subtree on so many pages of its host is template.
+#: A subtree on so many pages of its host, or a box in so many articles, is template.
 MIN_PAGES = 4
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
@@ -28,6 +28,8 @@ RAW = frozenset("script style title textarea noscript template iframe noframes x
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 ENDS_P = BLOCK - frozenset("body html caption tbody td tfoot th thead tr button".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What may be a box in an article; its own headings and paragraphs are not.
+BOX = frozenset("address aside center dd details div dl dt fieldset figure footer header hgroup ol section summary table ul".split())
 DROPPED = frozenset("head nav footer aside form button select option menu dialog svg canvas object audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 #: An element closes these when they are open next to it.
@@ -46,16 +48,17 @@ RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for na
 
 
 class Node:
-    __slots__ = ("tag", "up", "own", "bad", "main", "holds_main", "in_main", "parts", "size", "linked", "key", "link")
+    __slots__ = ("tag", "up", "own", "bad", "main", "holds_main", "in_main", "inner", "parts", "size", "linked", "headed", "key", "link")
 
     def __init__(self, tag: str, up: Node | None, bad: bool, main: bool):
         self.tag, self.up, self.own = tag, up, bad
         self.main, self.holds_main = main, main
         self.in_main = main or (up is not None and up.in_main)
+        self.inner = self if main else up.inner if up is not None else None
         self.link = tag == "a" or (up is not None and up.link)
         self.bad = bad
         self.parts: list[str] = []
-        self.size = self.linked = 0
+        self.size = self.linked = self.headed = 0
         self.key = 0
 
 
@@ -92,6 +95,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
             up.parts.append(f"\x02{digest:x}")
             up.size += x.size
             up.linked += x.linked
+            up.headed += x.size if x.tag in HEADINGS else x.headed
             up.holds_main = up.holds_main or x.holds_main
             if x.tag in BLOCK:
                 stream.append((up, None))
@@ -166,9 +170,24 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
     return nodes, stream
 
 
-def templates(nodes: list[Node]) -> set[int]:
-    """Hashes of the subtrees that may be template: outside the article, or link lists in it."""
-    return {x.key for x in nodes if x.size and not x.holds_main and x.tag not in ("html", "body", "head") and (not x.in_main or (x.tag in BLOCK and 2 * x.linked >= x.size))}
+def may_go(x: Node) -> bool | None:
+    """Whether a subtree may be template: True by its pages, None by its different articles.
+
+    By pages: outside the article, or a link list in it. By articles, so that an article
+    that a site repeats keeps its boxes: any other box in it, unless only headings would be
+    left of the article.
+    """
+    if not x.size or x.holds_main or x.tag in ("html", "body", "head"):
+        return False
+    if not x.in_main or (x.tag in BLOCK and 2 * x.linked >= x.size):
+        return True
+    left = x.inner.size - x.inner.headed - (x.size - x.headed)
+    return None if x.tag in BOX and left > 0 else False
+
+
+def templates(nodes: list[Node]) -> set[tuple[int, int | None]]:
+    """(hash, None) of the subtrees that count by pages, and (hash, hash of the article) of those that count by articles."""
+    return {(x.key, None if way else x.inner.key) for x in nodes if (way := may_go(x)) is not False}
 
 
 def main_text(page: str | None, gone: set[int]) -> str:
@@ -179,7 +198,7 @@ def main_text(page: str | None, gone: set[int]) -> str:
     for x in nodes:  # elements come after those that hold them
         up = x.up is not None and deleted.get(id(x.up), False)
         own = x.own and not (x.holds_main and x.tag not in ("article", "main"))
-        template = x.key in gone and not x.holds_main and (not x.in_main or (x.tag in BLOCK and 2 * x.linked >= x.size))
+        template = x.key in gone and may_go(x) is not False
         deleted[id(x)] = up or own or template
     blocks, block = [], []
     for x, text in stream:
@@ -198,7 +217,7 @@ def subtree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 500)
             found = [templates(parse(page or "")[0]) for page in part.column(2).to_pylist()]
             rows = pa.array([k for k, own in enumerate(found) for _ in own], type=pa.int32())
-            yield pa.record_batch([part.column(0).take(rows), part.column(1).take(rows), pa.array([x for own in found for x in own], type=pa.int64())], names=["page_id", "host", "node"])
+            yield pa.record_batch([part.column(0).take(rows), part.column(1).take(rows), *(pa.array([x[c] for own in found for x in own], type=pa.int64()) for c in (0, 1))], names=["page_id", "host", "node", "article"])
 
 
 def text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +239,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, page_id: str = "page_i
     own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"))
     host = F.lower(F.regexp_extract("url", HOST, 1))
     sited = own.select("page_id", host.alias("host"), "html").where("page_id is not null and host <> '' and html is not null")
-    nodes = sited.mapInArrow(subtree_rows, "page_id long, host string, node long")
-    template = nodes.groupBy("host", "node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select("host", "node")
+    nodes = sited.mapInArrow(subtree_rows, "page_id long, host string, node long, article long")
+    counted = nodes.groupBy("host", "node", "article").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= min_pages) | F.col("article").isNotNull())
+    template = counted.groupBy("host", "node").agg(F.count_if(F.col("article").isNull()).alias("pages"), F.count("article").alias("articles")).where((F.col("pages") > 0) | (F.col("articles") >= min_pages)).select("host", "node")
     gone = nodes.join(template, ["host", "node"]).groupBy("page_id").agg(F.collect_set("node").alias("gone"))
     return own.join(gone, "page_id", "left").select("page_id", "url", "html", "gone").mapInArrow(text_rows, "page_id long, url string, text string")

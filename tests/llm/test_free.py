@@ -276,6 +276,22 @@ def test_site_templates(spark):
     assert html_extract.extract(df.where("false")).count() == 0
 
 
+def test_site_templates_inside_the_article(spark):
+    box = "<div>Read us <p>every day</p></div>"
+    rows = [(k, "http://a.example/", f"<main>{box}<article><h1>T</h1><p>own {k}</p>{box}<p>often</p><section>part {k}</section></article></main>") for k in range(4)]
+    rows += [(10 + k, "http://b.example/", f"<article><p>own {k}</p>{box}</article>") for k in range(3)]  # on too few
+    rows += [(20 + k, "http://c.example/", f"<main><p>{k}</p><article><p>same</p>{box}</article></main>") for k in range(5)]  # one article, repeated
+    rows += [(30 + k, "http://d.example/", f"<article><h1>T {k}</h1>{box}</article>") for k in range(5)]  # only headings would be left
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n") for r in html_extract.extract(df).collect()}
+    for k in range(5):
+        if k < 4:
+            assert got[k] == ["T", f"own {k}", "often", f"part {k}"]
+        if k < 3:
+            assert got[10 + k] == [f"own {k}", "Read us", "every day"]
+        assert got[20 + k] == [str(k), "same", "Read us", "every day"] and got[30 + k] == [f"T {k}", "Read us", "every day"]
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_lm(docs, order):
     rng = random.Random(9)
