@@ -57,14 +57,16 @@ def ensemble(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "outcome").agg((F.sum(F.col("prob") * F.col("weight")) / F.sum("weight")).alias("ensemble"), spread.alias("spread"))
 
 
-def match_markets(stations: DataFrame, markets: DataFrame, most: int = MARKETS_PER_STATION) -> DataFrame:
-    """The first markets in order whose question names the station; ``stations``: city, station_id, alias rows.
+def match_markets(stations: DataFrame, markets: DataFrame, most: int | None = MARKETS_PER_STATION) -> DataFrame:
+    """The first markets in order whose question names the station, all with None; ``stations``: city, station_id, alias rows.
 
     The stations are a few rows of fixed values, so every market meets them in its own task.
     """
     names = stations.groupBy("city", "station_id").agg(F.collect_set("alias").alias("aliases"))
     low = F.lower("question")
     named = markets.join(F.broadcast(names), F.exists("aliases", lambda a: F.contains(low, a)))
+    if most is None:
+        return named.drop("aliases")
     place = F.row_number().over(Window.partitionBy("station_id").orderBy("ord"))
     return named.withColumn("place", place).where(F.col("place") <= most).drop("place", "aliases")
 

@@ -154,6 +154,25 @@ def crypto_lag_v1(spark, sf_dir):
     return strategies.crypto_lag_v1(A.markets(spark, sf_dir), A.spot(spark), A.as_of())
 
 
+def without(sql: str, limit: str) -> str:
+    """The SQL of a query without its limit for each group."""
+    assert sql.count(limit) == 1
+    return sql.replace(limit, "")
+
+
+FIRST = " QUALIFY row_number() OVER (PARTITION BY {} ORDER BY ord) <= {}"
+
+
+@query(without(SQL["crypto_lag"], FIRST.format("symbol", 8)))
+def crypto_lag_all(spark, sf_dir):
+    return strategies.crypto_lag(A.markets(spark, sf_dir), A.spot(spark), A.as_of(), most=None)
+
+
+@query(without(SQL["crypto_lag_v1"], FIRST.format("symbol", 5)))
+def crypto_lag_v1_all(spark, sf_dir):
+    return strategies.crypto_lag_v1(A.markets(spark, sf_dir), A.spot(spark), A.as_of(), most=None)
+
+
 @query(f"""WITH {MARKETS}, {SPOT}, {named(V.SYMBOLS, V.RELATION_WORDS, None)},
  t AS (SELECT n.*, spot.spot, {last_large('question')} AS threshold, {way('question')} AS way FROM n JOIN spot USING (symbol)),
  d AS (SELECT *, (spot - threshold) / threshold AS distance FROM t WHERE threshold IS NOT NULL AND way IS NOT NULL)
@@ -234,10 +253,10 @@ WEATHER = f"""WITH {MARKETS}, {FORECASTS}, {LATEST}, {PROBS.replace('FROM f)', '
 """
 
 
-def station_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def station_signals(spark: SparkSession, sf_dir: str, most: int | None = weather.MARKETS_PER_STATION) -> DataFrame:
     now = markets.latest(A.forecasts(spark, sf_dir), ["station_id"], ["forecast_id"])
     aliases = schemas.station_aliases(spark).withColumnRenamed("stationId", "station_id")
-    return scans.weather_signals(now, aliases, A.markets(spark, sf_dir), A.prices(spark, sf_dir))
+    return scans.weather_signals(now, aliases, A.markets(spark, sf_dir), A.prices(spark, sf_dir), most=most)
 
 
 @query(WEATHER + f"""SELECT city, station_id, outcome, {rnd('prob', 3)} AS model_prob, {rnd('aligned', 3)} AS model_aligned, {rnd('price', 3)} AS market_prob, {rnd('raw', 2)} AS raw_edge, {rnd('net', 2)} AS net_edge,
@@ -246,6 +265,11 @@ def weather_edges(spark, sf_dir):
     return station_signals(spark, sf_dir)
 
 
+@query(without(SQL["weather_edges"], FIRST.format("station_id", 8)))
+def weather_edges_all(spark, sf_dir):
+    return station_signals(spark, sf_dir, None)
+
+
 # --- listings ------------------------------------------------------------------------------
 
 

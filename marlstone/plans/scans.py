@@ -14,10 +14,10 @@ from marlstone.operators import ledger, markets, strategies, weather
 STRATEGIES = [("economics", "Economics / Macro"), ("geopolitics", "Geopolitics (0% fee)"), ("negrisk", "NegRisk Rebalancing"), ("crypto", "Crypto Price Lag"), ("combinatorial", "Combinatorial Arbitrage")]
 
 
-def weather_signals(forecasts: DataFrame, stations: DataFrame, listed: DataFrame, book: DataFrame, min_edge: float = 1.0) -> DataFrame:
-    """Edges of each station's forecast over the prices of its markets."""
+def weather_signals(forecasts: DataFrame, stations: DataFrame, listed: DataFrame, book: DataFrame, min_edge: float = 1.0, most: int | None = weather.MARKETS_PER_STATION) -> DataFrame:
+    """Edges of each station's forecast over the prices of its markets, of the first ``most`` of them."""
     probs = weather.by_outcome(weather.probabilities(forecasts), ["station_id"]).withColumn("spread", F.lit(0.0))
-    matched = markets.with_price(weather.match_markets(stations, listed), book).select("station_id", "city", "ord", "market_id", "question", "price")
+    matched = markets.with_price(weather.match_markets(stations, listed, most), book).select("station_id", "city", "ord", "market_id", "question", "price")
     return weather.edges(probs, matched, min_edge)
 
 

@@ -82,6 +82,17 @@ def test_caps_come_before_filters(spark):
     assert strategies.crypto_lag(listed(spark, *rows), spot, now(), most=None).count() == 1
 
 
+def test_per_group_caps_are_parameters(spark):
+    spot = spark.createDataFrame([("BTC", 106000.0)], "symbol string, spot double")
+    old = listed(spark, *[("bitcoin above nothing", '["0.5"]', 1.0, at(11))] * 5, ("Will bitcoin be above $100,000?", '["0.5"]', 1.0, at(11)))
+    assert [strategies.crypto_lag_v1(old, spot, now(), most=n).count() for n in (5, 6, None)] == [0, 1, 1]
+    stations = spark.createDataFrame([("Paris", "LFPO", "paris")], "city string, station_id string, alias string")
+    rows = listed(spark, *[("Paris news", '["0.5"]', 1.0, None)] * 8, ("Paris rain", '["0.1"]', 1.0, None))
+    forecast = spark.createDataFrame([("LFPO", 20.0, 10.0, 20.0, 90.0, 0.0, 0.0, 0, 0.0, "C")], "station_id string, tmax_c double, tmin_c double, precip_mm double, pop double, snow double, wind double, wmo int, humidity double, unit string")
+    book = spark.createDataFrame([], "token_id long, price double")
+    assert [[r["market_id"] for r in scans.weather_signals(forecast, stations, rows, book, most=n).collect()] for n in (8, 9, None)] == [[], [8], [8]]
+
+
 def test_combinatorial(spark):
     rows = [("bitcoin above 100", '["0.5"]', 2000.0, None), ("bitcoin above 200", '["0.6"]', 2000.0, None), ("bitcoin above 300", '["0.62"]', 2000.0, None), ("bitcoin below 400", '["0.9"]', 2000.0, None), ("cpi above 500", '["0.9"]', 2000.0, None), ("bitcoin above 600", '["0.9"]', 10.0, None)]
     got = strategies.combinatorial(listed(spark, *rows)).collect()
