@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from marlstone.functions.scalars import number_or, round_half_away
@@ -54,20 +59,35 @@ def place(orders: DataFrame, account: str, start: float = START, default: float
     """Accept orders one after another: size is cut to the balance, and below ``least`` the order is refused.
 
     Each size depends on all before it, so an account's orders are folded in order:
-    (account, id, size, accepted, balance).
+    (account, id, size, accepted, balance). They pass as a sorted stream that carries only
+    the balance, so that an account may have any number of orders.
     """
-    step = lambda a, x: _step(a, x, least)
-    rows = orders.groupBy(account).agg(F.array_sort(F.collect_list(F.struct("seq", "id", number_or(F.col("size"), default).alias("size")))).alias("orders"))
-    zero = F.struct(F.lit(float(start)).alias("balance"), F.expr("cast(array() as array<struct<id: bigint, size: double, accepted: boolean, balance: double>>)").alias("done"))
-    return rows.select(account, F.explode(F.aggregate("orders", zero, step)["done"]).alias("t")).select(account, "t.*")
-
-
-def _step(state: Column, order: Column, least: float) -> Column:
-    size = F.least(order["size"], state["balance"])
-    fine = size >= least
-    balance = F.when(fine, round_half_away(state["balance"] - size, 2)).otherwise(state["balance"])
-    row = F.struct(order["id"].cast("long").alias("id"), F.when(fine, size).alias("size"), fine.alias("accepted"), balance.alias("balance"))
-    return F.struct(balance.alias("balance"), F.concat(state["done"], F.array(row)).alias("done"))
+    rows = orders.select(F.col(account), "seq", F.col("id").cast("long").alias("id"), number_or(F.col("size"), default).cast("double").alias("size"))
+    sorted_ = rows.repartition(account).sortWithinPartitions(account, "seq", "id", "size").select(account, "id", "size")
+    kind = rows.select(account).schema.fields[0]
+    schema = T.StructType([T.StructField(account, kind.dataType), T.StructField("id", T.LongType()), T.StructField("size", T.DoubleType()), T.StructField("accepted", T.BooleanType()), T.StructField("balance", T.DoubleType())])
+    return sorted_.mapInArrow(_fold(float(start), least), schema)
+
+
+def _fold(start: float, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, last, balance = True, None, start
+        for b in batches:
+            sizes, accepted, balances = [], [], []
+            for account, size in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if first or not (account == last or (account != account and last != last)):  # NaN is one account
+                    first, last, balance = False, account, start
+                size = min(size, balance)
+                fine = size >= least
+                if fine:
+                    rest = balance - size
+                    balance = math.copysign(math.floor(abs(rest) * 100 + 0.5) / 100, rest)
+                sizes.append(size if fine else None)
+                accepted.append(fine)
+                balances.append(balance)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(sizes, pa.float64()), pa.array(accepted, pa.bool_()), pa.array(balances, pa.float64())], names=[b.schema.names[0], "id", "size", "accepted", "balance"])
+
+    return run
 
 
 def statistics(trades: DataFrame, balance: float = START, most: int | None = 10_000) -> DataFrame:

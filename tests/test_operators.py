@@ -1,5 +1,6 @@
 """Operators on small tables with both sides of each threshold."""
 
+import math
 import random
 from datetime import datetime
 
@@ -171,6 +172,23 @@ def test_place_is_a_fold(spark):
     assert got == {1: (600.0, True, 400.0), 2: (400.0, True, 0.0), 3: (None, False, 0.0), 4: (10.0, True, 990.0), 5: (None, False, 990.0)}
 
 
+def test_place_streams_a_large_account(spark):
+    n = 100_000
+    size = F.when(F.col("id") % 3 == 0, 0.4).otherwise(F.pmod(F.col("id") * 7919, F.lit(1000)) / 70)
+    orders = spark.range(n, numPartitions=8).select(F.when(F.col("id") % 10 == 0, F.lit("b")).when(F.col("id") % 10 == 1, None).otherwise(F.lit("a")).alias("account"), (n - F.col("id")).alias("seq"), "id", size.alias("size"))
+    placed = ledger.place(orders, "account", start=200_000.0)
+    assert "collect_list" not in placed._jdf.queryExecution().toString()  # no account is one row
+    want, balance = {}, {}
+    for r in sorted(orders.collect(), key=lambda r: r["seq"]):
+        left = balance.get(r["account"], 200_000.0)
+        size = min(r["size"] or 10.0, left)
+        fine = size >= 0.5
+        if fine:
+            balance[r["account"]] = left = math.floor((left - size) * 100 + 0.5) / 100
+        want[r["id"]] = (r["account"], size if fine else None, fine, left)
+    assert {r["id"]: (r["account"], r["size"], r["accepted"], r["balance"]) for r in placed.collect()} == want
+
+
 def test_intents(spark):
     rows = spark.createDataFrame([(k, m, "BUY YES", 0.0 if k == 2 else 0.3, e) for k, (m, e) in enumerate([(1, 1.9), (None, 9.0), (3, -2.0), (4, 5.0), (5, 5.0), (6, 5.0)])], "ord long, market_id long, direction string, market_prob double, net_edge double")
     got = ledger.intents(rows, 1000.0).orderBy("ord").collect()
