@@ -12,7 +12,13 @@ Every n-gram of every training document is counted. Documents are gathered into
 text; a chunk sends the hashes and counts of its distinct n-grams to the buckets of the
 hash space, which add them up over all chunks and answer each chunk with the totals of
 what it asked for. So a frequent n-gram is one entry of each chunk, and no task sees more
-than one chunk or one bucket.
+than one chunk or one bucket. Chunks and buckets both grow with the square root of the
+text, up to MOST_BYTES, so that the rows between them grow with the text and not with its
+square.
+
+The weights are learned on a histogram of the held-out tokens: one cell for each bucket of
+context frequency and rounded probability of each order, with the sums of the logarithms,
+so that a cell stands for its tokens' mean and not for its middle.
 """
 
 from __future__ import annotations
@@ -35,30 +41,58 @@ ORDER = 2
 FOLDS, HELD_OUT = 7, 2
 #: Training documents of this remainder have their counts deleted to learn the weights.
 DELETED = 3
+#: Text of a chunk for the first GB of input; a bucket has half as much. Both grow with the root of the input, up to MOST_BYTES.
 CHUNK_BYTES = 8 << 20
-BUCKET_BYTES = 4 << 20
+MOST_BYTES = 64 << 20
 #: Buckets of context frequency are powers of two.
-FREQUENCIES = 24
+FREQUENCIES = 48
 #: Probabilities on held-out counts are told apart by 1/STEPS of a decade; DECADES of them.
-STEPS, DECADES = 16, 10
+STEPS, DECADES = 4, 20
 ROUNDS = 60
 START, END = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x7C0FFEE5DEADBE11)
 CHUNK = "chunk long, deleted boolean, ids array<long>, folds array<int>, sizes array<long>, blob binary"
 ASK = "bucket int, chunk long, deleted boolean, gram int, hashes binary, counts binary"
-ANSWER = "chunk long, deleted boolean, bucket int, gram int, totals binary"
+#: Of a bucket as a whole: n-grams that occur in training, those that do without the deleted fold, occurrences in all and in that fold.
+SUMS = ("types", "types_left", "tokens", "tokens_deleted")
+ANSWER = "chunk long, deleted boolean, bucket int, gram int, totals binary, " + ", ".join(f"{c} long" for c in SUMS)
+
+
+def sized(text_bytes: int) -> tuple[int, int]:
+    """Bytes of text of a chunk, and how many buckets."""
+    chunk = int(min(MOST_BYTES, max(CHUNK_BYTES, CHUNK_BYTES * (text_bytes / (1 << 30)) ** 0.5)))
+    return chunk, int(max(8, -(-2 * text_bytes // chunk)))
 
 
-def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (doc_id, fold, text): compressed chunks; the deleted fold has chunks of its own."""
-    pack = zstandard.ZstdCompressor(level=3)
-    for whole in batches:
-        deleted = whole.column(1).to_numpy() == DELETED
+def chunk_rows(chunk_bytes: int):
+    """Of (doc_id, fold, text): compressed chunks, gathered over the partition; the deleted fold has chunks of its own."""
+    schema = pa.schema([("chunk", pa.int64()), ("deleted", pa.bool_()), ("ids", pa.list_(pa.int64())), ("folds", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int64())), ("blob", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        held: dict[bool, list] = {False: [], True: []}
+        size = {False: 0, True: 0}
+
+        def flush(flag: bool) -> pa.RecordBatch:
+            ids, folds, sizes, data = zip(*held[flag], strict=True)
+            row = {"chunk": [uuid.uuid4().int >> 65], "deleted": [flag], "ids": [sum(ids, [])], "folds": [sum(folds, [])], "sizes": [sum(sizes, [])], "blob": [pack.compress(b"".join(data))]}
+            held[flag], size[flag] = [], 0
+            return pa.RecordBatch.from_pydict(row, schema=schema)
+
+        for whole in batches:
+            deleted = whole.column(1).to_numpy() == DELETED
+            for flag in (False, True):
+                part = whole.filter(pa.array(deleted == flag))
+                for batch in textkit.pieces(part, "text", chunk_bytes) if part.num_rows else ():
+                    data, offsets = textkit.buffers(batch.column(2))
+                    if held[flag] and size[flag] + len(data) > chunk_bytes:
+                        yield flush(flag)
+                    held[flag].append((batch.column(0).to_pylist(), batch.column(1).to_pylist(), np.diff(offsets).tolist(), data.tobytes()))
+                    size[flag] += len(data)
         for flag in (False, True):
-            part = whole.filter(pa.array(deleted == flag))
-            for batch in textkit.pieces(part, "text", CHUNK_BYTES) if part.num_rows else ():
-                data, offsets = textkit.buffers(batch.column(2))
-                row = {"chunk": [uuid.uuid4().int >> 65], "deleted": [flag], "ids": [batch.column(0).to_pylist()], "folds": [batch.column(1).to_pylist()], "sizes": [np.diff(offsets).tolist()], "blob": [pack.compress(data.tobytes())]}
-                yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("chunk", pa.int64()), ("deleted", pa.bool_()), ("ids", pa.list_(pa.int64())), ("folds", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int64())), ("blob", pa.binary())]))
+            if held[flag]:
+                yield flush(flag)
+
+    return run
 
 
 class Chunk:
@@ -110,11 +144,19 @@ def unpack_hashes(raw: bytes, order: int) -> np.ndarray:
 
 
 def squeeze(x: np.ndarray) -> bytes:
-    return zlib.compress(x.astype(np.uint32).tobytes(), 1)
+    """Counts in four bytes each, or eight where one needs them."""
+    width = np.uint32 if not len(x) or x.max() < 1 << 32 else np.uint64
+    return bytes([np.dtype(width).itemsize]) + zlib.compress(x.astype(width).tobytes(), 1)
 
 
 def expand(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw), dtype=np.uint32).astype(np.int64)
+    return np.frombuffer(zlib.decompress(memoryview(raw)[1:]), dtype=f"<u{raw[0]}").astype(np.int64)
+
+
+def chunks_in(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
 
 
 def ask_rows(order: int, buckets: int):
@@ -122,42 +164,43 @@ def ask_rows(order: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array([(k << 64) // buckets for k in range(1, buckets)], dtype=np.uint64)
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = Chunk(row["sizes"], row["blob"])
-                trained = (np.array(row["folds"]) != HELD_OUT)[chunk.owner]
-                for gram in range(1, order + 1):
-                    h, back = np.unique(chunk.grams(gram), return_inverse=True)
-                    counts = np.bincount(back[trained], minlength=len(h))
-                    cuts = np.concatenate([[0], np.searchsorted(h, edges), [len(h)]])
-                    full = np.flatnonzero(np.diff(cuts))
-                    for lot in np.array_split(full, -(-len(full) // 64)) if len(full) else ():
-                        yield pa.RecordBatch.from_pydict(
-                            {"bucket": lot, "chunk": [row["chunk"]] * len(lot), "deleted": [row["deleted"]] * len(lot), "gram": [gram] * len(lot), "hashes": [pack_hashes(h[cuts[b] : cuts[b + 1]], gram) for b in lot], "counts": [squeeze(counts[cuts[b] : cuts[b + 1]]) for b in lot]},
-                            schema=pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("deleted", pa.bool_()), ("gram", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())]),
-                        )
+        schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("deleted", pa.bool_()), ("gram", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+        for row in chunks_in(batches):
+            chunk = Chunk(row["sizes"], row["blob"])
+            trained = (np.array(row["folds"]) != HELD_OUT)[chunk.owner]
+            for gram in range(1, order + 1):
+                h, back = np.unique(chunk.grams(gram), return_inverse=True)
+                counts = np.bincount(back[trained], minlength=len(h))
+                cuts = np.concatenate([[0], np.searchsorted(h, edges), [len(h)]])
+                full = np.flatnonzero(np.diff(cuts))
+                for lot in np.array_split(full, -(-len(full) // 64)) if len(full) else ():
+                    parts = [slice(cuts[b], cuts[b + 1]) for b in lot]
+                    out = {"bucket": lot, "chunk": [row["chunk"]] * len(lot), "deleted": [row["deleted"]] * len(lot), "gram": [gram] * len(lot), "hashes": [pack_hashes(h[x], gram) for x in parts], "counts": [squeeze(counts[x]) for x in parts]}
+                    yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     return run
 
 
 def add_up(key: tuple, asked: pa.Table) -> pa.Table:
-    """Totals of one bucket and order for each chunk that asked; chunk null: n-grams that occur in training, those that do without the deleted fold, and occurrences in all and in that fold."""
-    gram = key[1].as_py()
-    rows = asked.select(["chunk", "deleted", "bucket", "hashes", "counts"]).to_pylist()
+    """Totals of one bucket and order for each chunk that asked, and one row of SUMS without a chunk."""
+    bucket, gram = (x.as_py() for x in key)
+    rows = asked.select(["chunk", "deleted", "hashes", "counts"]).to_pylist()
     hashes, counts = [unpack_hashes(r["hashes"], gram) for r in rows], [expand(r["counts"]) for r in rows]
     names, back = np.unique(np.concatenate(hashes), return_inverse=True)
     flat, gone = np.concatenate(counts), np.repeat([r["deleted"] for r in rows], [len(h) for h in hashes])
-    total = np.bincount(back, weights=flat, minlength=len(names)).astype(np.int64)
-    deleted = np.bincount(back[gone], weights=flat[gone], minlength=len(names)).astype(np.int64)
-    out = {"chunk": [None], "deleted": [False], "bucket": [rows[0]["bucket"]], "gram": [gram], "totals": [np.array([(total > 0).sum(), (total > deleted).sum(), total.sum(), deleted.sum()], dtype=np.int64).tobytes()]}
+    total, deleted = np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=np.int64)
+    np.add.at(total, back, flat)
+    np.add.at(deleted, back[gone], flat[gone])
+    sums = dict(zip(SUMS, ((total > 0).sum(), (total > deleted).sum(), total.sum(), deleted.sum()), strict=True))
+    out = [{"chunk": None, "deleted": False, "totals": None, **sums}]
     at = 0
     for r, h in zip(rows, hashes, strict=True):
         own = back[at : at + len(h)]
         at += len(h)
         told = np.concatenate([total[own], deleted[own]]) if r["deleted"] else total[own]
-        for name, value in (("chunk", r["chunk"]), ("deleted", r["deleted"]), ("bucket", r["bucket"]), ("gram", gram), ("totals", squeeze(told))):
-            out[name].append(value)
-    return pa.Table.from_pydict(out, schema=pa.schema([("chunk", pa.int64()), ("deleted", pa.bool_()), ("bucket", pa.int32()), ("gram", pa.int32()), ("totals", pa.binary())]))
+        out.append({"chunk": r["chunk"], "deleted": r["deleted"], "totals": squeeze(told)})
+    kinds = [("chunk", pa.int64()), ("deleted", pa.bool_()), ("bucket", pa.int32()), ("gram", pa.int32()), ("totals", pa.binary()), *((c, pa.int64()) for c in SUMS)]
+    return pa.Table.from_pylist([{"bucket": bucket, "gram": gram, **r} for r in out], schema=pa.schema(kinds))
 
 
 def totals_of(chunk: Chunk, answers: list[dict], order: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -189,44 +232,43 @@ def estimates(counts: list[np.ndarray], first: np.ndarray, docs: int, tokens: in
     return p, np.minimum(np.log2(context + 1).astype(np.int64), FREQUENCIES - 1)
 
 
+def cells(p: np.ndarray, bucket: np.ndarray) -> dict[str, np.ndarray]:
+    """The histogram of tokens: cell, tokens in it, and for each order the sum of log10 p (0 where p is 0)."""
+    code, logs = bucket, [np.where(x > 0, np.log10(np.where(x > 0, x, 1)), 0) for x in p[1:]]
+    for x, log in zip(p[1:], logs, strict=True):
+        code = code * (STEPS * DECADES + 2) + np.where(x > 0, 1 + np.clip(np.round(-STEPS * log), 0, STEPS * DECADES), 0).astype(np.int64)
+    code, back, n = np.unique(code, return_inverse=True, return_counts=True)
+    return {"code": code, "n": n} | {f"log{k}": np.bincount(back, weights=x, minlength=len(code)) for k, x in enumerate(logs, 1)}
+
+
 def learn_rows(order: int, docs: int, tokens: int, types: int):
-    """Histogram of the deleted fold's tokens: context bucket and binned probabilities, with deleted counts."""
+    """Cells of the deleted fold's tokens, with that fold's counts deleted."""
+    empty = np.zeros((order + 1, 0)), np.zeros(0, dtype=np.int64)
 
     def run(key: tuple, chunks: pa.Table, answers: pa.Table) -> pa.Table:
         found = answers.to_pylist()
-        seen = []
+        seen = [empty]
         for row in chunks.to_pylist():
             chunk = Chunk(row["sizes"], row["blob"])
             counts = [a - b for a, b in totals_of(chunk, found, order)]
             first = np.zeros(len(chunk.tokens), dtype=bool)
             first[chunk.at[:-1]] = True
-            p, bucket = estimates(counts, first, docs, tokens, types)
-            code = bucket
-            for k in range(1, order + 1):
-                binned = np.where(p[k] > 0, 1 + np.clip(np.round(-STEPS * np.log10(np.maximum(p[k], 1e-30))), 0, STEPS * DECADES), 0).astype(np.int64)
-                code = code * (STEPS * DECADES + 2) + binned
-            seen.append(code)
-        code, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, dtype=np.int64),) * 2
-        return pa.table({"code": pa.array(code, type=pa.int64()), "n": pa.array(n, type=pa.int64())})
+            seen.append(estimates(counts, first, docs, tokens, types))
+        return pa.table(cells(*(np.concatenate(x, axis=-1) for x in zip(*seen, strict=True))))
 
     return run
 
 
-def learn_weights(code: np.ndarray, n: np.ndarray, order: int, types: int) -> np.ndarray:
-    """Weights (context bucket, order) by expectation-maximisation over the histogram."""
-    base, p = STEPS * DECADES + 2, np.zeros((order + 1, len(code)))
-    for k in range(order, 0, -1):
-        p[k] = np.where(code % base > 0, 10.0 ** (-(code % base - 1.0) / STEPS), 0)
-        code = code // base
-    p[0] = 1 / (types + 1)
-    overall = np.full(order + 1, 1 / (order + 1))
+def learn_weights(bucket: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Weights (context bucket, order) by expectation-maximisation over rows of n tokens with probabilities p[order]."""
+    overall = np.full(len(p), 1 / len(p))
     for _ in range(ROUNDS if len(n) else 0):
         part = overall[:, None] * p
         overall = (part / part.sum(axis=0) * n).sum(axis=1) + 1e-3
         overall /= overall.sum()
     weights = np.tile(overall, (FREQUENCIES, 1))
-    for b in np.unique(code):
-        own, m = code == b, overall
+    for b in np.unique(bucket):
+        own, m = bucket == b, overall
         for _ in range(ROUNDS):
             part = m[:, None] * p[:, own]
             m = (part / part.sum(axis=0) * n[own]).sum(axis=1) + overall  # one token of the overall mixture
@@ -235,6 +277,16 @@ def learn_weights(code: np.ndarray, n: np.ndarray, order: int, types: int) -> np
     return np.maximum(weights, 1e-9) / np.maximum(weights, 1e-9).sum(axis=1, keepdims=True)
 
 
+def weights_of(held: pa.Table, order: int, types: int) -> np.ndarray:
+    """The weights learned on a histogram."""
+    code, n = held.column("code").to_numpy(), held.column("n").to_numpy().astype(np.float64)
+    base, p = STEPS * DECADES + 2, np.full((order + 1, len(code)), 1 / (types + 1))
+    for k in range(order, 0, -1):
+        p[k] = np.where(code % base > 0, 10.0 ** (held.column(f"log{k}").to_numpy() / np.maximum(n, 1)), 0)
+        code = code // base
+    return learn_weights(code, n, p)
+
+
 def score_rows(order: int, docs: int, tokens: int, types: int, weights: np.ndarray):
     def run(key: tuple, chunks: pa.Table, answers: pa.Table) -> pa.Table:
         found, out = answers.to_pylist(), []
@@ -267,21 +319,19 @@ def score(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id", text: str
     """
     fold = F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)).cast("int")
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), fold.alias("fold"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    chunks = scratch.table(own.mapInArrow(chunk_rows, CHUNK), "chunks")
-    total = chunks.select(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).agg(F.sum("n")).first()[0] or 0
-    buckets = int(max(8, -(-total // BUCKET_BYTES)))
+    chunk_bytes, buckets = sized(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    chunks = scratch.table(own.mapInArrow(chunk_rows(chunk_bytes), CHUNK), "chunks")
     asked = chunks.mapInArrow(ask_rows(order, buckets), ASK)
     answers = scratch.table(asked.groupBy("bucket", "gram").applyInArrow(add_up, ANSWER), "answers")
-    # one row of two numbers for each bucket
-    seen = [np.frombuffer(bytes(r["totals"]), dtype=np.int64) for r in answers.where("chunk is null and gram = 1").select("totals").collect()]
-    types, types_left, tokens, tokens_deleted = (int(sum(x[k] for x in seen)) for k in range(4))
+    types, types_left, tokens, tokens_deleted = (x or 0 for x in answers.where("chunk is null and gram = 1").agg(*(F.sum(c) for c in SUMS)).first())
     trained = chunks.select("deleted", F.size(F.filter("folds", lambda f: f != HELD_OUT)).alias("docs"))
     n_docs, n_deleted = (x or 0 for x in trained.agg(F.sum("docs"), F.sum(F.when(F.col("deleted"), F.col("docs")).otherwise(0))).first())
-    answered = answers.where("chunk is not null")
+    answered = answers.where("chunk is not null").select("chunk", "deleted", "bucket", "gram", "totals")
     part = chunks.where("deleted").groupBy("chunk").cogroup(answered.where("deleted").groupBy("chunk"))
-    learned = part.applyInArrow(learn_rows(order, n_docs - n_deleted, tokens - tokens_deleted, types_left), "code long, n long")
-    rows = learned.groupBy("code").agg(F.sum("n").alias("n")).collect()  # at most FREQUENCIES * (STEPS * DECADES + 2)**order cells
-    rows.sort()
-    weights = learn_weights(np.array([r["code"] for r in rows], dtype=np.int64), np.array([r["n"] for r in rows], dtype=np.float64), order, types_left)
+    logs = [f"log{k}" for k in range(1, order + 1)]
+    learned = part.applyInArrow(learn_rows(order, n_docs - n_deleted, tokens - tokens_deleted, types_left), "code long, n long, " + ", ".join(f"{c} double" for c in logs))
+    # at most FREQUENCIES * (STEPS * DECADES + 2)**order rows, whatever the input
+    held = learned.groupBy("code").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in logs)).toArrow().sort_by("code")
+    weights = weights_of(held, order, types_left)
     whole = chunks.groupBy("chunk").cogroup(answered.groupBy("chunk"))
     return whole.applyInArrow(score_rows(order, n_docs, tokens, types, weights), SCORES)

@@ -211,7 +211,27 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_embeddings_with_repeated_ids(spark):
+    """Every row is a vector of its own, whatever its id: against all pairs of rows."""
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a, 0), (1, b, 0), (2, [1.0, 0.1, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(map(tuple, embedding_dedup.near_duplicates(df).collect())) == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((12, 8))
+    rows = [(int(rng.integers(0, 40)), [float(np.float32(x)) for x in base[k % 12] + rng.standard_normal(8) * rng.choice([0, 0.05, 0.2])], k % 2) for k in range(160)]
+    for kind in ("double", "float"):
+        got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")).collect()
+        links = [(i, j) for i, x in enumerate(rows) for j, y in enumerate(rows) if i < j and x[2] == y[2] and embedding_dedup.unit([x[1]])[0] @ embedding_dedup.unit([y[1]])[0] >= 0.93]
+        n, lead = collections.Counter(x for p in links for x in p), smallest(range(len(rows)), links)
+        least = {}
+        for i, r in enumerate(rows):
+            least[lead[i]] = min(least.get(lead[i], r[0]), r[0])
+        assert sorted(map(tuple, got)) == sorted((r[0], n[i], least[lead[i]], r[0] == least[lead[i]]) for i, r in enumerate(rows))
+
+
 def test_forest_recall_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SINGLE", 100)
     monkeypatch.setattr(embedding_dedup, "LEAF", 60)  # several levels and blocks on a small table
     monkeypatch.setattr(embedding_dedup, "BLOCK", 80)
     rng = np.random.default_rng(4)
@@ -274,10 +294,68 @@ def test_lm_is_a_distribution(docs):
     counts = [np.array([3, 1]), np.array([2, 1])]
     p, bucket = lm_scoring.estimates(counts, np.array([True, False]), 4, 8, 3)
     assert p[:, 0].tolist() == [0.25, 3 / 8, 0.5] and p[:, 1].tolist() == [0.25, 1 / 8, 1 / 3] and bucket.tolist() == [2, 2]
-    weights = lm_scoring.learn_weights(np.array([], dtype=np.int64), np.array([]), 2, 3)
+    weights = lm_scoring.learn_weights(np.array([], dtype=np.int64), np.array([]), np.zeros((3, 0)))
     assert np.allclose(weights.sum(axis=1), 1)
 
 
+def test_lm_large_counts():
+    """Beyond 2**32 occurrences."""
+    big = np.array([5, (1 << 32) + 5, 1 << 50])
+    assert lm_scoring.expand(lm_scoring.squeeze(big)).tolist() == big.tolist() and lm_scoring.expand(lm_scoring.squeeze(big[:1])).tolist() == [5]
+    h = lm_scoring.pack_hashes(np.array([7, 9], dtype=np.uint64), 1)
+    asked = pa.table({"chunk": [1, 2], "deleted": [False, True], "hashes": [h, h], "counts": [lm_scoring.squeeze(np.array([1 << 33, 1])), lm_scoring.squeeze(np.array([3, 0]))]})
+    rows = lm_scoring.add_up((pa.scalar(0), pa.scalar(1)), asked).to_pylist()
+    assert [rows[0][c] for c in lm_scoring.SUMS] == [2, 2, (1 << 33) + 4, 3]
+    assert lm_scoring.expand(rows[1]["totals"]).tolist() == [(1 << 33) + 3, 1] and lm_scoring.expand(rows[2]["totals"]).tolist() == [(1 << 33) + 3, 1, 3, 0]
+    assert lm_scoring.sized(0) == (8 << 20, 8) and lm_scoring.sized(1 << 47)[0] == 64 << 20
+
+
+def brute_lm(texts, order):
+    """Scores with plain dictionaries, and expectation-maximisation over every held-out token."""
+    tokens = {k: [*words(t), 0] for k, t in enumerate(texts)}
+    fold = {k: zlib.crc32(str(k).encode()) % 7 for k in tokens}
+
+    def model(docs):
+        c = collections.Counter()
+        for k in docs:
+            own = ["<"] * (order - 1) + tokens[k]
+            c.update(tuple(own[i - n + 1 : i + 1]) for i in range(order - 1, len(own)) for n in range(1, order + 1))
+        n_tokens, types = sum(v for g, v in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+
+        def rows(k):
+            own = ["<"] * (order - 1) + tokens[k]
+            for i in range(order - 1, len(own)):
+                p, seen = [1 / (types + 1), c[(own[i],)] / n_tokens], n_tokens
+                for n in range(2, order + 1):
+                    context = tuple(own[i - n + 1 : i])
+                    # at a document's start the context of n - 1 words is counted with what stands before it
+                    seen = len(docs) if i == order - 1 else c[context]
+                    p.append(c[tuple(own[i - n + 1 : i + 1])] / seen if seen else 0)
+                yield p, min(int(math.log2(seen + 1)), lm_scoring.FREQUENCIES - 1)
+
+        return rows
+
+    train = [k for k in tokens if fold[k] != 2]
+    left = model([k for k in train if fold[k] != 3])
+    held = [x for k in train if fold[k] == 3 for x in left(k)]
+    p, bucket = np.array([x for x, _ in held]).T, np.array([b for _, b in held])
+    weights = lm_scoring.learn_weights(bucket, np.ones(len(bucket)), p)
+    whole = model(train)
+    return {k: sum(math.log10(weights[b] @ np.array(x)) for x, b in whole(k)) for k in tokens}, weights
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_against_brute_force(docs, order):
+    rng = random.Random(10 + order)
+    texts = ["", None] + [" ".join(f"w{(k + j * j) % 40}" if rng.random() < 0.9 else f"z{rng.randrange(99)}" for j in range(rng.randrange(3, 60))) for k in range(250)]
+    want, _ = brute_lm(texts, order)
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs(*texts), order).collect()}
+    assert got.keys() == want.keys()
+    # the weights come from a histogram, so scores agree to its grain
+    assert max(abs(got[k] - want[k]) / len([*words(texts[k]), 0]) for k in want) < 0.01
+    assert sum(got.values()) == pytest.approx(sum(want.values()), rel=0.003)
+
+
 def test_lm_odd_tables(docs):
     assert lm_scoring.score(docs()).count() == 0
     got = lm_scoring.score(docs("a b", "a b", "c", ids=[2, 2, None])).collect()
