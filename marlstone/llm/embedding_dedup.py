@@ -6,6 +6,7 @@ their directions. Vectors of a leaf are compared by exact cosine in double preci
 linked vectors are united. A pair that shares several leaves counts in the first of them,
 so links are counted where they are found and pairs are never written out. Equal vectors
 are one class and are compared once; a leaf of many close vectors is compared in blocks.
+A label of at most SINGLE vectors is one leaf, in which all are compared.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from marlstone.sources import scratch
 from marlstone.llm.components import components
 
 TREES = 6
-#: Vectors that a leaf should have; a label with fewer has a single leaf.
+#: Vectors that a leaf should have, where a label has more than SINGLE.
 LEAF = 1024
+#: Up to here all pairs cost less than six trees of leaves.
+SINGLE = 8192
 #: A leaf with more is compared in blocks of about this many.
 BLOCK = 1536
 #: Half the width of the overlap, for vectors of length one. Pairs of cosine 0.93 in 64
@@ -81,7 +84,7 @@ def leaves_of(x: np.ndarray, depth: np.ndarray, splits: dict, trees: int = TREES
 
 
 def leaf_rows(splits: dict):
-    """Of (rep, copies, label, dim, depth, embedding): a row for each leaf, with all the leaves of the vector."""
+    """Of (name, copies, label, dim, depth, embedding): a row for each leaf, with the leaves of the vector before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -94,10 +97,13 @@ def leaf_rows(splits: dict):
                     row, code = leaves_of(x, part.column(4).to_numpy(), splits)
                     order = np.lexsort((code, row))
                     row, code = row[order], code[order]
-                    at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(x)))])
-                    own = pa.ListArray.from_arrays(pa.array(at, type=pa.int32()), pa.array(code))
+                    begin = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(x)))])[row]
+                    n = np.arange(len(row)) - begin  # leaves before this one
+                    at = np.concatenate([[0], np.cumsum(n)])
+                    before = code[np.repeat(begin - at[:-1], n) + np.arange(at[-1])]
+                    earlier = pa.ListArray.from_arrays(pa.array(at, type=pa.int32()), pa.array(before))
                     take = pa.array(row)
-                    yield pa.record_batch([part.column(k).take(take) for k in (0, 1, 2, 3)] + [pa.array(code), own.take(take), part.column(5).take(take)], names=["rep", "copies", "label", "dim", "leaf", "leaves", "embedding"])
+                    yield pa.record_batch([part.column(k).take(take) for k in (0, 1, 2, 3)] + [pa.array(code), earlier, part.column(5).take(take)], names=["name", "copies", "label", "dim", "leaf", "earlier", "embedding"])
 
     return run
 
@@ -106,8 +112,8 @@ def compare(least: float):
     """Of the vectors of one leaf, or of two of its blocks: links of each vector, and a forest that joins the linked."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        leaf, one, two = key[2].as_py(), key[3].as_py(), key[4].as_py()
-        ids, copies, block = (table.column(c).to_numpy() for c in ("rep", "copies", "block"))
+        one, two = key[3].as_py(), key[4].as_py()
+        ids, copies, block = (table.column(c).to_numpy() for c in ("name", "copies", "block"))
         order = np.argsort(ids)
         ids, copies, block = ids[order], copies[order], block[order]
         x = unit(table.column("embedding").take(pa.array(order)).to_pylist())
@@ -125,14 +131,14 @@ def compare(least: float):
                 break
             label = least_near
         new = link.copy()
-        leaves = [x for x in table.column("leaves").take(pa.array(order)).take(pa.array(some)).to_pylist()]
-        earlier = {c: k for k, c in enumerate(sorted({c for own in leaves for c in own if c < leaf}))}
+        leaves = table.column("earlier").take(pa.array(order)).take(pa.array(some)).to_pylist()
+        earlier = {c: k for k, c in enumerate(sorted({c for own in leaves for c in own}))}
         if earlier and len(some):
             inside = np.zeros((len(some), len(earlier)), dtype=np.float32)
             for k, own in enumerate(leaves):
-                inside[k, [earlier[c] for c in own if c < leaf]] = 1
+                inside[k, [earlier[c] for c in own]] = 1
             new &= ~(inside @ inside.T > 0)
-        return pa.table({"rep": ids, "n": new.astype(np.int64) @ copies, "lead": ids[label]}, schema=pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("lead", pa.int64())]))
+        return pa.table({"name": ids, "n": new.astype(np.int64) @ copies, "lead": ids[label]}, schema=pa.schema([("name", pa.int64()), ("n", pa.int64()), ("lead", pa.int64())]))
 
     return run
 
@@ -144,33 +150,40 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, vec_id: str = "vec_
     with nothing, and vectors of different length or label never link. Rows with equal
     vectors are linked with each other. ``component_id`` is the smallest id that links reach;
     ``kept`` marks the rows with that id. A null id links with nothing and is never kept.
-    Rows that repeat an id each count as a vector. Other columns are ignored.
+    Rows that repeat an id each count as a vector, with links and a component of its own.
+    Other columns are ignored.
     """
-    own = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<double>").alias("embedding"))
+    kind = dict(vectors.dtypes)[embedding]
+    own = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast(kind if kind == "array<float>" else "array<double>").alias("embedding"))
     good = F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.size("embedding") > 0, F.lit(False))
     fine = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     good &= F.coalesce(F.forall("embedding", fine), F.lit(False)) & F.coalesce(F.exists("embedding", lambda v: v != 0), F.lit(False))
     marked = own.withColumn("good", good)
     usable = marked.where("good").drop("good")
-    classes = scratch.table(usable.groupBy("label", "embedding").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("embedding")), "vectors")
-    sample = [r["embedding"] for r in classes.orderBy(F.xxhash64("rep"), "rep").select("embedding").limit(FITTED).collect()]
+    classes = usable.groupBy("label", "embedding").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    # a class has a name of its own, fixed by the table: an id may stand in several
+    classes = scratch.table(classes.withColumns({"dim": F.size("embedding"), "name": F.monotonically_increasing_id()}), "vectors")
+    sample = [r["embedding"] for r in classes.orderBy(F.xxhash64("least", "label"), "least", "name").select("embedding").limit(FITTED).collect()]
     sizes = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
-    depth = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / LEAF))).cast("int")
+    depth = F.when(F.col("n") <= SINGLE, 0).otherwise(F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / LEAF)))).cast("int")
     levels = sizes.select("label", "dim", depth.alias("depth"))
-    rows = classes.join(levels, ["label", "dim"]).select("rep", "copies", "label", "dim", "depth", "embedding")
-    placed = scratch.table(rows.mapInArrow(leaf_rows(fit_splits(sample)), "rep long, copies long, label string, dim int, leaf long, leaves array<long>, embedding array<double>"), "leaves")
+    rows = classes.join(levels, ["label", "dim"]).select("name", "copies", "label", "dim", "depth", "embedding")
+    element = dict(classes.dtypes)["embedding"]
+    placed = scratch.table(rows.mapInArrow(leaf_rows(fit_splits(sample)), f"name long, copies long, label string, dim int, leaf long, earlier array<long>, embedding {element}"), "leaves")
     held = placed.groupBy("label", "dim", "leaf").agg(F.count(F.lit(1)).alias("held"))
     large = held.where(F.col("held") > BLOCK).select("label", "dim", "leaf", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
     dealt = placed.join(large, ["label", "dim", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
-    met = scratch.table(dealt.groupBy("label", "dim", "leaf", "one", "two").applyInArrow(compare(least), "rep long, n long, lead long"), "met")
-    labels = components(met.where("rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v")))
-    found = met.groupBy("rep").agg(F.sum("n").alias("n"))
-    labels = labels.select(F.col("id").alias("rep"), F.col("label").alias("lead"))
-    whole = classes.join(found, "rep", "left").join(labels, "rep", "left")
-    whole = whole.select(F.col("label").alias("k"), F.col("embedding").alias("e"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("lead", "rep").alias("component_id"))
+    met = scratch.table(dealt.groupBy("label", "dim", "leaf", "one", "two").applyInArrow(compare(least), "name long, n long, lead long"), "met")
+    grouped = components(met.where("name <> lead").select(F.col("name").alias("u"), F.col("lead").alias("v")))
+    grouped = grouped.select(F.col("id").alias("name"), F.col("label").alias("lead"))
+    found = met.groupBy("name").agg(F.sum("n").alias("n"))
+    whole = classes.join(found, "name", "left").join(grouped, "name", "left")
+    whole = scratch.table(whole.select(F.col("label").alias("k"), F.col("embedding").alias("e"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("lead", "name").alias("lead"), "least"), "classes")
+    smallest = whole.groupBy("lead").agg(F.min("least").alias("component_id"))
+    whole = whole.join(smallest, "lead").select("k", "e", "n_links", "component_id")
     linked = usable.join(whole, (usable["label"] == whole["k"]) & (usable["embedding"] == whole["e"])).select("id", "n_links", "component_id")
     alone = marked.where(~F.col("good")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
