@@ -328,8 +328,13 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     kind = "page long, page_id long, url string, host string, content long, body string, cuts array<int>, subtrees array<struct<node: long, article: long, a: int, b: int>>"
     outlines = scratch.table(own.mapInArrow(outline_rows, kind), "outlines")
     # subtrees whose text is gone anyway are counted, but nothing is left to delete
-    live = outlines.where("host <> ''").select("page", "host", F.explode(F.filter("subtrees", lambda t: t["b"] > t["a"])).alias("t"))
+    able = F.col("host") != ""
+    live = outlines.where(able).select("page", "host", F.explode(F.filter("subtrees", lambda t: t["b"] > t["a"])).alias("t"))
     live = live.select("page", "host", F.col("t.node").alias("node"), F.col("t.article").isNotNull().alias("by_article"), F.struct("t.a", "t.b").alias("span"))
     template = site_templates(outlines, min_pages, min_share)
-    spans = live.join(template, ["host", "node", "by_article"]).groupBy("page").agg(F.collect_list("span").alias("spans"))
-    return outlines.join(spans, "page", "left").select("page_id", "url", "body", "cuts", "spans").mapInArrow(text_rows, "page_id long, url string, text string")
+    # a table, so that the join with the pages is planned by its size; pages without such a subtree stay out of it
+    spans = scratch.table(live.join(template, ["host", "node", "by_article"]).groupBy("page").agg(F.collect_list("span").alias("spans")), "template-spans")
+    open_ = able & F.exists("subtrees", lambda t: t["b"] > t["a"])
+    whole = outlines.where(~open_).withColumn("spans", F.array().cast(spans.schema["spans"].dataType))
+    both = outlines.where(open_).join(spans, "page", "left").unionByName(whole)
+    return both.select("page_id", "url", "body", "cuts", "spans").mapInArrow(text_rows, "page_id long, url string, text string")
