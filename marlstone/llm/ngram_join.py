@@ -8,11 +8,15 @@ more (l of the lengthened prefix). At most l - 1 of those are costly, so a cheap
 token remains, and only cheap ones are indexed; documents made of costly tokens alone
 index the last of them. The cost is estimated; a wrong estimate costs time, no links.
 
-Candidates are then verified on whole sets, in two rounds. First every document meets the
-smallest document of its index entries, which finds most links at a cost in proportion to
-the index; groups of copies collapse into components. Then only pairs of different
-components that share an index entry are left, and all of them are examined. So links
-inside a group of copies are not listed, and none that joins components is lost.
+How many tokens a pair must share is counted on the index entries, before a text is read:
+a pair that shares k of them has at most (tokens behind the prefix) + k in common, which
+must be enough for the two sizes. Pairs that have as many are verified on whole sets, in
+two rounds. First every document meets the smallest document of its index entries, which
+finds most links at a cost in proportion to the index; groups of copies collapse into
+components. Then only pairs of different components that share an index entry are left,
+and all of them are examined: of the holders of a token, those of its largest component
+meet the others, never each other. So links inside a group of copies are not listed, and
+none that joins components is lost.
 """
 
 from __future__ import annotations
@@ -21,7 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,6 +35,8 @@ from marlstone.llm.components import components
 from marlstone.sources import scratch
 
 #: A token is costly from so many documents on; it is counted where an Arrow batch repeats it.
+#: A batch has thousands of rows, so what one text in 10,000 holds is found in nearly all
+#: tables, and what no batch repeats stays a short list.
 COSTLY = 16
 SEEN_IN_BATCH = 3
 #: The costliest tokens that tasks are told of: 8 bytes each, 1 MB in all. More would save time, not change results.
@@ -120,7 +127,17 @@ def index_rows(width: int, percent: int, costly: np.ndarray, splits: np.ndarray)
     return run
 
 
-def verify_rows(width: int, percent: int, costly: np.ndarray):
+def enough(n: Column, m: Column, k: Column, percent: int) -> Column:
+    """Whether sets of n and m tokens that share k index entries can be similar enough.
+
+    A pair that shares k entries has at most k tokens of one's prefix in the other, so that
+    the rest of that prefix is not shared.
+    """
+    behind = [F.ceil(x * percent / 100) - 1 for x in (n, m)]
+    return (F.greatest(*behind) + k) * (100 + percent) >= (n + m) * percent
+
+
+def verify_rows(width: int, percent: int):
     """Of rows (u, v, a, b) with two texts: the pairs (u, v) whose sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,21 +145,18 @@ def verify_rows(width: int, percent: int, costly: np.ndarray):
             for part in textkit.pieces(whole, "a", textkit.PIECE_BYTES):
                 for batch in textkit.pieces(part, "b"):
                     us, vs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                    ids, where, back = np.unique(us, return_index=True, return_inverse=True)
-                    a, at_a = textkit.shingle_sets(batch.column(2).take(pa.array(where)), width)
+                    # rows come by u: its set is built once for all that stand together
+                    texts = batch.column(2)
+                    new = np.concatenate([[True], (us[1:] != us[:-1])]) if len(us) else np.zeros(0, dtype=bool)
+                    new[1:] |= ~pc.equal(texts[1:], texts[:-1]).to_numpy(zero_copy_only=False) if len(us) > 1 else False
+                    where, back = np.flatnonzero(new), np.cumsum(new) - 1
+                    a, at_a = textkit.shingle_sets(texts.take(pa.array(where)), width)
                     b, at_b = textkit.shingle_sets(batch.column(3), width)
-                    (_, hot_a, need_a), (_, hot_b, need_b) = chosen(a, at_a, costly, percent), chosen(b, at_b, costly, percent)
-                    len_a, len_b = prefix_length(np.diff(at_a), percent), prefix_length(np.diff(at_b), percent)
                     good = np.zeros(len(us), dtype=bool)
                     for k, i in enumerate(back):
                         x, y = a[at_a[i] : at_a[i + 1]], b[at_b[k] : at_b[k + 1]]
                         if not len(x) or not len(y) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                             continue
-                        need = min(need_a[i], need_b[k])
-                        if need > 1:  # both prefixes are lengthened: count their shared tokens first
-                            p, q = x[: len_a[i] + need_a[i] - 1], y[: len_b[k] + need_b[k] - 1]
-                            if shared(p, q) < need:
-                                continue
                         both = shared(x, y)
                         good[k] = 100 * both >= percent * (len(x) + len(y) - both)
                     yield pa.record_batch([pa.array(us[good]), pa.array(vs[good])], names=["u", "v"])
@@ -150,38 +164,6 @@ def verify_rows(width: int, percent: int, costly: np.ndarray):
     return run
 
 
-def count_shared(percent: int):
-    """Of rows (doc, n, others) sorted by doc: the pairs that share enough index entries.
-
-    A pair that shares k entries has at most k tokens of one's prefix in the other, so that
-    the rest of that prefix is not shared.
-    """
-
-    def pairs(doc: np.ndarray, n: np.ndarray, other: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((other, doc))
-        doc, n, other, m = doc[order], n[order], other[order], m[order]
-        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (other[1:] != other[:-1])])) if len(doc) else np.zeros(0, dtype=np.int64)
-        k = np.diff(np.append(first, len(doc)))
-        most = np.maximum(*(x[first] - prefix_length(x[first], percent) for x in (n, m))) + k
-        good = first[most * (100 + percent) >= percent * (n[first] + m[first])]
-        return pa.record_batch([pa.array(doc[good]), pa.array(other[good])], names=["u", "v"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, dtype=np.int64)] * 4
-        for batch in batches:
-            others = batch.column(2)
-            sizes = np.diff(others.offsets.to_numpy())
-            values = others.flatten()
-            new = [np.repeat(batch.column(0).to_numpy(), sizes), np.repeat(batch.column(1).to_numpy(), sizes), values.field(0).to_numpy(), values.field(1).to_numpy()]
-            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
-            done = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last document may go on
-            yield pairs(*(x[:done] for x in held))
-            held = [x[done:] for x in held]
-        yield pairs(*held)
-
-    return run
-
-
 def shared(x: np.ndarray, y: np.ndarray) -> int:
     """Common values of two sorted arrays."""
     if len(x) > len(y):
@@ -189,11 +171,36 @@ def shared(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, costly: np.ndarray) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     left = docs.select(F.col("doc").alias("u"), F.col("text").alias("a"))
     right = docs.select(F.col("doc").alias("v"), F.col("text").alias("b"))
     rows = pairs.select("u", "v").join(right, "v").join(left, "u").select("u", "v", "a", "b")
-    return rows.mapInArrow(verify_rows(width, percent, costly), "u long, v long")
+    return rows.mapInArrow(verify_rows(width, percent), "u long, v long")
+
+
+def apart(held: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """(u, v): pairs of documents of different components that share enough entries of ``held`` (token, doc).
+
+    own: doc, n, label (component). Of a token's holders those outside its largest component
+    are laid out in blocks, and all holders meet these blocks; so a token costs its holders
+    times those outside the largest component.
+    """
+    told = held.select("token", "doc").join(own, "doc")
+    by_label = told.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
+    sums = by_label.groupBy("token").agg(F.sum("n").alias("held"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("top")).where("labels > 1")
+    open_ = sums.select("token", F.col("top.label").alias("major"), F.ceil((F.col("held") - F.col("top.n")) / BLOCK).alias("blocks"))
+    told = scratch.table(told.join(open_, "token"), "open")
+    block = F.pmod(F.xxhash64("doc"), F.col("blocks"))
+    blocks = told.where("label <> major").groupBy(F.col("token").alias("t"), block.alias("block")).agg(F.collect_list(F.struct("doc", "n", "label")).alias("members"))
+    close = lambda m: (m["n"] * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= m["n"] * percent)
+    others = F.filter("members", lambda m: ((F.col("label") == F.col("major")) | (m["doc"] > F.col("doc"))) & (m["label"] != F.col("label")) & close(m))
+    met = told.join(blocks, told["token"] == blocks["t"]).select("doc", "n", F.transform(others, lambda m: F.struct(m["doc"].alias("doc"), m["n"].alias("n"))).alias("others")).where(F.size("others") > 0)
+    pairs = met.select("doc", "n", F.explode("others").alias("m"))
+    # a pair may be found from either side, by one token so and by another so
+    lo = F.col("doc") < F.col("m.doc")
+    either = pairs.select(F.least("doc", "m.doc").alias("u"), F.greatest("doc", "m.doc").alias("v"), F.when(lo, F.col("n")).otherwise(F.col("m.n")).alias("n"), F.when(lo, F.col("m.n")).otherwise(F.col("n")).alias("m"))
+    counted = either.groupBy("u", "v", "n", "m").agg(F.count(F.lit(1)).alias("k"))
+    return counted.where(enough(F.col("n"), F.col("m"), F.col("k"), percent)).select("u", "v").distinct()
 
 
 def similar_groups(docs: DataFrame, percent: int = 75, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -201,8 +208,9 @@ def similar_groups(docs: DataFrame, percent: int = 75, width: int = 5, doc_id: s
 
     ``component`` is the smallest id that similar pairs reach. A null or wordless text has
     an empty set and stays alone, as does a row with a null id (its component is null).
-    Rows with the same id are one document: linked where any of its texts is. Equal sets are one
-    class and are compared once. Other columns are ignored; an empty table gives no rows.
+    Rows with the same id are one document: linked where any of its texts is, so that all of
+    them have one component; ``n_shingles`` is that of the row. Equal sets are one class and
+    are compared once. Other columns are ignored; an empty table gives no rows.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     seen = scratch.table(source.mapInArrow(describe(width, percent), "costly boolean, a long, b long, c long, d long"), "sets")
@@ -215,6 +223,10 @@ def similar_groups(docs: DataFrame, percent: int = 75, width: int = 5, doc_id: s
     usable = source.where("doc is not null and text is not null")
     filled = sets.where("doc is not null and n > 0")
     classes = filled.groupBy("n", "c", "d").agg(F.min("doc").alias("rep"))
+    named = scratch.table(filled.join(classes, ["n", "c", "d"]).select("doc", "n", "rep"), "named")
+    # documents of several texts join the classes that these are in
+    several = named.groupBy("doc").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
+    same = named.join(several.select("doc"), "doc", "left_semi").where("doc <> rep").select(F.col("doc").alias("u"), F.col("rep").alias("v"))
     entries = usable.mapInArrow(index_rows(width, percent, costly, splits), "token long, part long, doc long")
     entry = Window.partitionBy("token", "part")
     entries = entries.withColumns({"hub": F.min("doc").over(entry), "held": F.count(F.lit(1)).over(entry)})
@@ -224,30 +236,24 @@ def similar_groups(docs: DataFrame, percent: int = 75, width: int = 5, doc_id: s
     tops = hubs.groupBy("token").agg(F.min("doc").alias("hub"))
     met = held.where("doc <> hub").select("hub", "doc").unionByName(hubs.join(tops, "token").where("doc <> hub").select("hub", "doc"))
     reps = classes.select(F.col("rep").alias("doc"), "n")
-    counts = met.groupBy("hub", "doc").agg(F.count(F.lit(1)).alias("k")).join(reps, "doc")
-    # a first look at each document's best hub, where a fair part of the prefix agrees
-    best = counts.groupBy("doc").agg(F.max(F.struct("k", (-F.col("hub")).alias("hub"))).alias("x"), F.max("n").alias("n"))
-    first = scratch.table(best.where(F.col("x.k") * 16 >= F.col("n")).select((-F.col("x.hub")).alias("u"), F.col("doc").alias("v")), "first")
-    links = scratch.table(verified(first, usable, width, percent, costly), "links")
+    counts = met.groupBy("hub", "doc").agg(F.count(F.lit(1)).alias("k"))
+    # a first look at each document's best hub, where the two share enough
+    best = counts.groupBy("doc").agg(F.max(F.struct("k", (-F.col("hub")).alias("hub"))).alias("x")).select("doc", "x.k", (-F.col("x.hub")).alias("hub"))
+    best = best.join(reps, "doc").join(reps.select(F.col("doc").alias("hub"), F.col("n").alias("m")), "hub")
+    first = scratch.table(best.where(enough(F.col("n"), F.col("m"), F.col("k"), percent)).select(F.col("hub").alias("u"), F.col("doc").alias("v")).distinct(), "first")
+    links = scratch.table(verified(first, usable, width, percent).unionByName(same), "links")
     labels = components(links)
     # what is left: pairs of different components that share an entry
     own = reps.join(labels, reps["doc"] == labels["id"], "left").select("doc", "n", F.coalesce("label", "doc").alias("label"))
-    told = held.select("token", "doc").join(own, "doc")
-    shared_by = told.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("held")).where("lo < hi")
-    told = scratch.table(told.join(shared_by.select("token", F.ceil(F.col("held") / BLOCK).alias("blocks")), "token"), "open")
-    block = F.pmod(F.xxhash64("doc"), F.col("blocks"))
-    blocks = told.groupBy(F.col("token").alias("t"), block.alias("block")).agg(F.collect_list(F.struct("doc", "n", "label")).alias("members"))
-    close = lambda m: (m["n"] * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= m["n"] * percent)
-    others = F.filter("members", lambda m: (m["doc"] > F.col("doc")) & (m["label"] != F.col("label")) & close(m))
-    met = told.join(blocks, told["token"] == blocks["t"]).select("doc", "n", F.transform(others, lambda m: F.struct(m["doc"].alias("doc"), m["n"].alias("n"))).alias("others")).where(F.size("others") > 0)
-    pairs = met.repartition("doc").sortWithinPartitions("doc").mapInArrow(count_shared(percent), "u long, v long")
-    pairs = pairs.join(first, ["u", "v"], "left_anti")
-    more = verified(pairs, usable, width, percent, costly)
+    pairs = apart(held, own, percent).join(first, ["u", "v"], "left_anti")
+    more = verified(pairs, usable, width, percent)
     labels = components(links.unionByName(scratch.table(more, "links")))
-    named = filled.join(classes, ["n", "c", "d"]).select("doc", "n", "rep")
-    named = named.join(labels, named["rep"] == labels["id"], "left").select("doc", "n", F.coalesce("label", "rep").alias("component"))
+    found = named.join(labels, named["rep"] == labels["id"], "left").select("doc", "n", F.coalesce("label", "rep").alias("component"))
     alone = sets.where("doc is null or n = 0").select("doc", "n", F.col("doc").alias("component"))
-    return named.unionByName(alone).withColumnRenamed("n", "n_shingles")
+    # a wordless text of a document that has others is that document
+    known = found.select("doc", F.col("component").alias("other")).join(alone.select("doc").distinct(), "doc", "left_semi").groupBy("doc").agg(F.min("other").alias("other"))
+    texts = alone.join(known, "doc", "left").select("doc", "n", F.coalesce("other", "component").alias("component"))
+    return found.unionByName(texts).withColumnRenamed("n", "n_shingles")
 
 
 def keep_one(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:

@@ -118,6 +118,32 @@ def test_ngram_join_odd_rows(docs):
     assert ngram_join.keep_one(docs(text, text, None, ids=[5, None, None])).count() == 3
 
 
+def test_ngram_join_repeated_ids(docs):
+    a, b = "a b c d e f g", "h i j k l m n"
+    got = {tuple(r) for r in ngram_join.similar_groups(docs(a, b, a, b, ids=[5, 5, 3, 4])).select("doc", "component").collect()}
+    assert got == {(5, 3), (3, 3), (4, 3)}
+    assert {tuple(r) for r in ngram_join.similar_groups(docs(a, "", a, ids=[7, 7, 2])).select("doc", "component").collect()} == {(7, 2), (2, 2)}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_ngram_join_repeated_ids_against_brute_force(docs, seed, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COSTLY", 4)
+    monkeypatch.setattr(ngram_join, "SEEN_IN_BATCH", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    rng = random.Random(seed)
+    base = [sentence(rng, rng.choice([8, 30, 90])) for _ in range(10)]
+    texts = [edited(rng, rng.choice(base), rng.randrange(0, 6)) for _ in range(120)] + ["", None, "x"]
+    ids = [rng.randrange(90) for _ in texts]
+    sets, lead = brute_groups(dict(enumerate(texts)))
+    rows = list(range(len(texts)))
+    lead = smallest(rows, [(k, lead[k]) for k in rows] + [(k, ids.index(ids[k])) for k in rows])
+    least = {}
+    for k in rows:
+        least[lead[k]] = min(least.get(lead[k], ids[k]), ids[k])
+    got = sorted(map(tuple, ngram_join.similar_groups(docs(*texts, ids=ids)).collect()))
+    assert got == sorted((ids[k], len(sets[k]), least[lead[k]]) for k in rows)
+
+
 def check_pieces(rows, texts, window=2048):
     from tokenizers import Tokenizer
 
