@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain of linear models.
 
 Categories are predicted one after another. Each is a logistic regression over the words of
-the text and the log-odds of the categories before it. For training, those are
+the text and the probabilities of the categories before it. For training, those are
 out-of-fold predictions, so later models see them as they will be on unseen documents.
 
 The models are fitted on a bounded sample of labelled rows; every document is scored.
@@ -76,8 +76,8 @@ class Linear:
         x[:, -1] = 1
         return x
 
-    def log_odds(self, s, at, dense, before) -> np.ndarray:
-        return np.clip(self.matrix(s, at, dense, before) @ self.weights, -15, 15)
+    def probability(self, s, at, dense, before) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.matrix(s, at, dense, before) @ self.weights, -30, 30)))
 
 
 def rows_of(s: np.ndarray, at: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,14 +121,12 @@ def fit_chain(s: np.ndarray, at: np.ndarray, dense: np.ndarray, y: np.ndarray, f
             return fit(*rows_of(s, at, rows), dense[rows], before[rows], y[rows, c])  # noqa: B023
 
         known = ~np.isnan(y[:, c])
-        odds = np.zeros(len(y))
         for k in range(FOLDS):
             away = np.flatnonzero(fold == k)
             if len(away):
-                odds[away] = fitted(np.flatnonzero(known & (fold != k))).log_odds(*rows_of(s, at, away), dense[away], before[away])
+                held_out[away, c] = fitted(np.flatnonzero(known & (fold != k))).probability(*rows_of(s, at, away), dense[away], before[away])
         models.append(fitted(np.flatnonzero(known)))
-        held_out[:, c] = 1 / (1 + np.exp(-odds))
-        before = np.column_stack([before, odds])
+        before = held_out[:, : c + 1]
     return models, held_out
 
 
@@ -139,9 +137,8 @@ def score_rows(models: list[Linear]):
                 s, at, dense = word_ids(batch.column(1))
                 before = np.zeros((batch.num_rows, 0))
                 for model in models:
-                    before = np.column_stack([before, model.log_odds(s, at, dense, before)])
-                p = 1 / (1 + np.exp(-before))
-                yield pa.record_batch([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), len(models)).cast(pa.list_(pa.float64()))], names=["doc_id", "p"])
+                    before = np.column_stack([before, model.probability(s, at, dense, before)])
+                yield pa.record_batch([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(before.ravel()), len(models)).cast(pa.list_(pa.float64()))], names=["doc_id", "p"])
 
     return run
 
@@ -150,14 +147,16 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_lab
     """The chain over ``categories``, 0/1 columns of ``labels`` in this order, and held-out measures.
 
     Several labels of a document are averaged, null ones ignored. Labelled ids without a
-    document are ignored, and so are null ids. Without any labelled row every probability is 1/2.
+    document are ignored, and so are null ids. Of several documents with one id the one with
+    the least features trains. Without any labelled row every probability is 1/2.
     """
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in categories))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)  # at most max_labelled rows of a few numbers
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi")
-    found = texts.mapInArrow(feature_rows, "doc_id long, words array<int>, dense array<double>").collect()
+    features = texts.mapInArrow(feature_rows, "doc_id long, words array<int>, dense array<double>")
+    found = features.groupBy("doc_id").agg(F.min(F.struct("words", "dense")).alias("x")).select("doc_id", "x.*").collect()  # at most max_labelled rows
     wanted = {r["doc_id"]: r for r in some.collect()}
-    found = sorted({r["doc_id"]: r for r in found}.items())
+    found = sorted((r["doc_id"], r) for r in found)
     s, at = rows_of(np.concatenate([np.array(r["words"], dtype=np.int64) for _, r in found] + [np.zeros(0, dtype=np.int64)]), np.concatenate([[0], np.cumsum([len(r["words"]) for _, r in found])]).astype(np.int64), np.arange(len(found)))
     dense = np.array([r["dense"] for _, r in found]).reshape(len(found), DENSE)
     y = np.array([[np.nan if wanted[i][c] is None else float(wanted[i][c] >= 0.5) for c in categories] for i, _ in found]).reshape(len(found), len(categories))
