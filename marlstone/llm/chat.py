@@ -36,35 +36,43 @@ def unescape(text: Column) -> Column:
 def fold_events(log: DataFrame) -> DataFrame:
     """Final messages (conv_id, msg, role, text) of a log (conv_id, seq, msg, kind, role, text).
 
-    Events of a message apply in the order of (seq, kind, text); null text is empty, a null
-    kind counts as ``delta``, unknown kinds change nothing. The last role that is given
-    stays. Repeated events apply as often as they stand. Null conversations and messages
-    are groups of their own. Extra columns are ignored.
+    A conversation's events apply in the order of (seq, kind, text); null text is empty, a
+    null kind counts as ``delta``, unknown kinds change nothing. What an event leaves of a
+    message: ``start``, ``regenerate`` and ``delete`` nothing, ``edit`` its own text,
+    ``delta`` the text so far and its own. So the last of the first four decides, and the
+    deltas after it follow: one pass over the sorted events, each looked at once. The last
+    role that is given stays. Repeated events apply as often as they stand. Null
+    conversations and messages are groups of their own. Extra columns are ignored.
     """
-    event = F.struct(F.col("seq"), F.coalesce("kind", F.lit("delta")).alias("kind"), F.coalesce("text", F.lit("")).alias("text"), F.col("role"))
-    events = log.groupBy("conv_id", "msg").agg(F.array_sort(F.collect_list(event)).alias("events"))
-    # the deltas since the last edit or regeneration make the text
-    index = F.transform("events", lambda e, i: F.struct(i.alias("i"), e["kind"].alias("kind")))
-    reset = F.coalesce(F.array_max(F.transform(F.filter(index, lambda x: x["kind"].isin("edit", "regenerate", "delete", "start")), lambda x: x["i"])), F.lit(0))
-    at = events.withColumn("reset", reset)
-    kept = F.filter(F.slice("events", F.col("reset") + 1, F.size("events")), lambda e: e["kind"].isin("start", "delta", "edit"))
-    roles = F.filter(F.transform("events", lambda e: e["role"]), lambda r: r.isNotNull())
-    out = at.select("conv_id", "msg", F.try_element_at(roles, F.lit(-1)).alias("role"), F.array_join(F.transform(kept, lambda e: e["text"]), "").alias("text"), F.get(F.col("events"), F.col("reset"))["kind"].alias("last"))
-    return out.where(F.col("last") != "delete").drop("last")
+    events = log.select("conv_id", "msg", "seq", F.coalesce("kind", F.lit("delta")).alias("kind"), F.coalesce("text", F.lit("")).alias("text"), "role")
+    ordered = events.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("seq", "kind", "text", "role")))
+    resets = F.col("kind").isin("start", "edit", "regenerate", "delete")
+    own = Window.partitionBy("conv_id", "msg")
+    ordered = ordered.withColumn("reset", F.coalesce(F.max(F.when(resets, F.col("place"))).over(own), F.lit(0)))
+    said = (F.col("place") >= F.col("reset")) & F.col("kind").isin("delta", "edit", "start")
+    parts = F.array_sort(F.collect_list(F.when(said, F.struct("place", "text"))))
+    out = ordered.groupBy("conv_id", "msg").agg(
+        F.max_by("role", F.when(F.col("role").isNotNull(), F.col("place"))).alias("role"),
+        F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"),
+        F.max_by("kind", F.when(F.col("place") == F.col("reset"), F.col("place"))).alias("last"),
+    )
+    return out.where("last is null or last <> 'delete'").drop("last")
 
 
 def turn_events(turns: DataFrame) -> DataFrame:
-    """The log of plain turns (conv_id, turn, role, text): each opens a message and streams its text as a delta.
+    """The log of plain turns (conv_id, turn, role, text), as an assistant's screen streams them.
 
-    Rows of equal turn are ordered by role, then text, nulls first; every row is a message.
+    Each turn opens a message, streams a draft that is regenerated, streams the first half of
+    the text, edits it to what it is, and streams the rest. Rows of equal turn are ordered by
+    role, then text, nulls first; every row is a message.
     """
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
-    placed = turns.select("conv_id", "role", "text", place.alias("msg"))
-    steps = F.array(
-        F.struct((F.col("msg") * 2).alias("seq"), F.lit("start").alias("kind"), F.lit("").alias("body")),
-        F.struct((F.col("msg") * 2 + 1).alias("seq"), F.lit("delta").alias("kind"), F.coalesce("text", F.lit("")).alias("body")),
-    )
-    return placed.select("conv_id", "msg", "role", F.explode(steps).alias("e")).select("conv_id", "e.seq", "msg", "e.kind", "role", F.col("e.body").alias("text"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    placed = turns.select("conv_id", "role", F.coalesce("text", F.lit("")).alias("text"), place.alias("msg")).withColumn("half", F.substring("text", F.lit(1), half))
+    later = F.substring("text", half + 1, F.length("text"))
+    steps = [("start", F.lit("")), ("delta", F.lit("draft ")), ("delta", F.lit("more")), ("regenerate", F.lit("")), ("delta", F.col("half")), ("edit", F.col("half")), ("delta", later)]
+    log = F.array(*(F.struct((F.col("msg") * len(steps) + k).alias("seq"), F.lit(kind).alias("kind"), body.alias("body")) for k, (kind, body) in enumerate(steps)))
+    return placed.select("conv_id", "msg", "role", F.explode(log).alias("e")).select("conv_id", "e.seq", "msg", "e.kind", "role", F.col("e.body").alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:
