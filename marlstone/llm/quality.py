@@ -6,6 +6,8 @@ Only DataFrame functions: whole documents stay in one row, so nothing is shuffle
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,23 +17,29 @@ WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 NOT_SYMBOLS = r"[^#*$%&|<>]+"
 
-#: A line that carries one of these, whatever its case, is boilerplate.
+#: A line that carries one of these, whatever its case, is boilerplate: English, German, French, Spanish.
 BOILERPLATE = (
-    "all rights reserved",
-    "cookie policy",
-    "privacy policy",
-    "terms of service",
-    "terms of use",
-    "lorem ipsum",
-    "enable javascript",
-    "subscribe to our newsletter",
+    *("all rights reserved", "cookie policy", "privacy policy", "terms of service", "terms of use", "lorem ipsum", "enable javascript", "subscribe to our newsletter"),
+    *("alle rechte vorbehalten", "cookie-richtlinie", "datenschutzerklärung", "nutzungsbedingungen", "bitte javascript aktivieren", "newsletter abonnieren"),
+    *("tous droits réservés", "politique de cookies", "politique de confidentialité", "conditions d'utilisation", "conditions générales", "activer javascript", "abonnez-vous à notre"),
+    *("todos los derechos reservados", "política de cookies", "política de privacidad", "términos de uso", "condiciones de uso", "activar javascript", "suscríbete a nuestro"),
 )
 #: A line of at most NAVIGATION_WORDS words that begins with one of these is navigation.
-NAVIGATION = ("home", "menu", "search", "login", "log in", "sign in", "sign up", "share", "next", "previous", "read more", "click here", "back to top", "skip to content")
+NAVIGATION = (
+    *("home", "menu", "search", "login", "log in", "sign in", "sign up", "share", "next", "previous", "read more", "click here", "back to top", "skip to content"),
+    *("startseite", "menü", "suche", "anmelden", "registrieren", "teilen", "weiter", "zurück", "weiterlesen", "hier klicken", "nach oben", "zum inhalt"),
+    *("accueil", "recherche", "connexion", "se connecter", "s'inscrire", "partager", "suivant", "précédent", "lire la suite", "cliquez ici", "haut de page", "aller au contenu"),
+    *("inicio", "menú", "buscar", "iniciar sesión", "registrarse", "compartir", "siguiente", "anterior", "leer más", "haz clic aquí", "volver arriba", "saltar al contenido"),
+)
 NAVIGATION_WORDS = 5
 
-BOILERPLATE_RE = "(?i)(" + "|".join(BOILERPLATE) + ")"
-NAVIGATION_RE = "(?i)^(" + "|".join(NAVIGATION) + r")([^\pL\pN]|$)"
+
+def any_case(words: tuple[str, ...]) -> str:
+    """The words as alternatives; letters beyond ASCII in both cases, for engines that fold ASCII only."""
+    return "|".join("".join(c if c.isascii() else f"[{c}{c.upper()}]" for c in w) for w in words)
+
+
+NAVIGATION_RE = f"(?i)^({any_case(NAVIGATION)})([^\\pL\\pN]|$)"
 SEPARATORS_RE = "[|»›•·].*[|»›•·]"
 TERMINAL_RE = "[.!?:;…。！？][\"'”’)\\]]*$"
 LETTER_RE = r"[\pL\pN]"
@@ -86,7 +94,7 @@ def line_fails(line: Column) -> Column:
             | ((n_words < 3) & ~s.rlike(TERMINAL_RE))
             | s.rlike(SEPARATORS_RE)
             | ((n_words <= NAVIGATION_WORDS) & s.rlike(NAVIGATION_RE) & ~s.rlike(TERMINAL_RE))
-            | s.rlike(BOILERPLATE_RE)
+            | let(F.lower(s), lambda low: reduce(or_, [F.contains(low, F.lit(w)) for w in BOILERPLATE]))  # faster than a pattern of many words
         )
 
     return let(F.regexp_replace(line, rf"^{SPACE}+|{SPACE}+$", ""), judged)
@@ -99,12 +107,14 @@ def measure(docs: DataFrame, text: str = "text", max_lost_percent: int = 50, min
     by one, so ties and repeated rows need no rule; an empty table gives an empty result.
     Columns of ``docs`` with the names of added columns are replaced; others stay.
     A document loses too much when failing lines hold over ``max_lost_percent`` of its
-    word characters.
+    word characters. A text of any length is judged whole, in one row and in time that
+    grows with its words (times their logarithm where windows repeat).
     """
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(body, "\n", -1)
     has_word = lambda x: x.rlike(WORD)
     fails = lambda x: has_word(x) & line_fails(x)
+    chars = lambda c: (F.length(c) - space_count(c)).cast("long")
     word_stats = let(
         words_of(F.col(text)),
         lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), count_repeats(ws).cast("long").alias("n_repeat_words")),
@@ -113,29 +123,27 @@ def measure(docs: DataFrame, text: str = "text", max_lost_percent: int = 50, min
         lines,
         lambda ls: F.struct(
             let(F.filter(ls, has_word), lambda full: F.size(full) - F.size(F.array_distinct(full))).cast("long").alias("n_dup_lines"),
-            F.array_join(F.filter(ls, lambda x: ~fails(x)), "\n").alias("clean"),
+            let(F.array_join(F.filter(ls, lambda x: ~fails(x)), "\n"), lambda c: F.struct(c.alias("text"), chars(c).alias("chars"))).alias("clean"),
         ),
     )
-    chars = lambda c: (F.length(c) - space_count(c)).cast("long")
-    out = docs.withColumns({"__words": word_stats, "__lines": line_stats})
-    out = out.withColumns(
-        {
-            "n_words": F.col("__words.n_words"),
-            "word_chars": chars(body),
-            "n_symbols": F.length(F.regexp_replace(body, NOT_SYMBOLS, "")).cast("long"),
-            "n_dup_lines": F.col("__lines.n_dup_lines"),
-            "n_repeat_words": F.col("__words.n_repeat_words"),
-            "clean_text": F.col("__lines.clean"),
-        }
-    )
-    out = out.withColumns(
+    symbols = F.length(F.regexp_replace(body, NOT_SYMBOLS, "")).cast("long")
+    # explode of one row, so that Spark works the measures out once and not again for every use
+    stats = F.explode(F.array(F.struct(word_stats.alias("words"), line_stats.alias("lines"), chars(body).alias("word_chars"), symbols.alias("n_symbols"))))
+    m = lambda field: F.col(f"__m.{field}")
+    out = docs.withColumn("__m", stats).withColumns(
         {
-            "clean_chars": chars(F.col("clean_text")),
-            "base_failed": (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")),
+            "n_words": m("words.n_words"),
+            "word_chars": m("word_chars"),
+            "n_symbols": m("n_symbols"),
+            "n_dup_lines": m("lines.n_dup_lines"),
+            "n_repeat_words": m("words.n_repeat_words"),
+            "clean_text": m("lines.clean.text"),
+            "clean_chars": m("lines.clean.chars"),
         }
     )
+    base_failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     lost = (F.col("word_chars") - F.col("clean_chars")) * 100 > max_lost_percent * F.col("word_chars")
-    return out.withColumn("kept", ~F.col("base_failed") & ~lost).drop("__words", "__lines")
+    return out.withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & ~lost).drop("__m")
 
 
 def keep_clean(docs: DataFrame) -> DataFrame:

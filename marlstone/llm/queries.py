@@ -92,7 +92,7 @@ def quoted(pattern: str) -> str:
 LINE_FAILS = f"""(NOT regexp_matches(s, {quoted(quality.LETTER_RE)}) OR length(regexp_replace(s, {quoted(quality.NOT_SYMBOLS)}, '', 'g')) * 10 > length(s)
   OR (len(regexp_extract_all(s, {quoted(quality.WORD)})) < 3 AND NOT regexp_matches(s, {quoted(quality.TERMINAL_RE)})) OR regexp_matches(s, {quoted(quality.SEPARATORS_RE)})
   OR (len(regexp_extract_all(s, {quoted(quality.WORD)})) <= {quality.NAVIGATION_WORDS} AND regexp_matches(s, {quoted(quality.NAVIGATION_RE)}) AND NOT regexp_matches(s, {quoted(quality.TERMINAL_RE)}))
-  OR regexp_matches(s, {quoted(quality.BOILERPLATE_RE)}))"""
+  OR {" OR ".join(f"contains(lower(s), {quoted(w)})" for w in quality.BOILERPLATE)})"""
 EDGES = rf"'^{quality.SPACE}+|{quality.SPACE}+$'"
 QUALITY = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
