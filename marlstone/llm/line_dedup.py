@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.quality import let
 from marlstone.sources import scratch
 
 #: Sketches have 2**LG_K registers; their relative standard error is 1.04 / sqrt(2**LG_K), 1.6 %.
@@ -56,7 +57,9 @@ def remove_lines(docs: DataFrame, min_sites: int = 5, doc_id: str = "doc_id", te
     gone = hits.groupBy("d").agg(F.collect_set("pos").alias("__gone"))
     out = docs.join(gone.withColumnRenamed("d", "__d"), docs[doc_id] == F.col("__d"), "left").drop("__d")
     parts = F.split(F.col(text), "\n", -1)
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
+    # by sets of positions, so that a text of many lines takes time in proportion to them
+    staying = lambda ps: F.array_except(F.sequence(F.lit(0), F.size(ps) - 1), F.col("__gone"))
+    left = let(parts, lambda ps: F.array_join(F.transform(staying(ps), lambda i: F.get(ps, i)), "\n"))
     n_lines = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     out = out.withColumns(
         {
