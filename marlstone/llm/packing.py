@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,16 +136,19 @@ def pack_documents(ids: list[np.ndarray], window: int = WINDOW) -> list[tuple[in
 
 
 def encode_rows(path: str):
-    """(doc_id, text) to (doc_id, ids, size): the ids with the end id, and the bytes of text."""
+    """(doc_id, text) to (doc_id, ids, size, place): the ids with the end id, the bytes of text, and for null ids the place in the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, end = encoder(path), np.array([END_ID], dtype=np.uint16).tobytes()
+        first = TaskContext.get().partitionId() << 40
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 ids = [x.tobytes() + end for x in code(part.column(1).to_pylist())]
                 size = pc.add(pc.fill_null(pc.binary_length(part.column(1)), 0).cast(pa.int64()), 16)
-                yield pa.record_batch([part.column(0), pa.array(ids, type=pa.binary()), size], names=["doc_id", "ids", "size"])
+                place = pc.if_else(pc.is_null(part.column(0)), pa.array(first + np.arange(part.num_rows)), pa.scalar(0, pa.int64()))
+                first += part.num_rows
+                yield pa.record_batch([part.column(0), pa.array(ids, type=pa.binary()), size, place], names=["doc_id", "ids", "size", "place"])
 
     return run
 
@@ -165,15 +169,15 @@ def pack_shard(window: int):
 
 
 def deal(coded: DataFrame, shards: int) -> DataFrame:
-    """Add ``shard`` to rows of doc_id, ids and size, by content."""
+    """Add ``shard`` to rows of doc_id, ids, size and place, by content; equal texts are told apart by id, without one by place."""
     if shards == 1:
         return coded.select("doc_id", "ids", F.lit(0).cast("long").alias("shard"))
-    spread = (F.pmod(F.xxhash64("doc_id", "ids"), F.lit(1 << 20)) / F.lit(1 << 20)).alias("spread")
+    spread = (F.pmod(F.xxhash64("doc_id", "ids", "place"), F.lit(1 << 20)) / F.lit(1 << 20)).alias("spread")
     n = coded.count()
 
     def sample(most: int, seed: int) -> DataFrame:
         # half as many again are drawn, so that chance leaves enough
-        return coded.where(F.pmod(F.xxhash64("ids", "doc_id", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, 1.5 * most / n) * (1 << 30)))
+        return coded.where(F.pmod(F.xxhash64("ids", "doc_id", "place", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, 1.5 * most / n) * (1 << 30)))
 
     drawn = sample(dealing.BASIS_SAMPLE, 1).select("ids").limit(dealing.BASIS_SAMPLE).collect()
     drawn = drawn or coded.select("ids").limit(1).collect()
@@ -195,7 +199,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_bytes
     no rows.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    coded = scratch.table(own.mapInArrow(encode_rows(tokenizer_path), "doc_id long, ids binary, size long"), "packing-ids")
+    coded = scratch.table(own.mapInArrow(encode_rows(tokenizer_path), "doc_id long, ids binary, size long, place long"), "packing-ids")
     total = coded.agg(F.sum("size").alias("n")).first()["n"] or 0
     dealt = deal(coded, max(1, -(-total // shard_bytes)))
     return dealt.groupBy("shard").applyInArrow(pack_shard(window), SCHEMA)
