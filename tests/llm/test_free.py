@@ -294,11 +294,83 @@ def test_toxicity(spark, docs):
     models, told = toxicity.train(df, labels, ("low_quality", "toxic"))
     assert told["toxic"] > 0.97 and len(models) == 2
     assert len(models[1].weights) == len(models[1].words) + toxicity.DENSE + 2  # the earlier category is an input
+    again = docs(*texts, "other words", "other words too", ids=[*range(len(texts)), 0, 4])  # an id of two texts trains with one of them
+    twice = [sorted(map(tuple, toxicity.score(x, labels).collect())) for x in (again, again.orderBy(F.desc("text")))]
+    assert twice[0] == twice[1]
     odd = toxicity.score(docs(None, "", "x", "x", ids=[1, None, 2, 2]), labels.where("false"))
     assert [r["p_toxic"] for r in odd.collect()] == [0.5] * 4
     assert toxicity.score(docs(), labels).count() == 0
 
 
+def brute_features(text):
+    """Distinct words, cut at ASCII punctuation as well, and the three numbers."""
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    found = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", low)
+    size = max(len((text or "").encode()), 1)
+    # words are told apart by their hash, as the models are
+    ids = {int(toxicity.word_ids(pa.array([w]))[0][0]) for w in set(found)}
+    return ids, [math.log1p(len(found)), sum(c in "#*$%&|<>" for c in text or "") / size, len(ids) / max(len(found), 1)]
+
+
+def brute_fit(rows, before, y):
+    """Ridge logistic regression on the words that tell the classes apart; returns a predictor."""
+    n, pos = len(y), max(sum(y), 1e-9)
+    held, hits = collections.Counter(w for s, _ in rows for w in s), collections.Counter(w for (s, _), v in zip(rows, y, strict=True) if v for w in s)
+    z = {}
+    for w, k in held.items():
+        if k >= toxicity.LEAST_DOCUMENTS:
+            share = k / n
+            z[w] = abs(hits[w] / pos - (k - hits[w]) / max(n - pos, 1e-9)) / (math.sqrt(share * (1 - share) * (1 / pos + 1 / max(n - pos, 1e-9))) + 1e-12)
+    words_ = [w for w in z if z[w] >= toxicity.LEAST_Z]
+    assert len(words_) < toxicity.MAX_WORDS
+    d = np.array([x for _, x in rows])
+    mean, scale = d.mean(axis=0), d.std(axis=0) + 1e-9
+    row = lambda r, b: [*(float(w in r[0]) for w in words_), *((np.array(r[1]) - mean) / scale), *b, 1.0]
+    x, y = np.array([row(r, b) for r, b in zip(rows, before, strict=True)]), np.array(y, dtype=float)
+    ridge, w = np.array([toxicity.RIDGE] * (x.shape[1] - 1) + [1e-6]), np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w + np.linalg.solve(x.T @ np.diag(p * (1 - p)) @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
+    return lambda r, b: 1 / (1 + math.exp(-float(np.dot(row(r, b), w))))
+
+
+def test_toxicity_against_a_plain_chain(spark, docs):
+    texts, df, labels = toxic_table(docs, spark, 400)
+    labels = labels.withColumn("low_quality", 1 - F.col("quality"))
+    known = {}
+    for r in labels.where("doc_id is not null").collect():
+        known.setdefault(r["doc_id"], []).append((r["low_quality"], r["toxic"]))
+    mean = lambda xs: (lambda v: None if not v else float(sum(v) / len(v) >= 0.5))([x for x in xs if x is not None])
+    y = {k: [mean([x[c] for x in v]) for c in (0, 1)] for k, v in known.items() if k < len(texts)}
+    ids = sorted(y)
+    feats = {k: brute_features(t) for k, t in enumerate(texts)}
+    fold = {k: zlib.crc32(str(k).encode()) % toxicity.FOLDS for k in ids}
+    chain, before = [], {k: [] for k in ids}
+    for c in (0, 1):
+        able = [k for k in ids if y[k][c] is not None]
+        fitted = lambda rows: brute_fit([feats[k] for k in rows], [before[k] for k in rows], [y[k][c] for k in rows])  # noqa: B023, E731
+        held_out = {}
+        for f in range(toxicity.FOLDS):
+            model = fitted([k for k in able if fold[k] != f])
+            held_out |= {k: model(feats[k], before[k]) for k in ids if fold[k] == f}
+        chain.append(fitted(able))
+        before = {k: [*before[k], held_out[k]] for k in ids}
+    got = {r["doc_id"]: r for r in toxicity.score(df, labels).collect()}
+    for k in range(len(texts)):
+        p = []
+        for model in chain:
+            p.append(model(feats[k], p))
+        assert (got[k]["p_low_quality"], got[k]["p_toxic"]) == pytest.approx(tuple(p), abs=1e-6)
+
+
+@needs_vocabulary
+def test_packing_splits_rows_without_an_id(docs):
+    texts = ["one text that all of these share"] * 300
+    rows = packing.pack(docs(*texts, ids=[None] * 300), VOCABULARY, shard_bytes=2000).collect()
+    loads = collections.Counter(r["sequence_id"] >> 32 for r in rows)
+    assert len(rows) >= 300 and len(loads) >= 4 and max(loads.values()) < 150
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_lm(docs, order):
     rng = random.Random(9)

@@ -1,7 +1,9 @@
 """Quality rules, line dedup, mixing and chat formatting on small tables."""
 
 import hashlib
+import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -122,6 +124,71 @@ def test_flow_of_overlapping_sources():
     assert mixing.min_cost_flow(supply[3:], {"c": 15.0}) == [15.0]
 
 
+def plain_flow(supply, quota):
+    """Cost of the cheapest way to give as many words as can be, one word at a time along the cheapest path."""
+    edges = {}
+    for p, (members, words) in enumerate(supply):
+        for use, cost in enumerate((0, 1, 3)):
+            edges["from", ("use", p, use)] = [words, 0]
+            edges[("use", p, use), ("pattern", p)] = [words, cost]
+        edges.update({(("pattern", p), ("source", s)): [10**9, 0] for s in members})
+    edges.update({(("source", s), "to"): [q, 0] for s, q in quota.items()})
+    edges.update({(b, a): [0, -cost] for (a, b), (_, cost) in list(edges.items())})
+    total = words = 0
+    while True:
+        far, back = {"from": 0}, {}
+        for _ in range(len(edges)):
+            moved = False
+            for (a, b), (room, cost) in edges.items():
+                if room and a in far and far[a] + cost < far.get(b, 10**9):
+                    far[b], back[b], moved = far[a] + cost, a, True
+            if not moved:
+                break
+        if "to" not in far:
+            return words, total
+        b = "to"
+        while b != "from":
+            edges[back[b], b][0] -= 1
+            edges[b, back[b]][0] += 1
+            b = back[b]
+        words, total = words + 1, total + far["to"]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_flow_against_a_plain_solver(seed):
+    rng = random.Random(seed)
+    names = "abcde"[: rng.randrange(2, 6)]
+    supply = [(frozenset(m), rng.randrange(1, 9)) for m in {"".join(sorted(rng.sample(names, rng.randrange(1, len(names) + 1)))) for _ in range(7)}]
+    quota = {s: rng.randrange(1, 25) for s in {s for m, _ in supply for s in m}}
+    given = mixing.min_cost_flow(supply, {s: float(q) for s, q in quota.items()})
+    cost = sum(max(0, min(g, 2 * w) - w) + 3 * max(0, g - 2 * w) for g, (_, w) in zip(given, supply, strict=True))
+    assert (round(sum(given)), round(cost)) == plain_flow(supply, quota) and all(g <= 3 * w + 1e-6 for g, (_, w) in zip(given, supply, strict=True))
+
+
+def test_overlapping_mix_of_many_documents(spark, docs):
+    """Documents of one to three of six sources: each source's share is met, and no document goes beyond three uses."""
+    rng = random.Random(4)
+    own = [sorted(rng.sample("abcdef", rng.choice([1, 1, 2, 3]))) for _ in range(600)]
+    texts = ["w " * rng.randrange(1, 60) for _ in own]
+    df = docs(*texts).join(spark.createDataFrame(list(enumerate(own)), "doc_id long, m array<string>"), "doc_id")
+    weights = dict(zip("abcdef", (1, 2, 3, 4, 5, 6), strict=True))
+    total = sum(len(t.split()) for t in texts)
+    rows = mixing.mix(df, F.col("m"), weights=weights, total=total).collect()
+    supply = Counter()
+    for t, m in zip(texts, own, strict=True):
+        supply[frozenset(m)] += len(t.split())
+    quota = mixing.fill_targets({s: sum(w for m, w in supply.items() if s in m) for s in weights}, weights, total)
+    taken = Counter()
+    for r in rows:
+        taken[frozenset(r["m"])] += r["taken"]
+        assert r["taken"] <= 3 * r["size"]
+    flow = mixing.min_cost_flow(list(supply.items()), quota)
+    # several ways may be as cheap
+    cost = lambda given: sum(max(0, min(g, 2 * supply[m]) - supply[m]) + 3 * max(0, g - 2 * supply[m]) for m, g in given.items())
+    assert abs(cost(taken) - cost(dict(zip(supply, flow, strict=True)))) <= 3 * len(supply)
+    assert abs(sum(taken.values()) - sum(quota.values())) <= len(supply) and sum(quota.values()) == pytest.approx(total)
+
+
 def test_mix_of_overlapping_sources(spark, docs):
     df = docs(*["w w w w w"] * 30).withColumn("m", F.when(F.col("doc_id") < 10, F.array(F.lit("a"))).when(F.col("doc_id") < 20, F.array(F.lit("b"), F.lit("a"))).when(F.col("doc_id") < 29, F.array(F.lit("b"))))
     rows = mixing.mix(df, F.col("m"), weights={"a": 3, "b": 1}, total=100).collect()
@@ -156,3 +223,43 @@ def test_chat_events(spark):
     df = spark.createDataFrame(log[::-1], "conv_id long, seq long, msg long, kind string, role string, text string").withColumn("events", F.lit(1))
     got = [tuple(r) for r in chat.fold_events(df).orderBy("msg").collect()]
     assert got == [(1, 1, "user", "Hi"), (1, 2, "assistant", "good"), (1, 4, "tool", "x")]
+
+
+def brute_fold(log):
+    """A state machine over each conversation's events in sequence."""
+    state = {}
+    for conv, seq, msg, kind, role, text in sorted(log, key=lambda e: (e[0], e[1], e[3] or "delta", e[5] or "", e[4] is not None, e[4] or "")):
+        m = state.setdefault((conv, msg), {"role": None, "text": "", "gone": False})
+        kind, text = kind or "delta", text or ""
+        m["role"] = role or m["role"]
+        if kind == "delta":
+            m["text"] += text if not m["gone"] else ""
+        elif kind in ("start", "regenerate", "edit", "delete"):
+            m["gone"] = kind == "delete"
+            m["text"] = text if kind in ("edit", "start") else ""
+    return sorted((c, k, m["role"], m["text"]) for (c, k), m in state.items() if not m["gone"])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chat_events_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    kinds = ["start", "delta", "delta", "delta", None, "edit", "regenerate", "delete", "other"]
+    log = [(rng.randrange(6), rng.randrange(60), rng.randrange(4), rng.choice(kinds), rng.choice([None, "user", "tool"]), rng.choice([None, "", "a", "b c", "<|"])) for _ in range(400)]
+    log = [(*e[:4], e[4], "" if e[3] in ("regenerate", "delete") else e[5]) for e in log]
+    df = spark.createDataFrame(log, "conv_id long, seq long, msg long, kind string, role string, text string")
+    got = sorted((r["conv_id"], r["msg"], r["role"], r["text"]) for r in chat.fold_events(df).collect())
+    key = lambda rows: sorted(repr(r) for r in rows)
+    assert key(got) == key(brute_fold(log))
+
+
+def test_chat_log_holds_every_kind(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "hello"), (1, 1, "assistant", None)], "conv_id long, turn long, role string, text string")
+    log = chat.turn_events(turns).collect()
+    assert {r["kind"] for r in log} == {"start", "delta", "regenerate", "edit"} and sum(r["kind"] == "delta" for r in log) == 8
+
+
+def test_line_dedup_of_many_removed_lines(docs):
+    text = "\n".join(f"line {k}" for k in range(30_000))
+    began = time.time()
+    got = line_dedup.remove_lines(docs(*[text] * 6, sources=[f"s{k}" for k in range(6)]), 5).select("doc_id", F.length("text").alias("n"), "n_removed").collect()
+    assert sorted(r["n_removed"] for r in got) == [0] + [30_000] * 5 and time.time() - began < 60

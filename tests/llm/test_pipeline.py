@@ -8,20 +8,16 @@ import regex
 
 import __spark_entry__
 import corpus_pipeline
-from marlstone.llm import mixing
+from marlstone.llm import mixing, quality
 from tests.llm.test_free import brute_groups, check_pieces, edited, sentence
 from tests.llm.test_native import brute_lines, brute_quality
 
-BOILERPLATE = ["all rights reserved", "cookie policy", "privacy policy", "terms of service", "terms of use", "lorem ipsum", "enable javascript", "subscribe to our newsletter"]
-NAVIGATION = ["home", "menu", "search", "login", "log in", "sign in", "sign up", "share", "next", "previous", "read more", "click here", "back to top", "skip to content"]
-
-
 def brute_fails(line):
     s = line.strip(" \t\n\x0b\x0c\r")
     n = len(regex.findall(r"[^\x20\x09-\x0D]+", s))
     ended = regex.search(r"[.!?:;…。！？][\"'”’)\]]*$", s) is not None
-    led = any(s.lower().startswith(w) and not regex.match(r"[\pL\pN]", s[len(w) : len(w) + 1]) for w in NAVIGATION)
-    return not regex.search(r"[\pL\pN]", s) or sum(c in "#*$%&|<>" for c in s) * 10 > len(s) or (n < 3 and not ended) or sum(c in "|»›•·" for c in s) > 1 or (n <= 5 and led and not ended) or any(b in s.lower() for b in BOILERPLATE)
+    led = any(s.lower().startswith(w) and not regex.match(r"[\pL\pN]", s[len(w) : len(w) + 1]) for w in quality.NAVIGATION)
+    return not regex.search(r"[\pL\pN]", s) or sum(c in "#*$%&|<>" for c in s) * 10 > len(s) or (n < 3 and not ended) or sum(c in "|»›•·" for c in s) > 1 or (n <= 5 and led and not ended) or any(b in s.lower() for b in quality.BOILERPLATE)
 
 
 def brute_clean(text):
@@ -59,7 +55,7 @@ def corpus():
     texts = ["\n".join(line(rng.randrange(5, 40)) for _ in range(rng.randrange(2, 7))) for _ in range(120)]
     texts = [t + "\n" + shared[k % 3] if k % 4 else t for k, t in enumerate(texts)]
     texts += [edited(rng, texts[k].replace("\n", " "), 2) for k in range(1, 30)] + texts[:15]
-    texts += [texts[3] + "\nHome | About | Contact\nAll rights reserved.", "short", "", None, "### $$$ *** " * 80, "same " * 400, texts[5] + "\n" + line(900) + "\n" + line(2500)]
+    texts += [texts[3] + "\nHome | About | Contact\nAll rights reserved.", "short", "", None, "### $$$ *** " * 80, "same " * 400, texts[8] + "\nAlle Rechte vorbehalten. Datenschutz.\nPRÉCÉDENT ici\nMenú principal\nPolítica de privacidad de hoy.\nWeiter geht es.", texts[5] + "\n" + line(900) + "\n" + line(2500)]
     return [(k, t, "en", f"s{rng.choice([0, 0, 0, 1, 2, 3, 4, 5])}" if k % 31 else None, len(t or "")) for k, t in enumerate(texts)]
 
 
