@@ -7,7 +7,9 @@ are built-in expressions, so they stay inside generated code.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUMBER_PREFIX = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
@@ -56,7 +58,7 @@ def number_prefix(text: Column) -> Column:
 
 def first_price(prices: Column) -> Column:
     """The first of a JSON array of prices, given as texts or numbers; null if malformed."""
-    return known(number_prefix(F.get(F.from_json(prices, "array<string>"), F.lit(0))))
+    return number_prefix(F.get(F.from_json(prices, "array<string>"), F.lit(0)))  # digits only, so never NaN
 
 
 def hours_until(end: Column, as_of: Column) -> Column:
@@ -64,8 +66,24 @@ def hours_until(end: Column, as_of: Column) -> Column:
     return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(as_of.cast("timestamp"))) / F.lit(3.6e9)
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is worked out once for each row, however often it is used later.
+
+    Spark copies a plain column's expression into each of its uses; a generator of one row
+    it does not. Filters on other columns still move below it.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
+def parameter(value, default: float) -> float:
+    """A request parameter as a number: ``default`` where it is missing, unreadable, NaN or 0."""
+    found = re.match(NUMBER_PREFIX, str(value).strip()) if value is not None else None
+    return (float(found[0]) if found else 0.0) or default
+
+
 def fixed_text(x: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", x)
+    """With so many decimals, rounded half away from zero on the binary value."""
+    return F.format_string(f"%.{digits}f", round_half_away(x, digits))
 
 
 def minutes_text(seconds: Column) -> Column:
@@ -77,6 +95,11 @@ def row_id(*parts: Column) -> Column:
     return F.regexp_replace(F.concat_ws("_", *parts), "[^a-zA-Z0-9_]", "_")
 
 
+def trade_id(ts: Column, place: Column) -> Column:
+    """A trade's key: its time in milliseconds and four characters that tell trades of one time apart."""
+    return F.concat_ws("_", F.lit("trade"), F.unix_millis(ts.cast("timestamp")).cast("string"), F.substring(F.md5(place.cast("string")), 1, 4))
+
+
 def grouped_text(x: Column, digits: int = 0) -> Column:
     """With thousands separators."""
     return F.format_number(x, digits)

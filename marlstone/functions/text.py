@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marlstone.functions import vocabulary as V
-from marlstone.functions.scalars import number_prefix
+from marlstone.functions.scalars import first_text, number_prefix
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
@@ -17,6 +17,11 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
 
 
+def listing_text(question: Column, title: Column) -> Column:
+    """The question, or the title where there is none."""
+    return first_text(question, title)
+
+
 def outcome_matches(question: Column, outcome: str) -> Column:
     return contains_any(question, next(words for key, _, words in V.OUTCOMES if key == outcome))
 

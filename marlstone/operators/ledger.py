@@ -55,6 +55,20 @@ def running_balance(resolved: DataFrame, account: str, start: float = START) ->
     return resolved.withColumn("balance", (F.sum(back - stake).over(order) + int(start * 100)) / 100)
 
 
+def balance_with_resets(events: DataFrame, account: str, start: float = START) -> DataFrame:
+    """``balance`` of each account after each event, by (ts, id): ``change`` in cents adds, a row with ``reset`` (cents) sets it.
+
+    A reset of 0 is the start's amount. Trades before a reset stay in the table, not in the balance.
+    """
+    order = Window.partitionBy(account).orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begin = F.lit(int(start * 100))
+    era = events.withColumn("__era", F.count("reset").over(order))
+    inside = Window.partitionBy(account, "__era").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    base = F.coalesce(F.nullif(F.first("reset", ignorenulls=True).over(inside), F.lit(0)), begin)
+    changes = F.coalesce(F.sum(F.when(F.col("reset").isNull(), F.col("change"))).over(inside), F.lit(0))
+    return era.withColumn("balance", (base + changes) / 100).drop("__era")
+
+
 def place(orders: DataFrame, account: str, start: float = START, default: float = 10.0, least: float = 0.5) -> DataFrame:
     """Accept orders one after another: size is cut to the balance, and below ``least`` the order is refused.
 

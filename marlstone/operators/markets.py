@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlstone.functions.scalars import first_price, first_text
+from marlstone.functions.scalars import first_price, first_text, once
 
 
 def flatten(events: DataFrame, nested: str, parents: Sequence[str] = ()) -> DataFrame:
@@ -35,9 +35,9 @@ def market_key(*columns: str) -> Column:
 def with_price(markets: DataFrame, book: DataFrame) -> DataFrame:
     """Add ``price`` and ``price_source``: the order book's price of the token, else the listing's own."""
     quoted = markets.join(book.select("token_id", F.col("price").alias("__book")), "token_id", "left")
-    listed = first_price(F.col("outcome_prices"))
-    source = F.when(F.col("__book").isNotNull(), F.lit("book")).when(listed.isNotNull(), F.lit("listing"))
-    return quoted.withColumns({"price": F.coalesce("__book", listed), "price_source": source}).drop("__book")
+    quoted = once(quoted, "__listed", first_price(F.col("outcome_prices")))
+    source = F.when(F.col("__book").isNotNull(), F.lit("book")).when(F.col("__listed").isNotNull(), F.lit("listing"))
+    return quoted.withColumns({"price": F.coalesce("__book", "__listed"), "price_source": source}).drop("__book", "__listed")
 
 
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence, most: int) -> DataFrame:
@@ -98,3 +98,49 @@ def running_counts(batches: DataFrame, order: str, *counters: str) -> DataFrame:
     """Totals after each cycle; the input has a row for each cycle."""
     so_far = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return batches.select(order, *(F.sum(c).over(so_far).alias(c) for c in counters))
+
+
+def listing_pages(listed: DataFrame, pages: dict[str, tuple[Column, int]]) -> DataFrame:
+    """(listing, place, ...): of each listing, a condition and a page size, the first rows in order.
+
+    One pass: each row comes with the listings that it is in. No listing needs more than the
+    largest page, so each task keeps only that many rows of each.
+    """
+    found = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(name).alias("listing"), F.lit(size).alias("size"))) for name, (test, size) in pages.items())))
+    rows = listed.withColumn("__in", F.explode(found)).select("*", "__in.listing", "__in.size").drop("__in")
+    place = F.row_number().over(Window.partitionBy("listing").orderBy("ord"))
+    return rows.withColumn("place", place).where(F.col("place") <= max(size for _, size in pages.values())).where("place <= size").drop("size")
+
+
+def lookup(df: DataFrame, key: str, value) -> DataFrame:
+    """The row with that key; none where it is unknown."""
+    return df.where(F.col(key) == value)
+
+
+def append(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Both, columns that ``new`` lacks null."""
+    return old.unionByName(new, allowMissingColumns=True)
+
+
+def update(old: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """``old`` with the columns of ``changes`` set where its key is named there, null values too; other keys of ``changes`` are ignored.
+
+    Of several changes of one key any counts: reduce them first. Write the result as a new version.
+    """
+    columns = [c for c in changes.columns if c != key]
+    held = changes.dropDuplicates([key]).select(key, F.struct(*columns).alias("__new"))
+    both = old.join(held, key, "left")
+    return both.select(*(F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in old.columns))
+
+
+def prepend(new: DataFrame, old: DataFrame, most: int, order: str) -> DataFrame:
+    """New rows ahead of old ones, each in their order, of all the first ``most``: (place, ...)."""
+    both = new.withColumn("__src", F.lit(0)).unionByName(old.withColumn("__src", F.lit(1)))
+    first = both.orderBy("__src", order).limit(most)
+    return first.withColumn("place", F.row_number().over(Window.orderBy("__src", order))).drop("__src")  # at most ``most`` rows
+
+
+def nested_status(events: DataFrame, nested: str, title: str, order: str) -> DataFrame:
+    """(n, nested, sample): parents, rows nested in them, and the first two titles."""
+    head = events.orderBy(order).limit(2).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, title))), lambda x: x[title]), " / ").alias("sample"))
+    return events.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(F.coalesce(F.col(nested), F.array()))), F.lit(0)).alias("nested")).crossJoin(head)  # one row each

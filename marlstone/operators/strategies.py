@@ -1,7 +1,8 @@
 """Scans that turn market listings into signals.
 
 Every scan is a function of DataFrames and plain parameters. Rows arrive in the order of
-``ord``; caps take the first rows in that order and are off with None.
+``ord``; caps take the first rows in that order and are off with None. ``page`` caps what
+is looked at, as a listing of that many rows does, ``most`` what is found.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql.window import Window
 
 from marlstone.functions import text as T
 from marlstone.functions import vocabulary as V
-from marlstone.functions.scalars import first_price, hours_until, round_half_away
+from marlstone.functions.scalars import first_price, hours_until, once, parameter, round_half_away
 from marlstone.operators.weather import ladder
 
 
@@ -22,6 +23,11 @@ def capped(df: DataFrame, most: int | None, *order: str) -> DataFrame:
     return df if most is None else df.orderBy(*order).limit(most)
 
 
+def with_listed_price(markets: DataFrame) -> DataFrame:
+    """Add ``price``, the listing's own, parsed once; a listing that has it already stays as it is."""
+    return markets if "price" in markets.columns else once(markets, "price", first_price(F.col("outcome_prices")))
+
+
 def baskets(legs: DataFrame, min_legs: int, buffer: float, fee_per_leg: float, min_edge: float, most: int | None) -> DataFrame:
     """Groups whose YES prices sum to less than 1: (group_key, question, outcomes, total_cost, raw_edge, net_edge, legs).
 
@@ -43,14 +49,19 @@ def baskets(legs: DataFrame, min_legs: int, buffer: float, fee_per_leg: float, m
     )
 
 
-def negrisk(legs: DataFrame, most: int | None = 10) -> DataFrame:
+def negrisk(legs: DataFrame, most: int | None = 10, page: int | None = None) -> DataFrame:
     """Three legs or more, half a point of slippage."""
-    return baskets(legs, 3, 0.5, 0.0, 0.5, most)
+    return baskets(capped(legs, page, "ord"), 3, 0.5, 0.0, 0.5, most)
+
+
+def negrisk_v1(legs: DataFrame, min_edge: float = 0.5, most: int | None = None, page: int | None = None) -> DataFrame:
+    """Two legs or more, a point of fee for each leg. A ``min_edge`` of 0 is the default."""
+    return baskets(capped(legs, page, "ord"), 2, 0.0, 1.0, parameter(min_edge, 0.5), most)
 
 
-def negrisk_v1(legs: DataFrame, min_edge: float = 0.5, most: int | None = None) -> DataFrame:
-    """Two legs or more, a point of fee for each leg."""
-    return baskets(legs, 2, 0.0, 1.0, min_edge, most)
+def slug_group(slug: Column) -> Column:
+    """The group that a market's slug names: all but its last part; null without one."""
+    return F.nullif(F.regexp_extract(slug, "^(.*)-[^-]*$", 1), F.lit(""))
 
 
 def symbol_markets(markets: DataFrame, spot: DataFrame, symbols: list, relations: list[str], most: int | None) -> DataFrame:
@@ -60,7 +71,8 @@ def symbol_markets(markets: DataFrame, spot: DataFrame, symbols: list, relations
     named = markets.where(T.contains_any(F.col("question"), relations)).withColumn("symbol", F.explode(found))
     if most is not None:
         named = named.withColumn("__n", F.row_number().over(Window.partitionBy("symbol").orderBy("ord"))).where(F.col("__n") <= most).drop("__n")
-    return named.join(F.broadcast(spot.where(F.col("symbol").isin([s for s, _ in symbols]) & (F.col("spot") != 0))), "symbol")  # a row for each symbol
+    wanted = spot.where(F.col("symbol").isin([s for s, _ in symbols]) & (F.col("spot") != 0))
+    return named.join(F.broadcast(wanted.groupBy("symbol").agg(F.max("spot").alias("spot"))), "symbol")  # a row for each symbol of the list
 
 
 def step_confidence(way: Column, d: Column) -> Column:
@@ -73,15 +85,16 @@ def step_confidence(way: Column, d: Column) -> Column:
 
 def crypto_steps(markets: DataFrame, spot: DataFrame, most: int | None) -> DataFrame:
     """Candidates with ``threshold, way, distance, model`` of markets that have a large number and a direction."""
-    rows = symbol_markets(markets, spot, V.SYMBOLS, V.RELATION_WORDS, most).withColumns({"threshold": T.last_large_number(F.col("question")), "way": T.direction(F.col("question")), "price": first_price(F.col("outcome_prices"))})
-    rows = rows.where("threshold is not null and way is not null").withColumn("distance", (F.col("spot") - F.col("threshold")) / F.col("threshold"))
+    rows = symbol_markets(markets, spot, V.SYMBOLS, V.RELATION_WORDS, most).withColumn("way", T.direction(F.col("question"))).where("way is not null")
+    rows = with_listed_price(once(rows, "threshold", T.last_large_number(F.col("question")))).where("threshold is not null")
+    rows = rows.withColumn("distance", (F.col("spot") - F.col("threshold")) / F.col("threshold"))
     return rows.withColumn("model", step_confidence(F.col("way"), F.col("distance")))
 
 
-def crypto_lag(markets: DataFrame, spot: DataFrame, as_of: Column, most: int | None = 8, hours: float = 48, fee: float = 1.80, min_edge: float = 3.0) -> DataFrame:
+def crypto_lag(markets: DataFrame, spot: DataFrame, as_of: Column, most: int | None = 8, hours: float = 48, fee: float = 1.80, min_edge: float = 3.0, page: int | None = None) -> DataFrame:
     """Spot against listed prices, short-dated. Markets without an end are not; unreadable ends are dropped."""
     left = hours_until(F.col("end_date"), as_of)
-    rows = crypto_steps(markets, spot, most).withColumn("hours", left).where((F.col("hours") >= 0) & (F.col("hours") <= hours) & (F.col("price") != 0))
+    rows = crypto_steps(capped(markets, page, "ord"), spot, most).withColumn("hours", left).where((F.col("hours") >= 0) & (F.col("hours") <= hours) & (F.col("price") != 0))
     rows = rows.withColumn("raw", (F.col("model") - F.col("price")) * 100).withColumn("net", F.col("raw") - fee).where(F.abs("net") > min_edge)
     return rows.select(
         "symbol", "ord", F.substring("question", 1, 100).alias("question"), "spot", "threshold", round_half_away(F.col("distance") * 100, 2).alias("distance_pct"), round_half_away(F.col("hours"), 1).alias("hours_left"),
@@ -94,8 +107,9 @@ def crypto_lag_v1(markets: DataFrame, spot: DataFrame, as_of: Column, most: int
     """Linear confidence: half, and three points for each percent of distance, within 0.05 and 0.95."""
     low = F.lower("question")
     above = low.rlike("above|over|exceed")
-    rows = symbol_markets(markets, spot, V.SYMBOLS_V1, V.RELATION_WORDS_V1, most).withColumns({"threshold": T.last_number_k(F.col("question")), "above": above, "below": low.rlike("below|under"), "price": first_price(F.col("outcome_prices")), "hours": hours_until(F.col("end_date"), as_of)})
-    rows = rows.where("threshold is not null and (above or below) and price <> 0").where((F.col("hours") >= 0) & (F.col("hours") <= hours))
+    rows = symbol_markets(markets, spot, V.SYMBOLS_V1, V.RELATION_WORDS_V1, most).withColumns({"above": above, "below": low.rlike("below|under"), "hours": hours_until(F.col("end_date"), as_of)})
+    rows = rows.where("above or below").where((F.col("hours") >= 0) & (F.col("hours") <= hours))
+    rows = with_listed_price(once(rows, "threshold", T.last_number_k(F.col("question")))).where("threshold is not null and price <> 0")
     far = F.abs(F.col("spot") - F.col("threshold")) / F.col("threshold") * 100
     rows = rows.withColumn("far", far)
     sure = F.when(F.col("above"), F.col("spot") > F.col("threshold")).otherwise(F.col("spot") < F.col("threshold"))
@@ -110,8 +124,8 @@ def crypto_lag_v1(markets: DataFrame, spot: DataFrame, as_of: Column, most: int
 
 def threshold_markets(markets: DataFrame, most: int | None, min_volume: float) -> DataFrame:
     """(topic, ord, question, price, threshold) of the listed markets whose question says "above"."""
-    listed = capped(markets.where(F.col("volume") >= min_volume), most, "ord").withColumn("price", first_price(F.col("outcome_prices")))
-    able = listed.where((F.col("price") != 0) & F.lower("question").contains("above")).withColumn("threshold", T.first_number_k(F.col("question"))).where("threshold is not null")
+    listed = capped(markets.where(F.col("volume") >= min_volume), most, "ord").where(F.lower("question").contains("above"))
+    able = once(with_listed_price(listed).where("price <> 0"), "threshold", T.first_number_k(F.col("question"))).where("threshold is not null")
     topics = F.filter(F.array(*[F.when(F.col("question").rlike(f"(?i){t}"), F.lit(t)) for t in V.TOPICS]), lambda t: t.isNotNull())
     return able.select("ord", "question", "price", "threshold", F.explode(topics).alias("topic"))
 
@@ -183,19 +197,19 @@ def combinatorial_best(markets: DataFrame, min_edge: float = 1.0, least: float =
     return rows.withColumns({"price_diff": round_half_away(diff, 3), "net_edge": round_half_away(diff * 100 - fee, 2)})
 
 
-def economics(markets: DataFrame, most: int | None = 20) -> DataFrame:
-    """Thinly traded markets about economic releases."""
-    rows = markets.withColumns({"tag": T.economy_tag(F.col("question")), "price": first_price(F.col("outcome_prices"))})
-    rows = rows.where("tag is not null and price <> 0 and volume > 500 and volume < 50000")
-    return capped(rows, most, "ord").select("ord", "tag", F.substring("question", 1, 100).alias("question"), round_half_away(F.col("price"), 3).alias("yes_price"), round_half_away(1 - F.col("price"), 3).alias("no_price"), "volume", F.lit(0.0125).alias("fee"), "market_id")
+def economics(markets: DataFrame, most: int | None = 20, page: int | None = None) -> DataFrame:
+    """Thinly traded markets about economic releases. They carry a condition, not a market to trade."""
+    rows = once(capped(markets, page, "ord").where("volume > 500 and volume < 50000"), "tag", T.economy_tag(F.col("question")))
+    rows = with_listed_price(rows.where("tag is not null")).where("price <> 0")
+    return capped(rows, most, "ord").select("ord", "tag", F.substring("question", 1, 100).alias("question"), round_half_away(F.col("price"), 3).alias("yes_price"), round_half_away(1 - F.col("price"), 3).alias("no_price"), "volume", F.lit(0.0125).alias("fee"), F.col("market_id").alias("condition_id"))
 
 
-def geopolitics(markets: DataFrame, as_of: Column, most: int | None = 20) -> DataFrame:
-    """Near-certain markets that end within a week; without a fee the whole edge is kept."""
-    rows = markets.withColumns({"price": first_price(F.col("outcome_prices")), "days": hours_until(F.col("end_date"), as_of) / 24})
-    rows = rows.where("price <> 0 and (price > 0.88 or price < 0.12) and days < 7 and days > 0 and volume > 1000")
+def geopolitics(markets: DataFrame, as_of: Column, most: int | None = 20, page: int | None = None) -> DataFrame:
+    """Near-certain markets that end within a week; without a fee the whole edge is kept. They carry a condition, not a market to trade."""
+    rows = capped(markets, page, "ord").withColumn("days", hours_until(F.col("end_date"), as_of) / 24).where("days < 7 and days > 0 and volume > 1000")
+    rows = with_listed_price(rows).where("price <> 0 and (price > 0.88 or price < 0.12)")
     side = F.when(F.col("price") > 0.88, F.col("price")).otherwise(1 - F.col("price"))
     return capped(rows, most, "ord").select(
         "ord", F.substring("question", 1, 100).alias("question"), round_half_away(F.col("price"), 3).alias("yes_price"), F.when(F.col("price") > 0.88, F.lit("BUY YES")).otherwise(F.lit("BUY NO")).alias("direction"),
-        round_half_away(F.col("days"), 1).alias("days_left"), round_half_away((1 - side) * 100, 2).alias("net_edge"), "volume", F.lit(0.0).alias("fee"), "market_id",
+        round_half_away(F.col("days"), 1).alias("days_left"), round_half_away((1 - side) * 100, 2).alias("net_edge"), "volume", F.lit(0.0).alias("fee"), F.col("market_id").alias("condition_id"),
     )

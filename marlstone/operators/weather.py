@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.functions import text as T
 from marlstone.functions import vocabulary as V
-from marlstone.functions.scalars import clamp, number_or, round_half_away, to_fahrenheit
+from marlstone.functions.scalars import clamp, number_or, once, round_half_away, to_fahrenheit
 
 FEE = 1.25
 MOST_SPREAD = 15
 MARKETS_PER_STATION = 8
+MOST_ALIASES = 1000
 MM_TO_INCH = 0.03937
 
 
@@ -60,15 +63,25 @@ def ensemble(rows: DataFrame, keys: list[str]) -> DataFrame:
 def match_markets(stations: DataFrame, markets: DataFrame, most: int | None = MARKETS_PER_STATION) -> DataFrame:
     """The first markets in order whose question names the station, all with None; ``stations``: city, station_id, alias rows.
 
-    The stations are a few rows of fixed values, so every market meets them in its own task.
+    The stations are a small table of fixed values (at most MOST_ALIASES rows): they become
+    one condition each, and every market is looked at once, in generated code.
     """
-    names = stations.groupBy("city", "station_id").agg(F.collect_set("alias").alias("aliases"))
-    low = F.lower("question")
-    named = markets.join(F.broadcast(names), F.exists("aliases", lambda a: F.contains(low, a)))
+    rows = stations.select("city", "station_id", "alias").limit(MOST_ALIASES + 1).collect()
+    if len(rows) > MOST_ALIASES:
+        raise ValueError(f"over {MOST_ALIASES} names of stations")
+    names: dict[tuple, list[str]] = {}
+    for r in rows:
+        names.setdefault((r["city"], r["station_id"]), []).append(r["alias"])
+    if not names:
+        return markets.withColumns({"city": F.lit(None).cast("string"), "station_id": F.lit(None).cast("string")}).where("false")
+    low, any_of = F.col("__low"), lambda words: "|".join(re.escape(w) for w in words)
+    found = [F.when(low.rlike(any_of(words)), F.struct(F.lit(city).alias("city"), F.lit(station).alias("station_id"))) for (city, station), words in names.items()]
+    some = once(markets, "__low", F.lower("question")).where(low.rlike(any_of(sum(names.values(), []))))
+    named = some.withColumn("s", F.explode(F.array_compact(F.array(*found)))).select("*", "s.city", "s.station_id").drop("s", "__low")
     if most is None:
-        return named.drop("aliases")
+        return named
     place = F.row_number().over(Window.partitionBy("station_id").orderBy("ord"))
-    return named.withColumn("place", place).where(F.col("place") <= most).drop("place", "aliases")
+    return named.withColumn("place", place).where(F.col("place") <= most).drop("place")
 
 
 def edges(probs: DataFrame, matched: DataFrame, min_edge: float = 1.0, fee: float = FEE) -> DataFrame:

@@ -13,7 +13,7 @@ from marlstone.functions import vocabulary as V
 from marlstone.operators import ledger, markets, strategies, weather
 from marlstone.plans import scans
 from marlstone.sources import adapters as A
-from marlstone.sources import schemas
+from marlstone.sources import schemas, scratch
 from marlstone.streaming import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,9 +204,9 @@ def combinatorial_best(spark, sf_dir):
 # --- flags ---------------------------------------------------------------------------------
 
 TAG = "CASE " + " ".join(f"WHEN {any_of('question', words)} THEN '{tag}'" for tag, words in V.ECONOMY_TAGS) + " END"
-ECONOMICS = f"SELECT ord, {TAG} AS tag, question[1:100] AS question, {rnd('price', 3)} AS yes_price, {rnd('(1 - price)', 3)} AS no_price, volume, 0.0125::DOUBLE AS fee, market_id FROM m WHERE {TAG} IS NOT NULL AND price <> 0 AND volume > 500 AND volume < 50000"
+ECONOMICS = f"SELECT ord, {TAG} AS tag, question[1:100] AS question, {rnd('price', 3)} AS yes_price, {rnd('(1 - price)', 3)} AS no_price, volume, 0.0125::DOUBLE AS fee, market_id AS condition_id FROM m WHERE {TAG} IS NOT NULL AND price <> 0 AND volume > 500 AND volume < 50000"
 GEOPOLITICS = f"""SELECT ord, question[1:100] AS question, {rnd('price', 3)} AS yes_price, CASE WHEN price > 0.88 THEN 'BUY YES' ELSE 'BUY NO' END AS direction, {rnd('(hours / 24)', 1)} AS days_left,
-  {rnd('((1 - CASE WHEN price > 0.88 THEN price ELSE 1 - price END) * 100)', 2)} AS net_edge, volume, 0.0::DOUBLE AS fee, market_id FROM m WHERE price <> 0 AND (price > 0.88 OR price < 0.12) AND hours / 24 < 7 AND hours / 24 > 0 AND volume > 1000"""
+  {rnd('((1 - CASE WHEN price > 0.88 THEN price ELSE 1 - price END) * 100)', 2)} AS net_edge, volume, 0.0::DOUBLE AS fee, market_id AS condition_id FROM m WHERE price <> 0 AND (price > 0.88 OR price < 0.12) AND hours / 24 < 7 AND hours / 24 > 0 AND volume > 1000"""
 
 
 @query(f"WITH {MARKETS} {ECONOMICS}")
@@ -369,8 +369,8 @@ def latest_per_key(spark, sf_dir):
 NEGRISK = "(" + SQL["negrisk_rebalance"] + ")"
 CRYPTO_ROWS, COMBO_ROWS = f"({SQL['crypto_lag']})", f"({SQL['combinatorial_pairs']})"
 UNION = f"""WITH {MARKETS}, eco AS ({ECONOMICS}), geo AS ({GEOPOLITICS}),
- u AS (SELECT 'economics' AS type, 'Economics / Macro' AS strategy, question, NULL::DOUBLE AS model_prob, NULL::DOUBLE AS market_prob, NULL::DOUBLE AS net_edge, NULL AS direction, market_id FROM eco
-  UNION ALL SELECT 'geopolitics', 'Geopolitics (0% fee)', question, NULL, NULL, net_edge, direction, market_id FROM geo
+ u AS (SELECT 'economics' AS type, 'Economics / Macro' AS strategy, question, NULL::DOUBLE AS model_prob, NULL::DOUBLE AS market_prob, NULL::DOUBLE AS net_edge, NULL AS direction, NULL::BIGINT AS market_id FROM eco
+  UNION ALL SELECT 'geopolitics', 'Geopolitics (0% fee)', question, NULL, NULL, net_edge, direction, NULL FROM geo
   UNION ALL SELECT 'negrisk', 'NegRisk Rebalancing', question, NULL, NULL, net_edge, direction, NULL FROM {NEGRISK}
   UNION ALL SELECT 'crypto', 'Crypto Price Lag', question, model_prob, market_prob, net_edge, direction, NULL FROM {CRYPTO_ROWS}
   UNION ALL SELECT 'combinatorial', 'Combinatorial Arbitrage', question, NULL, NULL, net_edge, NULL, NULL FROM {COMBO_ROWS})
@@ -378,7 +378,7 @@ UNION = f"""WITH {MARKETS}, eco AS ({ECONOMICS}), geo AS ({GEOPOLITICS}),
 
 
 def cycle_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.all_strategies(A.legs(spark, sf_dir), A.markets(spark, sf_dir), A.spot(spark), A.as_of())
+    return scans.all_strategies(A.legs(spark, sf_dir), scans.listing_table(A.markets(spark, sf_dir)), A.spot(spark), A.as_of())
 
 
 @query(UNION + """SELECT regexp_replace(type || '_' || coalesce(market_id::VARCHAR, nullif(question[1:20], '')) || '_897868800000', '[^a-zA-Z0-9_]', '_', 'g') AS id, '1998-06-15T00:00:00.000Z' AS ts, '' AS city, type AS "stationId", strategy AS outcome, question[1:200] AS question,
@@ -473,7 +473,12 @@ def ledger_running(spark, sf_dir):
     return ledger.running_balance(resolved(spark, sf_dir), "user_id").select("user_id", "id", "balance")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {TRADES}, o AS (SELECT user_id, id, size * 50 AS size, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS n FROM t),
+ w AS (SELECT user_id, id, n, CASE WHEN size IS NULL OR isnan(size) OR size = 0 THEN 10.0::DOUBLE ELSE size END AS size FROM o),
+ f(user_id, id, n, size, accepted, balance) AS (SELECT user_id, NULL::BIGINT, 0::BIGINT, NULL::DOUBLE, false, 1000.0::DOUBLE FROM (SELECT DISTINCT user_id FROM w)
+  UNION ALL SELECT f.user_id, w.id, w.n, CASE WHEN least(w.size, f.balance) >= 0.5 THEN least(w.size, f.balance) END, least(w.size, f.balance) >= 0.5,
+   CASE WHEN least(w.size, f.balance) >= 0.5 THEN {rnd('(f.balance - least(w.size, f.balance))', 2)} ELSE f.balance END FROM f JOIN w ON w.user_id = f.user_id AND w.n = f.n + 1)
+SELECT user_id, id, size, accepted, balance FROM f WHERE n > 0""")
 def ledger_place(spark, sf_dir):
     orders = A.trades(spark, sf_dir).select("user_id", F.struct("ts", "id").alias("seq"), "id", (F.col("size") * 50).alias("size"))
     return ledger.place(orders, "user_id")
@@ -499,13 +504,189 @@ def auto_trade_intents(spark, sf_dir):
     return ledger.intents(signals, 1000.0)
 
 
+# --- single rows, changes and composites ---------------------------------------------------
+
+PAGES = {"weather": 200, "negrisk": 200, "crypto": 100, "economics": 100, "geopolitics": 100, "high_volume": 300}
+LISTED = {"weather": any_of("question", V.WEATHER_KEYWORDS), "negrisk": "true", "crypto": any_of("question", [w for _, words in V.SYMBOLS for w in words]), "economics": f"{TAG} IS NOT NULL", "geopolitics": "hours > 0", "high_volume": "volume >= 1000"}
+
+
+@query(f"WITH {MARKETS} " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{name}' AS listing, row_number() OVER (ORDER BY ord) AS place, ord FROM m WHERE {test}) WHERE place <= {PAGES[name]}" for name, test in LISTED.items()))
+def listing_pages(spark, sf_dir):
+    q = F.col("question")
+    tests = {"weather": T.contains_any(q, V.WEATHER_KEYWORDS), "negrisk": F.lit(True), "crypto": T.contains_any(q, [w for _, words in V.SYMBOLS for w in words]), "economics": T.economy_tag(q).isNotNull(), "geopolitics": F.col("end_date") > A.as_of(), "high_volume": F.col("volume") >= 1000}
+    return markets.listing_pages(A.markets(spark, sf_dir), {k: (tests[k], n) for k, n in PAGES.items()}).select("listing", F.col("place").cast("long").alias("place"), "ord")
+
+
+@query(f"WITH {MARKETS} SELECT ord FROM m WHERE {any_of('question', V.WEATHER_KEYWORDS)}")
+def keyword_filter_titles(spark, sf_dir):
+    """Every third market has a title in place of a question."""
+    third = F.col("ord") % 3 == 0
+    listed = A.markets(spark, sf_dir).select("ord", F.when(~third, F.col("question")).alias("question"), F.when(third, F.col("question")).alias("title"))
+    told = S.once(listed, "text", T.listing_text(F.col("question"), F.col("title")))
+    return told.where(T.contains_any(F.col("text"), V.WEATHER_KEYWORDS)).select("ord")
+
+
+SLUGGED = "CASE l_orderkey % 3 WHEN 0 THEN 'c' || l_orderkey WHEN 1 THEN 'q' || l_orderkey ELSE 'part-of-' || l_orderkey END"
+
+
+@query(SQL["negrisk_rebalance_v1"].replace("SELECT l_orderkey AS group_key", f"SELECT {SLUGGED} AS group_key").replace("GROUP BY l_orderkey", "GROUP BY ALL"))
+def negrisk_v1_slugs(spark, sf_dir):
+    """Groups by condition, else by question, else by what the slugs have in common."""
+    k, group = F.col("group_key"), F.col("group_key").cast("string")
+    named = A.legs(spark, sf_dir).withColumns({"condition": F.when(k % 3 == 0, F.concat(F.lit("c"), group)), "question_id": F.when(k % 3 == 1, F.concat(F.lit("q"), group)), "slug": F.concat(F.lit("part-of-"), group, F.lit("-"), F.col("ord.l_linenumber").cast("string"))})
+    key = S.first_text(F.col("condition"), F.col("question_id"), strategies.slug_group(F.col("slug")))
+    return strategies.negrisk_v1(named.withColumn("group_key", key))
+
+
+@query(f"SELECT event_id, coalesce(nullif(TRY_CAST(regexp_extract(t, {NUMBER}) AS DOUBLE), 0), 1.5) AS min_edge FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '0' WHEN 1 THEN '' WHEN 2 THEN (event_id % 7 + 0.5) || 'abc' WHEN 3 THEN 'abc' END AS t FROM events)")
+def parameter_defaults(spark, sf_dir):
+    i = F.col("event_id")
+    given = F.when(i % 5 == 0, F.lit("0")).when(i % 5 == 1, F.lit("")).when(i % 5 == 2, F.concat((i % 7 + 0.5).cast("string"), F.lit("abc"))).when(i % 5 == 3, F.lit("abc"))
+    return A.read(spark, sf_dir, "events").select("event_id", S.number_or(S.number_prefix(given), 1.5).alias("min_edge"))
+
+
+@query("SELECT * FROM (VALUES ('New York', 'KLGA', 'F')) t(city, station_id, unit)")
+def station_by_id(spark, sf_dir):
+    return markets.lookup(schemas.stations(spark), "stationId", "KLGA").select("city", F.col("stationId").alias("station_id"), "unit")
+
+
+@query("SELECT '1.5' AS value")
+def setting_value(spark, sf_dir):
+    return markets.lookup(schemas.default_settings(spark), "key", "min_edge").select("value")
+
+
+@query(f"WITH {TRADES} SELECT id, size, status FROM r WHERE id = (SELECT max(id) FROM t)")
+def trade_by_id(spark, sf_dir):
+    rows = resolved(spark, sf_dir)
+    last = rows.agg(F.max("id")).first()[0]  # one number
+    return markets.lookup(rows, "id", last).select("id", "size", "status")
+
+
+@query(f"WITH {TRADES} SELECT id, size, status FROM r UNION ALL SELECT -id, size, 'open' FROM t WHERE is_open")
+def trade_append(spark, sf_dir):
+    old = resolved(spark, sf_dir).select("id", "size", "status")
+    new = A.trades(spark, sf_dir).where("is_open").select((-F.col("id")).alias("id"), "size", F.lit("open").alias("status"))
+    return markets.append(old, new)
+
+
+@query(f"""WITH {TRADES}, n AS (SELECT *, yes = resolved_yes AS w FROM t) SELECT id, CASE WHEN NOT is_open THEN r.status WHEN r.yes = r.resolved_yes THEN 'won' ELSE 'lost' END AS status,
+ CASE WHEN NOT is_open THEN pnl WHEN r.yes = r.resolved_yes THEN {rnd('(size / price - size)', 2)} ELSE {rnd('(-size)', 2)} END AS pnl, CASE WHEN resolved_yes THEN 'YES' ELSE 'NO' END AS outcome FROM r""")
+def trade_update(spark, sf_dir):
+    """The open trades resolve: they are set by id, the rest stay; an unknown id changes nothing."""
+    old = resolved(spark, sf_dir).select("id", "status", "pnl", "outcome")
+    results = ledger.resolve(A.trades(spark, sf_dir).where("is_open").withColumn("is_open", F.lit(False))).select("id", "status", "pnl", "outcome")
+    return markets.update(old, results.unionByName(results.select(*((-F.col(c)).alias(c) if c == "id" else c for c in results.columns))), "id")
+
+
+@query("SELECT 'trade_' || epoch_us(ts) // 1000 || '_' || md5(event_id::VARCHAR)[1:4] AS trade_id, event_id FROM events WHERE event_type = 'purchase'")
+def trade_ids(spark, sf_dir):
+    return A.read(spark, sf_dir, "events").where("event_type = 'purchase'").select(S.trade_id(F.col("ts"), F.col("event_id")).alias("trade_id"), "event_id")
+
+
+@query(f"""WITH {TRADES}, e AS (SELECT user_id, ts, id, change, NULL::BIGINT AS reset FROM c UNION ALL SELECT user_id, ts, event_id, 0, event_id % 4 * 5000 FROM events WHERE event_type = 'signup'),
+ g AS (SELECT *, count(reset) OVER (PARTITION BY user_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS era FROM e)
+SELECT user_id, id, (coalesce(nullif(max(reset) OVER (PARTITION BY user_id, era), 0), 100000) + sum(CASE WHEN reset IS NULL THEN change ELSE 0 END) OVER (PARTITION BY user_id, era ORDER BY ts, id ROWS UNBOUNDED PRECEDING))::BIGINT / 100 AS balance FROM g""")
+def ledger_reset(spark, sf_dir):
+    """Signups reset the user's balance."""
+    stake, back = ledger.stake_and_return()
+    trades = resolved(spark, sf_dir).select("user_id", "ts", "id", (back - stake).alias("change"), F.lit(None).cast("long").alias("reset"))
+    signups = A.read(spark, sf_dir, "events").where("event_type = 'signup'").select("user_id", "ts", F.col("event_id").alias("id"), F.lit(0).cast("long").alias("change"), (F.col("event_id") % 4 * 5000).alias("reset"))
+    return ledger.balance_with_resets(trades.unionByName(signups), "user_id").select("user_id", "id", "balance")
+
+
+@query("""SELECT row_number() OVER (ORDER BY src, event_id)::BIGINT AS place, event_id FROM (SELECT * FROM (SELECT 0 AS src, event_id FROM events WHERE event_type = 'error' UNION ALL SELECT 1, event_id FROM events WHERE event_type <> 'error') ORDER BY src, event_id LIMIT 50)""")
+def prepend_newest(spark, sf_dir):
+    rows = A.read(spark, sf_dir, "events").select("event_id", "event_type")
+    out = markets.prepend(rows.where("event_type = 'error'"), rows.where("event_type <> 'error'"), 50, "event_id")
+    return out.select(F.col("place").cast("long").alias("place"), "event_id")
+
+
+@query(f"WITH {MARKETS}, e AS (SELECT o_orderkey // 20 AS event, count(*) AS n FROM orders GROUP BY ALL) SELECT count(*) AS n, sum(n)::BIGINT AS nested, (SELECT string_agg('event ' || event, ' / ' ORDER BY event) FROM (SELECT event FROM e ORDER BY event LIMIT 2)) AS sample FROM e")
+def source_diag_nested(spark, sf_dir):
+    listed = A.markets(spark, sf_dir).select("ord", "question")
+    events = listed.groupBy(A.div(F.col("ord"), 20).alias("event")).agg(F.collect_list(F.struct("ord", "question")).alias("markets"))
+    return markets.nested_status(events.withColumn("title", F.concat(F.lit("event "), F.col("event").cast("string"))), "markets", "title", "event")
+
+
+@query("SELECT o_orderkey::VARCHAR AS id, 'order ' || o_orderkey AS question, o_totalprice AS volume FROM orders WHERE (o_orderkey // 20) % 4 < 3")
+def envelope_unwrap(spark, sf_dir):
+    """Bodies of twenty markets: an array, an object with data, one with markets, and one with neither."""
+    k = F.col("o_orderkey")
+    rows = A.read(spark, sf_dir, "orders").select(A.div(k, 20).alias("page"), F.struct(k.cast("string").alias("id"), F.concat(F.lit("order "), k.cast("string")).alias("question"), F.col("o_totalprice").alias("volume")).alias("m"))
+    array = F.to_json(F.collect_list("m"))
+    whole = lambda name: F.concat(F.lit(f'{{"{name}":'), F.col("body"), F.lit("}"))
+    way = F.col("page") % 4
+    bodies = rows.groupBy("page").agg(array.alias("body")).select(F.when(way == 0, F.col("body")).when(way == 1, whole("data")).when(way == 2, whole("markets")).otherwise(whole("other")).alias("value"))
+    return schemas.listings(bodies).select("id", "question", "volume")
+
+
+@query("""SELECT '{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '"}' AS value FROM events""")
+def json_rows(spark, sf_dir):
+    return scans.as_json(A.read(spark, sf_dir, "events").select("event_id", "user_id", "event_type"))
+
+
+@query(f"SELECT event_id, printf('%.2f', {rnd('value', 2)}) AS fixed, printf('%02d:%02d', event_id // 60, event_id % 60) AS clock, format('{{:,}}', event_id * 1234567) AS grouped FROM events")
+def text_formats(spark, sf_dir):
+    i = F.col("event_id")
+    return A.read(spark, sf_dir, "events").select("event_id", S.fixed_text(F.col("value"), 2).alias("fixed"), S.minutes_text(i).alias("clock"), S.grouped_text(i * 1234567).alias("grouped"))
+
+
+@query("SELECT c_custkey, c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 2 = 0")
+def snapshot_swap(spark, sf_dir):
+    """A second version, made from the first, replaces it for readers once it is complete."""
+    path = scratch.place(spark, "snapshot")
+    first = A.read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    schemas.write_snapshot(first, path)
+    held = schemas.read_snapshot(spark, path, first.schema)
+    schemas.write_snapshot(held.where("c_custkey % 2 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1), path)
+    return schemas.read_snapshot(spark, path, first.schema)
+
+
+@query(UNION + f""", t AS (SELECT * FROM ({SQL['stats_composite']})), s AS (SELECT count(DISTINCT user_id) AS "count", max(ts) AS last_scan FROM events),
+ k AS (SELECT '{{' || string_agg('"' || type || '":' || n, ',' ORDER BY type) || '}}' AS signals FROM (SELECT type, count(*) AS n FROM u GROUP BY type))
+SELECT "count", strftime(last_scan, '%Y-%m-%d %H:%M:%S') AS last_scan, signals, t.* FROM s, k, t""")
+def latest_composite(spark, sf_dir):
+    scans_ = A.read(spark, sf_dir, "events").select(F.col("user_id").alias("station_id"), F.col("ts").alias("scanned_at"))
+    out = scans.latest_composite(scans_, cycle_signals(spark, sf_dir), resolved(spark, sf_dir), schemas.default_settings(spark))
+    return out.withColumn("last_scan", F.date_format("last_scan", "yyyy-MM-dd HH:mm:ss"))
+
+
+ENSEMBLE = f"""o AS ({outcomes('station_id, forecast_id % 3 AS model', 'pr')}), w AS (SELECT *, CASE model WHEN 0 THEN 0.40 WHEN 1 THEN 0.35 ELSE 0.25 END::DOUBLE AS weight FROM o),
+ en AS (SELECT station_id, outcome, {rnd('(sum(prob * weight) / sum(weight))', 6)} AS prob, {rnd('(stddev_pop(prob) * 100)', 1)} AS spread FROM w GROUP BY ALL)"""
+
+
+@query(f"""WITH {MARKETS}, {FORECASTS}, {PROBS}, {MATCHED}, {ENSEMBLE},
+ x AS (SELECT en.station_id, outcome, prob, spread, mq.city, ord, market_id, question, price FROM en JOIN mq USING (station_id) WHERE {ABOUT} QUALIFY row_number() OVER (PARTITION BY en.station_id, outcome ORDER BY ord) = 1),
+ y AS (SELECT *, {ORIENTED} AS way FROM x WHERE price IS NOT NULL), z AS (SELECT *, CASE WHEN way = 'inverted' THEN 1 - prob ELSE prob END AS aligned FROM y), e AS (SELECT *, (aligned - price) * 100 - 1.25::DOUBLE AS net FROM z)
+SELECT station_id, outcome, {rnd('aligned', 3)} AS model_aligned, {rnd('net', 2)} AS net_edge, market_id FROM e WHERE abs(net) > 1.0 AND spread < 15""")
+def weather_edges_ensemble(spark, sf_dir):
+    """Several models: outcomes on which they are 15 points or more apart give no signal."""
+    rows = weather.by_outcome(weather.probabilities(A.forecasts(spark, sf_dir)), ["station_id", "forecast_id"])
+    model = F.col("forecast_id") % 3
+    weighted = rows.withColumn("weight", F.when(model == 0, 0.40).when(model == 1, 0.35).otherwise(0.25))
+    probs = weather.ensemble(weighted, ["station_id"]).select("station_id", "outcome", S.round_half_away(F.col("ensemble"), 6).alias("prob"), "spread")
+    aliases = schemas.station_aliases(spark).withColumnRenamed("stationId", "station_id")
+    out = scans.weather_signals(None, aliases, A.markets(spark, sf_dir), A.prices(spark, sf_dir), probs=probs)
+    return out.select("station_id", "outcome", "model_aligned", "net_edge", "market_id")
+
+
+@query(f"WITH {FORECASTS} SELECT forecast_id::VARCHAR AS station, tmax_c, tmin_c, precip_mm, pop, snow, wind, wmo, humidity FROM f")
+def forecast_flatten(spark, sf_dir):
+    """From the nested form, with a second day that does not count."""
+    days = lambda c, name: F.array(F.col(c), F.lit(99.0)).alias(name)
+    daily = F.struct(days("tmax_c", "temperature_2m_max"), days("tmin_c", "temperature_2m_min"), days("precip_mm", "precipitation_sum"), days("pop", "precipitation_probability_max"), days("snow", "snowfall_sum"), days("wind", "wind_speed_10m_max"))
+    current = F.struct(F.lit(1.0).alias("temperature_2m"), F.col("humidity").alias("relative_humidity_2m"), F.col("wmo").alias("weather_code"))
+    nested = A.forecasts(spark, sf_dir).select(F.col("forecast_id").cast("string").alias("stationId"), daily.alias("daily"), current.alias("current"))
+    return weather.flatten_forecast(nested).withColumnRenamed("stationId", "station")
+
+
 # --- streams -------------------------------------------------------------------------------
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as several files, read as a stream some at a time."""
     events = A.read(spark, sf_dir, "events")
-    path = feeds.place(spark, "events")
+    path = scratch.place(spark, "events")
     events.repartition(4, "event_id").write.parquet(path)
     return feeds.files(spark, path, events.schema)
 
@@ -513,20 +694,45 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, user_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE event_type = 'purchase'")
 def stream_relay(spark, sf_dir):
     frames = feeds.relay(event_stream(spark, sf_dir), "purchase", "k long")
-    return feeds.drain(frames.select("event_id", "user_id", "body.k"))
+    return feeds.drain(frames.select("event_id", "user_id", "body.k"), scratch.place(spark, "relay"))
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, sf_dir):
-    return feeds.drain(feeds.first_seen(event_stream(spark, sf_dir), ["user_id", "event_type"]).select("user_id", "event_type"))
+    return feeds.drain(feeds.first_seen(event_stream(spark, sf_dir), ["user_id", "event_type"]).select("user_id", "event_type"), scratch.place(spark, "first-seen"))
 
 
 @query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def stream_latest(spark, sf_dir):
-    return feeds.drain_latest(event_stream(spark, sf_dir), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type", "value")
+    return feeds.drain_latest(event_stream(spark, sf_dir), ["user_id"], ["ts", "event_id"], scratch.place(spark, "latest")).select("user_id", "event_id", "event_type", "value")
 
 
 @query("SELECT event_id, user_id FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)")
 def stream_subscribed(spark, sf_dir):
     ids = A.read(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("user_id"))
-    return feeds.drain(feeds.subscribed(event_stream(spark, sf_dir), ids, "user_id").select("event_id", "user_id"))
+    return feeds.drain(feeds.subscribed(event_stream(spark, sf_dir), ids, "user_id").select("event_id", "user_id"), scratch.place(spark, "subscribed"))
+
+
+@query("SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id LIMIT 50")
+def stream_newest(spark, sf_dir):
+    return feeds.drain_newest(event_stream(spark, sf_dir), ["event_id"], "ts", "event_id", scratch.place(spark, "newest")).select("event_id", "user_id", "event_type")
+
+
+@query("SELECT s AS sink, event_id, user_id FROM events, (SELECT unnest(['all', 'purchases']) AS s) WHERE s = 'all' OR event_type = 'purchase'")
+def stream_fan_out(spark, sf_dir):
+    """Every few seconds, as a running stream does; stopped when it has caught up."""
+    at, stream = scratch.place(spark, "fan-out"), event_stream(spark, sf_dir)
+    sinks = [feeds.into(f"{at}/all"), lambda batch, epoch: feeds.into(f"{at}/purchases")(batch.where("event_type = 'purchase'"), epoch)]
+    running = feeds.start(stream, feeds.fan_out(sinks), at, every="1 second")
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    read = lambda name: spark.read.schema(stream.schema).parquet(f"{at}/{name}/*").select(F.lit(name).alias("sink"), "event_id", "user_id")
+    return read("all").unionByName(read("purchases"))
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey % 2 = 0 UNION SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 1")
+def subscription_union(spark, sf_dir):
+    ids = A.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return feeds.subscriptions(ids.where("id % 2 = 0"), ids.where("id % 3 <> 1"))

@@ -7,16 +7,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.scalars import first_text, number_or, row_id, text_or
+from marlstone.functions.scalars import first_text, number_or, parameter, row_id, text_or
 from marlstone.operators import ledger, markets, strategies, weather
+from marlstone.sources import scratch
 
 #: Strategy names by type, in the order in which a cycle lists them.
 STRATEGIES = [("economics", "Economics / Macro"), ("geopolitics", "Geopolitics (0% fee)"), ("negrisk", "NegRisk Rebalancing"), ("crypto", "Crypto Price Lag"), ("combinatorial", "Combinatorial Arbitrage")]
 
 
-def weather_signals(forecasts: DataFrame, stations: DataFrame, listed: DataFrame, book: DataFrame, min_edge: float = 1.0, most: int | None = weather.MARKETS_PER_STATION) -> DataFrame:
-    """Edges of each station's forecast over the prices of its markets, of the first ``most`` of them."""
-    probs = weather.by_outcome(weather.probabilities(forecasts), ["station_id"]).withColumn("spread", F.lit(0.0))
+def weather_signals(forecasts: DataFrame, stations: DataFrame, listed: DataFrame, book: DataFrame, min_edge: float = 1.0, most: int | None = weather.MARKETS_PER_STATION, probs: DataFrame | None = None) -> DataFrame:
+    """Edges of each station's forecast over the prices of its markets, of the first ``most`` of them.
+
+    ``probs``: (station_id, outcome, prob, spread) of several models, in place of the one
+    forecast, whose spread is 0. A ``min_edge`` of 0 is the default.
+    """
+    min_edge = parameter(min_edge, 1.0)
+    if probs is None:
+        probs = weather.by_outcome(weather.probabilities(forecasts), ["station_id"]).withColumn("spread", F.lit(0.0))
     matched = markets.with_price(weather.match_markets(stations, listed, most), book).select("station_id", "city", "ord", "market_id", "question", "price")
     return weather.edges(probs, matched, min_edge)
 
@@ -60,6 +67,22 @@ def all_strategies(legs: DataFrame, listed: DataFrame, spot: DataFrame, as_of: C
     })
 
 
+def listing_table(listed: DataFrame) -> DataFrame:
+    """The listing as a table with its price parsed, for the several strategies that read it."""
+    return scratch.table(strategies.with_listed_price(listed).drop("outcome_prices"), "listing")
+
+
+def latest_composite(stations: DataFrame, multi: DataFrame, trades: DataFrame, settings: DataFrame) -> DataFrame:
+    """One row of what a screen polls: stations with a result, the last of their scans, signals by type, open trades, settings.
+
+    stations: station_id, scanned_at and others, a row for each scan; multi: type.
+    """
+    now = markets.latest(stations.select("station_id", "scanned_at"), ["station_id"], ["scanned_at"]).agg(F.count(F.lit(1)).alias("count"), F.max("scanned_at").alias("last_scan"))
+    # a few types and keys: one row of text each
+    kinds = breakdown(multi).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n"))))).alias("signals"))
+    return now.crossJoin(kinds).crossJoin(ledger.overview(trades, settings))
+
+
 def as_json(df: DataFrame) -> DataFrame:
     """A response body for each row."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))

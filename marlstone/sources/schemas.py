@@ -40,19 +40,31 @@ def default_settings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(V.SETTINGS, SETTINGS)
 
 
-def read_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The table at ``path``; empty where nothing has been written yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as error:  # only a missing path means a fresh start
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], schema)
-
-
-def write_snapshot(df: DataFrame, path: str) -> None:
-    """Replace the snapshot at ``path``. ``df`` must not read from it: write a new path and swap."""
-    df.write.mode("overwrite").parquet(path)
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions of a snapshot: those that Spark has marked as written."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(folder)]
+    return sorted(int(n) for n in names if n.isdigit() and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def read_snapshot(spark: SparkSession, path: str, schema, before: int | None = None) -> DataFrame:
+    """The last complete version at ``path`` (the last below ``before``); empty where there is none."""
+    found = [v for v in versions(spark, path) if before is None or v < before]
+    return spark.read.schema(schema).parquet(f"{path}/{found[-1]}") if found else spark.createDataFrame([], schema)
+
+
+def write_snapshot(df: DataFrame, path: str, version: int | None = None) -> int:
+    """Add a version of the snapshot at ``path``, by default the next; readers see the old one until it is complete.
+
+    ``df`` may read from an older version. A version that is written again is replaced.
+    """
+    if version is None:
+        version = max(versions(df.sparkSession, path), default=-1) + 1
+    df.write.mode("overwrite").parquet(f"{path}/{version}")
+    return version
 
 
 def listings(bodies: DataFrame, value: str = "value", item: str = "markets") -> DataFrame:

@@ -1,8 +1,12 @@
-"""Streaming forms of the signal operators, over any source of Structured Streaming."""
+"""Streaming forms of the signal operators, over any source of Structured Streaming.
+
+A stream's output and its progress live under a path that the caller names. A query that
+is started again with the same path goes on where the last one stopped, and no row is
+written twice or left out.
+"""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marlstone.operators import markets
-from marlstone.sources import scratch
+from marlstone.sources import schemas
+
+Sink = Callable[[DataFrame, int], None]
 
 
 def files(spark: SparkSession, path: str, schema, per_batch: int = 1) -> DataFrame:
@@ -35,46 +41,62 @@ def subscribed(frames: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return frames.join(ids.select(key).distinct(), key, "left_semi")
 
 
-def start(stream: DataFrame, write: Callable[[DataFrame, int], None], every: str | None = None) -> StreamingQuery:
-    """Hand each micro-batch to ``write``: every so often, or all that is there and then stop."""
-    out = stream.writeStream.foreachBatch(write).option("checkpointLocation", place(stream.sparkSession, "progress"))
-    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
+def subscriptions(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The ids of both, each once."""
+    return old.unionByName(new).distinct()
 
 
-def place(spark: SparkSession, name: str) -> str:
-    return f"{scratch.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def start(stream: DataFrame, write: Sink, at: str, every: str | None = None) -> StreamingQuery:
+    """Hand each micro-batch to ``write``: every so often, or all that is there and then stop. Progress is kept under ``at``."""
+    out = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/progress")
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
 
 
-def drain(stream: DataFrame) -> DataFrame:
-    """All that the stream has now, appended to a table; its rows as a batch."""
-    spark = stream.sparkSession
-    path = place(spark, "stream")
-    query = stream.writeStream.format("parquet").option("checkpointLocation", place(spark, "progress")).trigger(availableNow=True).start(path)
+def drain(stream: DataFrame, at: str) -> DataFrame:
+    """All that the stream has now, appended to the table under ``at``; its rows as a batch."""
+    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start(f"{at}/rows")
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
-def drain_latest(stream: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """The latest row of each key after all that the stream has now.
+def merging(schema, at: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Sink:
+    """A batch writer that keeps a snapshot under ``at``: each batch merges into the version before it.
 
-    Each micro-batch merges into the last snapshot and writes a new one: copy on write, so
-    a batch that is repeated after a failure gives the same snapshot.
+    The version has the number of the batch, so a batch that is repeated after a failure
+    starts from the same snapshot and gives the same one.
     """
-    spark = stream.sparkSession
-    path = place(spark, "latest")
-    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/none")
-    done = ["none"]
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        both = spark.read.schema(stream.schema).parquet(f"{path}/{done[-1]}").unionByName(batch)
-        markets.latest(both, keys, by).select(*stream.columns).write.mode("overwrite").parquet(f"{path}/{epoch}")
-        done.append(str(epoch))
+    def write(batch: DataFrame, epoch: int) -> None:
+        old = schemas.read_snapshot(batch.sparkSession, f"{at}/state", schema, before=epoch)
+        schemas.write_snapshot(merge(old, batch), f"{at}/state", epoch)
+
+    return write
+
 
-    start(stream, merge).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/{done[-1]}")
+def snapshot(spark: SparkSession, at: str, schema) -> DataFrame:
+    """What ``merging`` has under ``at`` now: for readers that poll while the stream runs, or after it."""
+    return schemas.read_snapshot(spark, f"{at}/state", schema)
 
 
-def fan_out(sinks: Sequence[Callable[[DataFrame, int], None]]) -> Callable[[DataFrame, int], None]:
+def drain_latest(stream: DataFrame, keys: Sequence[str], by: Sequence[str], at: str) -> DataFrame:
+    """The latest row of each key after all that the stream has now and had before."""
+    merge = lambda old, new: markets.latest(old.unionByName(new), keys, by).select(*stream.columns)
+    start(stream, merging(stream.schema, at, merge), at).awaitTermination()
+    return snapshot(stream.sparkSession, at, stream.schema)
+
+
+def drain_newest(stream: DataFrame, keys: Sequence[str], ts: str, tie: str, at: str, most: int = 50) -> DataFrame:
+    """A history of at most ``most`` rows, the newest first: rows whose key it holds already do not enter."""
+
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        # of equal keys in a batch the newest may enter; the state never has more than ``most`` rows
+        return markets.recent(old.unionByName(markets.unseen(new, old, keys)), most, ts, tie).select(*stream.columns)
+
+    start(stream, merging(stream.schema, at, merge), at).awaitTermination()
+    return snapshot(stream.sparkSession, at, stream.schema)
+
+
+def fan_out(sinks: Sequence[Sink]) -> Sink:
     """A batch writer that hands every batch to each sink; computed once."""
 
     def write(batch: DataFrame, epoch: int) -> None:
@@ -86,3 +108,8 @@ def fan_out(sinks: Sequence[Callable[[DataFrame, int], None]]) -> Callable[[Data
             held.unpersist()
 
     return write
+
+
+def into(path: str) -> Sink:
+    """A sink that writes each batch to a folder of its own under ``path``; a repeated batch replaces itself."""
+    return lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
