@@ -23,15 +23,15 @@ TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
 def exploded(docs: DataFrame, doc_id: str, text: str, site: str) -> DataFrame:
-    """A row for each line that has a word: document, site, position and hash of the trimmed line."""
-    lines = docs.select(F.col(doc_id).alias("d"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
-    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("d", "site", "pos", F.xxhash64(F.regexp_replace("line", TRIM, "")).alias("h"))
+    """A row for each line that has a word: document, hash of its text, site, position and hash of the trimmed line."""
+    lines = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("t"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
+    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("d", "t", "site", "pos", F.xxhash64(F.regexp_replace("line", TRIM, "")).alias("h"))
 
 
 def spread_lines(docs: DataFrame, min_sites: int, doc_id: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
     """(h, first): hashes of the lines on at least ``min_sites`` sites, and where each occurs first."""
     lines = exploded(docs, doc_id, text, site)
-    sketched = lines.groupBy("h").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(F.struct("d", "pos")).alias("first"))
+    sketched = lines.groupBy("h").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(F.struct("d", "pos", "t")).alias("first"))
     judged = sketched.select("h", "first", F.hll_sketch_estimate("sketch").alias("n"))
     low, high = min(min_sites - 1, min_sites * (1 - NEAR)), max(min_sites + 1, min_sites * (1 + NEAR))
     sure = judged.where(F.col("n") > high).select("h", "first")
@@ -47,15 +47,16 @@ def remove_lines(docs: DataFrame, min_sites: int = 5, doc_id: str = "doc_id", te
 
     Lines are compared without the white space around them; lines without a word are
     never counted or removed. A null site is one site of its own, a null text stays null
-    (no lines), rows with a null id keep their text, and repeated rows of an id are
-    treated as the one document that they are. Other columns stay as they are.
+    (no lines), and rows with a null id keep their text. Rows that repeat an id and a text are
+    the one document that they are; other texts of that id have lines of their own. Other
+    columns stay as they are. A text of any length is one row; its lines are one row each.
     """
     # a table, so that the join below is planned by its size, and a line that stands in a third of all documents is split
     spread = scratch.table(spread_lines(docs, min_sites, doc_id, text, site), "spread")
     lines = exploded(docs, doc_id, text, site).where(F.col("d").isNotNull())
-    hits = lines.join(spread, "h").where((F.col("d") != F.col("first.d")) | (F.col("pos") != F.col("first.pos")))
-    gone = hits.groupBy("d").agg(F.collect_set("pos").alias("__gone"))
-    out = docs.join(gone.withColumnRenamed("d", "__d"), docs[doc_id] == F.col("__d"), "left").drop("__d")
+    hits = lines.join(spread, "h").where((F.col("d") != F.col("first.d")) | (F.col("pos") != F.col("first.pos")) | (F.col("t") != F.col("first.t")))
+    gone = hits.groupBy(F.col("d").alias("__d"), F.col("t").alias("__t")).agg(F.collect_set("pos").alias("__gone"))
+    out = docs.join(gone, (docs[doc_id] == F.col("__d")) & (F.xxhash64(docs[text]) == F.col("__t")), "left").drop("__d", "__t")
     parts = F.split(F.col(text), "\n", -1)
     # by sets of positions, so that a text of many lines takes time in proportion to them
     staying = lambda ps: F.array_except(F.sequence(F.lit(0), F.size(ps) - 1), F.col("__gone"))

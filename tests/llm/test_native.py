@@ -88,6 +88,16 @@ def test_line_dedup_repeated_and_null_ids(docs):
     assert [x for x in got if x[1]] and len(got) == 6
 
 
+def test_line_dedup_of_an_id_with_several_texts(docs):
+    texts = ["shared\nown one", "own two\nshared"] + ["shared"] * 5
+    df = docs(*texts, ids=[9, 9, 1, 2, 3, 4, 5], sources=[f"s{k}" for k in range(7)])
+    got = sorted((r["doc_id"], r["text"]) for r in line_dedup.remove_lines(df, 5).collect())
+    assert got == [(1, "shared"), (2, ""), (3, ""), (4, ""), (5, ""), (9, "own one"), (9, "own two")]
+    # the first occurrence may be in one of two texts of an id, at the same place
+    again = docs("shared\nx", "shared\ny", *["shared"] * 4, ids=[0, 0, 1, 2, 3, 4], sources=[f"s{k}" for k in range(6)])
+    assert sorted(r["text"] for r in line_dedup.remove_lines(again, 5).collect() if r["doc_id"] == 0) in (["shared\nx", "y"], ["shared\ny", "x"])
+
+
 def test_targets_stop_at_three_times():
     sizes = {"a": 10, "b": 1000, "c": 10, None: 10}
     got = mixing.fill_targets(sizes, {"a": 1, "b": 2, "c": 3, None: 1}, 1030)
