@@ -6,8 +6,8 @@ the shared folder and read again, so a lost executor never repeats an earlier st
 
 Null texts have no words and go with the first stage. Rows with a null id are documents of
 their own: their lines are compared but not removed, they are no near duplicate of another,
-and they are mixed and packed. Rows that repeat an id are one document to the second and
-third stage (its lines and its links are those of all its rows) and rows of their own to the
+and they are mixed and packed. Rows that repeat an id are one document to the
+third stage (its near copies are those of all its rows) and rows of their own to the
 others. An empty table gives no rows.
 """
 
