@@ -11,9 +11,10 @@ index the last of them. The cost is estimated; a wrong estimate costs time, no l
 How many tokens a pair must share is counted on the index entries, before a text is read:
 a pair that shares k of them has at most (tokens behind the prefix) + k in common, which
 must be enough for the two sizes. Pairs that have as many are verified on whole sets, in
-two rounds. First every document meets the smallest document of its index entries, which
-finds most links at a cost in proportion to the index; groups of copies collapse into
-components. Then only pairs of different components that share an index entry are left,
+three rounds. First every document meets the smallest document of its index entries, the
+hub that it shares most with; then those that missed it narrowly meet a few documents that
+share most with that hub. This finds most links at a cost in proportion to the index, and
+groups of copies collapse into components. Then only pairs of different components that share an index entry are left,
 and all of them are examined: of the holders of a token, those of its largest component
 meet the others, never each other. So links inside a group of copies are not listed, and
 none that joins components is lost.
@@ -43,6 +44,8 @@ SEEN_IN_BATCH = 3
 MOST_COSTLY = 1 << 17
 #: Documents of a costly token that share one hub; more are split and their hubs meet in turn.
 PER_HUB = 20_000
+#: Documents near a hub that those which miss it are compared with.
+CENTRAL = 8
 #: Documents of a token that stand in one row when all that hold it are compared.
 BLOCK = 256
 
@@ -178,29 +181,63 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return rows.mapInArrow(verify_rows(width, percent), "u long, v long")
 
 
+def count_shared(percent: int):
+    """Of rows (doc, n, others) sorted by doc: the pairs that share enough index entries.
+
+    ``others`` holds a pair once for each entry that it shares. A document that has several
+    texts has a row for each of their sizes.
+    """
+
+    def pairs(doc: np.ndarray, n: np.ndarray, other: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((m, other, n, doc))
+        rows = [x[order] for x in (doc, n, other, m)]
+        new = np.ones(len(doc), dtype=bool)
+        new[1:] = np.any([x[1:] != x[:-1] for x in rows], axis=0)
+        first = np.flatnonzero(new)
+        k = np.diff(np.append(first, len(doc)))
+        doc, n, other, m = (x[first] for x in rows)
+        most = np.maximum(n - prefix_length(n, percent), m - prefix_length(m, percent)) + k
+        good = most * (100 + percent) >= (n + m) * percent
+        return pa.record_batch([pa.array(np.minimum(doc, other)[good]), pa.array(np.maximum(doc, other)[good])], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, dtype=np.int64)] * 4
+        for batch in batches:
+            others = batch.column(2)
+            sizes = np.diff(others.offsets.to_numpy())
+            values = others.flatten()
+            new = [np.repeat(batch.column(0).to_numpy(), sizes), np.repeat(batch.column(1).to_numpy(), sizes), values.field(0).to_numpy(), values.field(1).to_numpy()]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            done = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last document may go on
+            yield pairs(*(x[:done] for x in held))
+            held = [x[done:] for x in held]
+        yield pairs(*held)
+
+    return run
+
+
 def apart(held: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """(u, v): pairs of documents of different components that share enough entries of ``held`` (token, doc).
 
-    own: doc, n, label (component). Of a token's holders those outside its largest component
-    are laid out in blocks, and all holders meet these blocks; so a token costs its holders
-    times those outside the largest component.
+    own: doc, n, label (component). Components are ordered by their size, and a document
+    meets those of smaller components only. So the holders of a token that are not of its
+    largest component are laid out in blocks, and all holders meet these blocks: a token
+    costs its holders times those outside the largest component.
     """
-    told = held.select("token", "doc").join(own, "doc")
-    by_label = told.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
-    sums = by_label.groupBy("token").agg(F.sum("n").alias("held"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("top")).where("labels > 1")
+    sizes = own.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    told = held.select("token", "doc").join(own.join(sizes, "label"), "doc")
+    by_label = told.groupBy("token", "size", "label").agg(F.count(F.lit(1)).alias("n"))
+    sums = by_label.groupBy("token").agg(F.sum("n").alias("held"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("size", "label", "n")).alias("top")).where("labels > 1")
     open_ = sums.select("token", F.col("top.label").alias("major"), F.ceil((F.col("held") - F.col("top.n")) / BLOCK).alias("blocks"))
     told = scratch.table(told.join(open_, "token"), "open")
     block = F.pmod(F.xxhash64("doc"), F.col("blocks"))
-    blocks = told.where("label <> major").groupBy(F.col("token").alias("t"), block.alias("block")).agg(F.collect_list(F.struct("doc", "n", "label")).alias("members"))
+    blocks = told.where("label <> major").groupBy(F.col("token").alias("t"), block.alias("block")).agg(F.collect_list(F.struct("doc", "n", "size", "label")).alias("members"))
+    smaller = lambda m: (m["size"] < F.col("size")) | ((m["size"] == F.col("size")) & (m["label"] < F.col("label")))
     close = lambda m: (m["n"] * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= m["n"] * percent)
-    others = F.filter("members", lambda m: ((F.col("label") == F.col("major")) | (m["doc"] > F.col("doc"))) & (m["label"] != F.col("label")) & close(m))
-    met = told.join(blocks, told["token"] == blocks["t"]).select("doc", "n", F.transform(others, lambda m: F.struct(m["doc"].alias("doc"), m["n"].alias("n"))).alias("others")).where(F.size("others") > 0)
-    pairs = met.select("doc", "n", F.explode("others").alias("m"))
-    # a pair may be found from either side, by one token so and by another so
-    lo = F.col("doc") < F.col("m.doc")
-    either = pairs.select(F.least("doc", "m.doc").alias("u"), F.greatest("doc", "m.doc").alias("v"), F.when(lo, F.col("n")).otherwise(F.col("m.n")).alias("n"), F.when(lo, F.col("m.n")).otherwise(F.col("n")).alias("m"))
-    counted = either.groupBy("u", "v", "n", "m").agg(F.count(F.lit(1)).alias("k"))
-    return counted.where(enough(F.col("n"), F.col("m"), F.col("k"), percent)).select("u", "v").distinct()
+    others = F.transform(F.filter("members", lambda m: smaller(m) & close(m)), lambda m: F.struct(m["doc"].alias("doc"), m["n"].alias("n")))
+    met = told.join(blocks, told["token"] == blocks["t"]).select("doc", "n", others.alias("others")).where(F.size("others") > 0)
+    pairs = met.repartition("doc").sortWithinPartitions("doc").mapInArrow(count_shared(percent), "u long, v long")
+    return pairs.distinct()
 
 
 def similar_groups(docs: DataFrame, percent: int = 75, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -240,12 +277,19 @@ def similar_groups(docs: DataFrame, percent: int = 75, width: int = 5, doc_id: s
     # a first look at each document's best hub, where the two share enough
     best = counts.groupBy("doc").agg(F.max(F.struct("k", (-F.col("hub")).alias("hub"))).alias("x")).select("doc", "x.k", (-F.col("x.hub")).alias("hub"))
     best = best.join(reps, "doc").join(reps.select(F.col("doc").alias("hub"), F.col("n").alias("m")), "hub")
-    first = scratch.table(best.where(enough(F.col("n"), F.col("m"), F.col("k"), percent)).select(F.col("hub").alias("u"), F.col("doc").alias("v")).distinct(), "first")
-    links = scratch.table(verified(first, usable, width, percent).unionByName(same), "links")
+    best = scratch.table(best, "best")
+    first = best.where(enough(F.col("n"), F.col("m"), F.col("k"), percent)).select(F.col("hub").alias("u"), F.col("doc").alias("v")).distinct()
+    linked = scratch.table(verified(first, usable, width, percent), "links")
+    # a second look for those near a hub that is not near enough: the documents that share most with it
+    central = best.groupBy("hub", F.pmod(F.xxhash64("doc"), F.lit(CENTRAL)).alias("part")).agg(F.max(F.struct("k", "doc")).alias("x")).select("hub", F.col("x.doc").alias("centre"))
+    missed = best.where(F.col("k") * 16 >= F.col("n")).join(linked.select(F.col("u").alias("hub"), F.col("v").alias("doc")), ["hub", "doc"], "left_anti").select("hub", "doc").distinct()
+    second = missed.join(central, "hub").where("doc <> centre").select(F.least("doc", "centre").alias("u"), F.greatest("doc", "centre").alias("v")).distinct()
+    looked = scratch.table(first.unionByName(second).distinct(), "looked-at")
+    links = scratch.table(linked.unionByName(verified(second, usable, width, percent)).unionByName(same), "links")
     labels = components(links)
     # what is left: pairs of different components that share an entry
     own = reps.join(labels, reps["doc"] == labels["id"], "left").select("doc", "n", F.coalesce("label", "doc").alias("label"))
-    pairs = apart(held, own, percent).join(first, ["u", "v"], "left_anti")
+    pairs = apart(held, own, percent).join(looked, ["u", "v"], "left_anti")
     more = verified(pairs, usable, width, percent)
     labels = components(links.unionByName(scratch.table(more, "links")))
     found = named.join(labels, named["rep"] == labels["id"], "left").select("doc", "n", F.coalesce("label", "rep").alias("component"))
