@@ -1,9 +1,11 @@
 """Token ids of whole texts, with bounded caches of words.
 
 The word-level BPE vocabulary lower-cases, drops white space and never joins text across
-it, so a text's ids are those of its words in order. Words repeat, so a Python worker
-keeps their ids, and those of the runs of letters and of punctuation that words are made
-of; only runs not seen before are given to the tokenizer.
+it, so a text's ids are those of its words in order. Words repeat: of a lot of texts each
+different word is looked up once, found by its hash within the lot, and its ids are copied
+to where it stands. A Python worker keeps the ids of words, and those of the runs of
+letters and of punctuation that words are made of; only runs not seen before are given to
+the tokenizer.
 """
 
 from __future__ import annotations
@@ -12,16 +14,17 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+
+from marlstone.llm import textkit
 
 #: Entries that a worker keeps, of words and of their parts; a full cache takes no more.
 CACHED_WORDS = 500_000
 CACHED_PARTS = 900_000
 TOGETHER = 64
-_WORD = re.compile(r"[^ \t-\r]+")
 #: Words of these alone fall into runs that are one pre-token each: Latin letters, and ASCII punctuation without the apostrophe.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~]+")
 _RUN = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
-_CONTROL = re.compile("[\x1c-\x1f]")
 _made: dict[str, "Encoder"] = {}
 
 
@@ -49,25 +52,37 @@ class Encoder:
                 out[run] = raw[cuts[k] : cuts[k + 1]]
         return out
 
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text; null is empty."""
-        # str.split is faster, and cuts at the same places but for these four control characters
-        split = [_WORD.findall(t) if _CONTROL.search(t) else t.split() for t in (t or "" for t in texts)]
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of different words."""
         known, parts = self.words, self.parts
-        missing = set().union(*split) - known.keys()
+        missing = set(words) - known.keys()
         runs = {w: _RUN.findall(w.lower()) for w in missing if _PLAIN.fullmatch(w)}
         fresh = set().union(*runs.values()) - parts.keys()
         parts.update(encoded := self.encode_parts(list(fresh)))
         known.update((w, b"".join([parts[r] for r in own])) for w, own in runs.items())
         for w in missing - runs.keys():
             known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype=np.uint16).tobytes()
-        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), dtype=np.uint16) for words in split]
+        out = [known[w] for w in words]
         for kept, new, most in ((known, missing, CACHED_WORDS), (parts, encoded, CACHED_PARTS)):
             if len(kept) > most:
                 for w in new:
                     del kept[w]
         return out
 
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where each text's begin; null is empty."""
+        data, offsets = textkit.buffers(texts)
+        h, first, end, at = textkit.word_spans(data, offsets)
+        _, one, back = np.unique(h, return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        pool = self.ids_of([raw[a:b].decode() for a, b in zip(first[one].tolist(), end[one].tolist(), strict=True)])
+        size = np.array([len(x) // 2 for x in pool], dtype=np.int64)
+        begin = np.concatenate([[0], np.cumsum(size)])
+        n = size[back]
+        to = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(b"".join(pool), dtype=np.uint16)[np.repeat(begin[back] - to[:-1], n) + np.arange(to[-1])]
+        return ids, to[at]
+
 
 def encoder(path: str) -> Encoder:
     """One for each worker and vocabulary, so that tasks share its caches."""

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm import dealing
+from marlstone.llm import dealing, textkit
 from marlstone.llm.encoder import encoder
 from marlstone.sources import scratch
 
@@ -142,9 +142,9 @@ def encode_rows(path: str):
         code, end = encoder(path), np.array([END_ID], dtype=np.uint16).tobytes()
         first = TaskContext.get().partitionId() << 40
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                ids = [x.tobytes() + end for x in code(part.column(1).to_pylist())]
+            for part in textkit.pieces(b, "text"):
+                flat, at = code(part.column(1))
+                ids = [flat[x:y].tobytes() + end for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 size = pc.add(pc.fill_null(pc.binary_length(part.column(1)), 0).cast(pa.int64()), 16)
                 place = pc.if_else(pc.is_null(part.column(0)), pa.array(first + np.arange(part.num_rows)), pa.scalar(0, pa.int64()))
                 first += part.num_rows

@@ -73,18 +73,28 @@ def words(texts: pa.Array, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.nda
     gap: for each byte, whether it stands between words.
     """
     data, offsets = buffers(texts)
+    h, _, _, at = word_spans(data, offsets, gap)
+    return h, at
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of every word, and where each text's words begin."""
+    none = np.zeros(0, dtype=np.int64)
     if not len(data):
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
+        return none.astype(np.uint64), none, none, np.zeros(len(offsets), dtype=np.int64)
     solid = ~gap[data]
-    first = solid.copy()
+    first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
+    last[:-1] &= ~solid[1:]
     cuts = offsets[:-1][offsets[:-1] < len(data)]
     first[cuts] = solid[cuts]  # a text's first byte begins a word whatever stands before it
+    ends = cuts[cuts > 0] - 1
+    last[ends] = solid[ends]
     starts = np.flatnonzero(first)
     counts = np.zeros(len(data) + 1, dtype=np.int64)
     np.cumsum(first, out=counts[1:])
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64), counts[offsets]
+        return none.astype(np.uint64), none, none, counts[offsets]
     place = np.arange(len(data), dtype=np.int64)
     place -= starts[np.maximum(counts[1:] - 1, 0)]
     np.maximum(place, 0, out=place)
@@ -92,7 +102,7 @@ def words(texts: pa.Array, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.nda
     value = _LETTER[data]
     value *= powers(int(place.max()) + 1)[place]
     value[~solid] = 0
-    return scramble(np.add.reduceat(value, starts) + EMPTY), counts[offsets]
+    return scramble(np.add.reduceat(value, starts) + EMPTY), starts, np.flatnonzero(last) + 1, counts[offsets]
 
 
 def sequence_hash(h: np.ndarray) -> np.uint64:
