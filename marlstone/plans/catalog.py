@@ -273,13 +273,13 @@ def weather_edges_all(spark, sf_dir):
 # --- listings ------------------------------------------------------------------------------
 
 
-@query(f"""WITH {MARKETS}, u AS (SELECT 0 AS src, ord, question FROM m WHERE ord % 3 = 0 UNION ALL SELECT 1, ord, question FROM m WHERE ord % 2 = 0 UNION ALL SELECT 2, ord, question FROM m WHERE ord % 5 = 0)
+@query(f"""WITH {MARKETS}, u AS (SELECT 0 AS src, ord, question FROM m WHERE ord % 3 = 0 UNION ALL SELECT 1, ord, question FROM m WHERE ord % 2 = 0 UNION ALL SELECT 2, ord, question FROM m)
 SELECT ord, src, question FROM u WHERE ord % 11 <> 0 AND {any_of('question', V.WEATHER_KEYWORDS)} QUALIFY row_number() OVER (PARTITION BY ord ORDER BY src) = 1""")
 def market_union_dedup(spark, sf_dir):
     listed = A.markets(spark, sf_dir).select("ord", "question")
     key = F.when(F.col("ord") % 11 != 0, F.col("ord"))
     nested = listed.where("ord % 2 = 0").groupBy(A.div(F.col("ord"), 20).alias("event")).agg(F.collect_list(F.struct("ord", "question")).alias("markets"))
-    sources = [listed.where("ord % 3 = 0"), markets.flatten(nested, "markets"), listed.where("ord % 5 = 0")]
+    sources = [listed.where("ord % 3 = 0"), markets.flatten(nested, "markets"), listed]  # the last has every market
     return markets.union_first(sources, key).where(T.contains_any(F.col("question"), V.WEATHER_KEYWORDS)).select("ord", "src", "question")
 
 
@@ -392,7 +392,7 @@ def type_breakdown(spark, sf_dir):
     return scans.breakdown(cycle_signals(spark, sf_dir))
 
 
-SLICES = (("listing", "ord % 3 = 0"), ("events", "ord % 2 = 0"), ("keyword", "ord < 0"))
+SLICES = (("listing", "true"), ("events", "ord % 2 = 0"), ("keyword", "ord < 0"))
 
 
 @query(f"WITH {MARKETS} " + " UNION ALL ".join(f"SELECT '{name}' AS source, (SELECT count(*) FROM m WHERE {test}) AS n, coalesce((SELECT string_agg(question, ' / ' ORDER BY ord) FROM (SELECT * FROM m WHERE {test} ORDER BY ord LIMIT 2)), '') AS sample, (SELECT count(*) > 0 FROM m WHERE {test}) AS ok" for name, test in SLICES))
@@ -435,16 +435,16 @@ def settings_upsert(spark, sf_dir):
     return markets.upsert(schemas.default_settings(spark), changed, ["key"])
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE 'new' END AS c_name FROM customer")
 def insert_or_ignore(spark, sf_dir):
     customers = A.read(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return markets.insert_or_ignore(customers.where("c_custkey % 3 = 0"), customers.where("c_custkey % 2 = 0").withColumn("c_name", F.lit("new")), ["c_custkey"])
+    return markets.insert_or_ignore(customers.where("c_custkey % 3 = 0"), customers.withColumn("c_name", F.lit("new")), ["c_custkey"])
 
 
-@query("SELECT event_id, user_id, event_type FROM events WHERE event_id % 2 = 1 AND (user_id, floor(value)) NOT IN (SELECT (user_id, floor(value)) FROM events WHERE event_id % 4 = 0)")
+@query("SELECT event_id, user_id, event_type FROM events WHERE event_id % 2 = 1 AND (user_id, floor(value)) NOT IN (SELECT (user_id, floor(value)) FROM events WHERE event_id % 2 = 0)")
 def anti_seen(spark, sf_dir):
     rows = A.read(spark, sf_dir, "events").withColumn("dollars", F.floor("value"))
-    return markets.unseen(rows.where("event_id % 2 = 1"), rows.where("event_id % 4 = 0"), ["user_id", "dollars"]).select("event_id", "user_id", "event_type")
+    return markets.unseen(rows.where("event_id % 2 = 1"), rows.where("event_id % 2 = 0"), ["user_id", "dollars"]).select("event_id", "user_id", "event_type")
 
 
 # --- ledger --------------------------------------------------------------------------------
@@ -702,6 +702,13 @@ def stream_dedup(spark, sf_dir):
     return feeds.drain(feeds.first_seen(event_stream(spark, sf_dir), ["user_id", "event_type"]).select("user_id", "event_type"), scratch.place(spark, "first-seen"))
 
 
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup_within(spark, sf_dir):
+    """With a state that is bounded in time: a key counts as new again after 60 days, which is more than the events last."""
+    frames = event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    return feeds.drain(feeds.first_seen(frames, ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type"), scratch.place(spark, "first-within"))
+
+
 @query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def stream_latest(spark, sf_dir):
     return feeds.drain_latest(event_stream(spark, sf_dir), ["user_id"], ["ts", "event_id"], scratch.place(spark, "latest")).select("user_id", "event_id", "event_type", "value")
