@@ -684,11 +684,11 @@ def forecast_flatten(spark, sf_dir):
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as several files, read as a stream some at a time."""
+    """The events as several files, read as a stream in four parts."""
     events = A.read(spark, sf_dir, "events")
-    path = scratch.place(spark, "events")
-    events.repartition(4, "event_id").write.parquet(path)
-    return feeds.files(spark, path, events.schema)
+    path, n = scratch.place(spark, "events"), max(4, spark.sparkContext.defaultParallelism)
+    events.repartition(n, "event_id").write.parquet(path)
+    return feeds.files(spark, path, events.schema, -(-n // 4))
 
 
 @query("SELECT event_id, user_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE event_type = 'purchase'")
