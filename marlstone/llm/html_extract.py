@@ -52,11 +52,11 @@ FENCE = frozenset("ul ol dl table select article main body section div".split())
 CLOSE_ANY = frozenset("html body article main div section".split())
 INNER_FENCE = frozenset("article main body".split())
 #: Words that classes and ids are made of. A name counts if all its words are here and one is not PLAIN.
-CLEAR = frozenset("ad ads adbox advert adverts advertisement advertisements advertising sponsor sponsored sponsors sidebar nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices newsletter subscribe popup modal comment comments commentlist disqus pagination pager skip skiplink masthead".split())
+CLEAR = frozenset("ad ads adbox adsbygoogle advert adverts advertisement advertisements advertising sponsor sponsored sponsors sidebar nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices newsletter subscribe popup modal comment comments commentlist disqus pagination pager skip skiplink masthead".split())
 #: Inside an article these say something in company of a PLAIN word, alone only of an element that is mostly links.
 VAGUE = frozenset("promo promos promotion promotions banner menu alert overlay share sharing social related recommended respond footer widget copyright subscription".split())
 LINKS_ONLY = frozenset("header hidden".split())
-PLAIN = frozenset("site page main top bottom left right inner outer global primary secondary box bar block container wrapper wrap row col column list item items link links button buttons icon icons section area region slot unit panel form group holder fixed sticky post posts article articles story stories news topic topics content the my".split())
+PLAIN = frozenset("site page main top bottom left right inner outer global primary secondary box bar block container wrapper wrap row col column list item items link links button buttons icon icons section area region slot unit panel form group holder fixed sticky post posts article articles story stories news topic topics content the my signup sign up message messages text title label inline dialog backdrop body thread reply replies count policy settings preferences accept close next prev previous trail toggle mobile desktop".split())
 COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?list|disqus|replies|reply)(?:$|[\s_-])", re.I)
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|</?[A-Za-z][^>]*\Z|</[^A-Za-z][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")

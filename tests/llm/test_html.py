@@ -60,7 +60,7 @@ def test_site_templates_inside_the_article(spark):
     "inner,want",
     [
         ('<section class="social-history"><p>kept</p></section>', "kept"), ('<section id="related"><p>Kept too.</p></section>', "Kept too."), ('<div id="related"><a href=1>links</a></div>', ""), ('<div class="related-posts"><p>gone</p></div>', ""),
-        ('<div class="cookieBanner">gone</div>', ""), ('<div class="noticeable">kept</div>', "kept"), ('<div class="site-notice-2">gone</div>', ""), ('<p class="hidden-mobile">kept</p>', "kept"), ('<div class="bread-crumbs">gone</div>', ""),
+        ('<div class="cookieBanner">gone</div>', ""), ('<div class="noticeable">kept</div>', "kept"), ('<div class="newsletter-signup">gone</div>', ""), ('<section class="informed-consent">kept</section>', "kept"), ('<section class="navigation-history">kept</section>', "kept"), ('<ins class="adsbygoogle">gone</ins>', ""), ('<div class="comment-body">gone</div>', ""), ('<div class="site-notice-2">gone</div>', ""), ('<p class="hidden-mobile">kept</p>', "kept"), ('<div class="bread-crumbs">gone</div>', ""),
     ],
 )
 def test_names_inside_the_article(inner, want):
