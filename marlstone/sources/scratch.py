@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,3 +39,17 @@ def table(df: DataFrame, name: str) -> DataFrame:
     path = place(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession, older_than: float = 86_400) -> int:
+    """Remove this library's tables in the shared folder that were begun so many seconds ago or more; how many went.
+
+    A result is read when it is used, so no query calls this for itself: run it when none
+    is open that began before.
+    """
+    jvm, root = spark.sparkContext._jvm, shared_dir(spark)
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    last = (time.time() - older_than) * 1000
+    old = [f.getPath() for f in (files.listStatus(folder) if files.exists(folder) else []) if re.search("-[0-9a-f]{32}$", f.getPath().getName()) and f.getModificationTime() <= last]
+    return sum(files.delete(p, True) for p in old)

@@ -97,6 +97,14 @@ def test_no_local_folder_on_a_cluster():
         scratch.shared_dir(Session("local-cluster[2,1,1024]"))
 
 
+def test_old_tables_can_be_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "shared_dir", lambda session: str(tmp_path))
+    assert scratch.table(spark.range(3), "a").count() == 3
+    (tmp_path / "somebody-elses").mkdir()
+    assert scratch.clear(spark) == 0 and scratch.clear(spark, -60) == 1
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["somebody-elses"]
+
+
 def test_parameters():
     assert [S.parameter(x, 1.5) for x in (None, 0, "0", "", "abc", "2.5x", float("nan"), 3)] == [1.5, 1.5, 1.5, 1.5, 1.5, 2.5, 1.5, 3.0]
 
