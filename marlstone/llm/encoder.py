@@ -1,30 +1,29 @@
-"""Token ids of whole texts, with bounded caches of words.
+"""Token ids of whole texts, with bounded caches.
 
 The word-level BPE vocabulary lower-cases, drops white space and never joins text across
-it, so a text's ids are those of its words in order. Words repeat: of a lot of texts each
-different word is looked up once, found by its hash within the lot, and its ids are copied
-to where it stands. A Python worker keeps the ids of words, and those of the runs of
-letters and of punctuation that words are made of; only runs not seen before are given to
-the tokenizer.
+it. Words of Latin letters and ASCII punctuation alone fall into runs of either, which are
+one pre-token each; a word with anything else is taken whole. So a text's ids are those of
+its runs and whole words in order. Of a lot of texts each different one is looked up once,
+found by its hash within the lot, and its ids are copied to where it stands. A Python
+worker keeps what it has looked up; only what it has not seen is given to the tokenizer.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
 
 from marlstone.llm import textkit
 
-#: Entries that a worker keeps, of words and of their parts; a full cache takes no more.
-CACHED_WORDS = 500_000
-CACHED_PARTS = 900_000
+#: Entries from which on a worker keeps no more, of whole words and of runs.
+CACHED_WORDS = 200_000
+CACHED_PARTS = 500_000
 TOGETHER = 64
-#: Words of these alone fall into runs that are one pre-token each: Latin letters, and ASCII punctuation without the apostrophe.
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~]+")
-_RUN = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
+LETTER, MARK, OTHER = 1, 2, 3
+#: Of each byte: 0 for white space, letters, ASCII punctuation without the apostrophe, and the rest.
+_KIND = np.array([0 if b in b"\t\n\v\f\r " else LETTER if b < 128 and chr(b).isalpha() else MARK if 33 <= b < 127 and not chr(b).isalnum() and b != 39 else OTHER for b in range(256)], dtype=np.uint8)
 _made: dict[str, "Encoder"] = {}
 
 
@@ -37,8 +36,8 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError(f"{path}: ids are held in two bytes, so a vocabulary has at most 65,536 entries")
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
 
     def encode_parts(self, runs: list[str]) -> dict[str, bytes]:
         """Ids of runs that are one pre-token each, many runs to a call."""
@@ -52,31 +51,50 @@ class Encoder:
                 out[run] = raw[cuts[k] : cuts[k + 1]]
         return out
 
-    def ids_of(self, words: list[str]) -> list[bytes]:
-        """The ids of different words."""
-        known, parts = self.words, self.parts
-        missing = set(words) - known.keys()
-        runs = {w: _RUN.findall(w.lower()) for w in missing if _PLAIN.fullmatch(w)}
-        fresh = set().union(*runs.values()) - parts.keys()
-        parts.update(encoded := self.encode_parts(list(fresh)))
-        known.update((w, b"".join([parts[r] for r in own])) for w, own in runs.items())
-        for w in missing - runs.keys():
-            known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype=np.uint16).tobytes()
-        out = [known[w] for w in words]
-        for kept, new, most in ((known, missing, CACHED_WORDS), (parts, encoded, CACHED_PARTS)):
-            if len(kept) > most:
-                for w in new:
-                    del kept[w]
+    def look_up(self, held: dict[bytes, bytes], wanted: list[bytes], most: int, encode) -> list[bytes]:
+        """The ids of different runs or words, A-Z in lower case; what is new is encoded, and kept while there is room."""
+        out = list(map(held.get, wanted))
+        new = [k for k, x in enumerate(out) if x is None]
+        if new:
+            names = [wanted[k].decode() for k in new]
+            found = encode(list(set(names)))
+            for k, name in zip(new, names, strict=True):
+                out[k] = found[name]
+            if len(held) < most:
+                held.update((wanted[k], out[k]) for k in new)
         return out
 
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        return {w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype=np.uint16).tobytes() for w in words}
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's begin; null is empty."""
         data, offsets = textkit.buffers(texts)
-        h, first, end, at = textkit.word_spans(data, offsets)
+        kind = _KIND[data]
+        # Latin letters of two bytes, C3 and 80 to BF, but for the signs of multiplication and division
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        follow = data[lead + 1]
+        lead = lead[(follow != 0x97) & (follow != 0xB7)]
+        kind[lead] = kind[lead + 1] = LETTER
+        solid = kind > 0
+        first = textkit.word_starts(solid, offsets)
+        starts = np.flatnonzero(first)
+        if len(starts):
+            mixed = np.add.reduceat(kind == OTHER, starts) > 0
+            of = np.cumsum(first) - 1
+            kind[solid & mixed[np.maximum(of, 0)]] = OTHER
+        first[1:] |= solid[1:] & (kind[1:] != kind[:-1])
+        h, starts, ends, at = textkit.units(data, offsets, first, solid)
         _, one, back = np.unique(h, return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        pool = self.ids_of([raw[a:b].decode() for a, b in zip(first[one].tolist(), end[one].tolist(), strict=True)])
-        size = np.array([len(x) // 2 for x in pool], dtype=np.int64)
+        raw = textkit.LOWER[data].tobytes()
+        one = np.concatenate([one[~(whole := kind[starts[one]] == OTHER)], one[whole]])  # runs, then whole words
+        told = [raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
+        runs = len(told) - int(whole.sum())
+        pool = self.look_up(self.parts, told[:runs], CACHED_PARTS, self.encode_parts) + self.look_up(self.words, told[runs:], CACHED_WORDS, self.encode_words)
+        place = np.empty(len(one), dtype=np.int64)
+        place[np.concatenate([np.flatnonzero(~whole), np.flatnonzero(whole)])] = np.arange(len(one))
+        back = place[back]
+        size = np.fromiter(map(len, pool), dtype=np.int64, count=len(pool)) // 2
         begin = np.concatenate([[0], np.cumsum(size)])
         n = size[back]
         to = np.concatenate([[0], np.cumsum(n)])

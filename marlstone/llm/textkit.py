@@ -18,22 +18,25 @@ _rng = np.random.default_rng(20240229)
 _LETTER = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _STEP = np.uint64(0xA0761D6478BD642F)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LETTER = _LETTER[_LOWER]
+_LETTER = _LETTER[LOWER]
 #: ASCII but for letters and digits.
 PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_powers = np.ones(1, dtype=np.uint64)
+#: Bytes that are hashed at a time; a longer word is taken alone.
+SEGMENT = 1 << 16
+_powers = np.ones((2, 1), dtype=np.uint64)
 
 
 def powers(n: int) -> np.ndarray:
+    """The powers of the base and those of its inverse, n of each."""
     global _powers
-    if len(_powers) < n:
-        _powers = np.full(max(n, 4096), _BASE, dtype=np.uint64)
-        _powers[0] = 1
-        _powers = np.multiply.accumulate(_powers)
+    if _powers.shape[1] < n:
+        _powers = np.ones((2, max(n, SEGMENT)), dtype=np.uint64)
+        _powers[:, 1:] = [[_BASE], [pow(int(_BASE), -1, 1 << 64)]]
+        np.multiply.accumulate(_powers, axis=1, out=_powers)
     return _powers
 
 
@@ -73,36 +76,45 @@ def words(texts: pa.Array, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.nda
     gap: for each byte, whether it stands between words.
     """
     data, offsets = buffers(texts)
-    h, _, _, at = word_spans(data, offsets, gap)
+    solid = ~gap[data]
+    h, _, _, at = units(data, offsets, word_starts(solid, offsets), solid)
     return h, at
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end of every word, and where each text's words begin."""
-    none = np.zeros(0, dtype=np.int64)
-    if not len(data):
-        return none.astype(np.uint64), none, none, np.zeros(len(offsets), dtype=np.int64)
-    solid = ~gap[data]
-    first, last = solid.copy(), solid.copy()
+def word_starts(solid: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each byte begins a word; no word goes on into the next text."""
+    first = solid.copy()
     first[1:] &= ~solid[:-1]
-    last[:-1] &= ~solid[1:]
-    cuts = offsets[:-1][offsets[:-1] < len(data)]
+    cuts = offsets[:-1][offsets[:-1] < len(solid)]
     first[cuts] = solid[cuts]  # a text's first byte begins a word whatever stands before it
-    ends = cuts[cuts > 0] - 1
-    last[ends] = solid[ends]
+    return first
+
+
+def units(data: np.ndarray, offsets: np.ndarray, first: np.ndarray, solid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of every unit, and where each text's units begin.
+
+    A unit goes from a byte that is ``first`` to the next, or to one that is not ``solid``.
+    """
     starts = np.flatnonzero(first)
-    counts = np.zeros(len(data) + 1, dtype=np.int64)
-    np.cumsum(first, out=counts[1:])
+    at = np.searchsorted(starts, offsets)
     if not len(starts):
-        return none.astype(np.uint64), none, none, counts[offsets]
-    place = np.arange(len(data), dtype=np.int64)
-    place -= starts[np.maximum(counts[1:] - 1, 0)]
-    np.maximum(place, 0, out=place)
-    place[~solid] = 0
-    value = _LETTER[data]
-    value *= powers(int(place.max()) + 1)[place]
-    value[~solid] = 0
-    return scramble(np.add.reduceat(value, starts) + EMPTY), starts, np.flatnonzero(last) + 1, counts[offsets]
+        return np.zeros(0, dtype=np.uint64), starts, starts, at
+    last = solid.copy()
+    last[:-1] &= first[1:] | ~solid[1:]
+    ends = np.flatnonzero(last) + 1
+    h, k = np.empty(len(starts), dtype=np.uint64), 0
+    while k < len(starts):
+        # sum of letter * base**place over a unit, from running sums over the segment
+        to = max(k + 1, int(np.searchsorted(starts, starts[k] + SEGMENT)))
+        a, z = int(starts[k]), int(ends[to - 1])
+        up, down = powers(z - a)
+        sums = np.zeros(z - a + 1, dtype=np.uint64)
+        np.multiply(_LETTER[data[a:z]], up[: z - a], out=sums[1:])
+        np.cumsum(sums[1:], out=sums[1:])
+        i, j = starts[k:to] - a, ends[k:to] - a
+        h[k:to] = (sums[j] - sums[i]) * down[i]
+        k = to
+    return scramble(h + EMPTY), starts, ends, at
 
 
 def sequence_hash(h: np.ndarray) -> np.uint64:
@@ -142,13 +154,16 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarra
 
 def distinct_in(s: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of each owner 0..n-1, and where each owner's begin."""
-    order = np.argsort(s)
-    order = order[np.argsort(owner[order], kind="stable")]
-    s, owner = s[order], owner[order]
+    if (owner[1:] < owner[:-1]).any():
+        order = np.argsort(owner, kind="stable")
+        s, owner = s[order], owner[order]
+    s, at = s.copy(), np.zeros(n + 1, dtype=np.int64)
+    np.cumsum(np.bincount(owner, minlength=n), out=at[1:])
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        s[a:b].sort()  # far faster, one by one, than a sort of the whole by two keys
     new = np.ones(len(s), dtype=bool)
     new[1:] = (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])
     s, owner = s[new], owner[new]
-    at = np.zeros(n + 1, dtype=np.int64)
     np.cumsum(np.bincount(owner, minlength=n), out=at[1:])
     return s, at
 

@@ -70,6 +70,40 @@ def test_words_and_sets():
     assert textkit.shingle_sets(pa.array([], type=pa.string()))[1].tolist() == [0]
 
 
+def test_words_hash_alike_wherever_they_stand():
+    long = "y" * 200_000
+    texts = [f"{'pad ' * k}{long} word" for k in range(0, 40_000, 9_999)] + [f"word\t{long}"]
+    h, at = textkit.words(pa.array(texts))
+    assert len({int(h[at[k + 1] - 1]) for k in range(4)} | {int(h[at[-2]])}) == 1  # "word"
+    assert len({int(h[at[k + 1] - 2]) for k in range(4)} | {int(h[-1])}) == 1
+    rng = random.Random(2)
+    many = " ".join("".join(rng.choices("abAB", k=rng.randrange(1, 9))) for _ in range(60_000))
+    h, _ = textkit.words(pa.array([many]))
+    seen = {}
+    assert all(seen.setdefault(w, x) == x for w, x in zip(words(many), h.tolist(), strict=True)) and len(set(seen.values())) == len(seen)
+
+
+@needs_vocabulary
+def test_encoder_against_the_tokenizer(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from marlstone.llm import encoder
+
+    rng = random.Random(6)
+    made = ["".join(rng.choices("abcXYZéÉßñ×÷'’.,-0127日本ΣΑ", k=rng.randrange(1, 8))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(made, k=rng.randrange(0, 60))) for _ in range(200)] + [None, "", " \t", "ΟΔΟΣ don't x²\x1cy <|endoftext|>", "é" * 70_000]
+    plain = Tokenizer.from_file(VOCABULARY)
+    plain.encode_special_tokens = True
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for kept in (0, 100_000):  # a full cache changes nothing
+        monkeypatch.setattr(encoder, "CACHED_PARTS", kept)
+        monkeypatch.setattr(encoder, "CACHED_WORDS", kept)
+        code = encoder.Encoder(VOCABULARY)
+        for _ in range(2):
+            ids, at = code(pa.array(texts, type=pa.string()))
+            assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + k, 101 + k) for k in range(30)]
