@@ -11,9 +11,8 @@ index the last of them. The cost is estimated; a wrong estimate costs time, no l
 How many tokens a pair must share is counted on the index entries, before a text is read:
 a pair that shares k of them has at most (tokens behind the prefix) + k in common, which
 must be enough for the two sizes. Pairs that have as many are verified on whole sets, in
-three rounds. First every document meets the smallest document of its index entries, the
-hub that it shares most with; then those that missed it narrowly meet a few documents that
-share most with that hub. This finds most links at a cost in proportion to the index, and
+two rounds. First every document meets the smallest document of its index entries, the hub
+that it shares most with. This finds most links at a cost in proportion to the index, and
 groups of copies collapse into components. Then only pairs of different components that share an index entry are left,
 and all of them are examined: of the holders of a token, those of its largest component
 meet the others, never each other. So links inside a group of copies are not listed, and
@@ -44,8 +43,6 @@ SEEN_IN_BATCH = 3
 MOST_COSTLY = 1 << 17
 #: Documents of a costly token that share one hub; more are split and their hubs meet in turn.
 PER_HUB = 20_000
-#: Documents near a hub that those which miss it are compared with.
-CENTRAL = 8
 #: Documents of a token that stand in one row when all that hold it are compared.
 BLOCK = 256
 
@@ -253,13 +250,14 @@ def similar_groups(docs: DataFrame, percent: int = 75, width: int = 5, doc_id: s
     seen = scratch.table(source.mapInArrow(describe(width, percent), "costly boolean, a long, b long, c long, d long"), "sets")
     sets = seen.where(~F.col("costly")).select(F.col("a").alias("doc"), F.col("b").alias("n"), "c", "d")
     counted = seen.where("costly").groupBy(F.col("a").alias("token")).agg(F.sum("b").alias("n")).where(F.col("n") >= COSTLY)
-    rows = counted.orderBy(F.desc("n"), "token").limit(MOST_COSTLY).collect()
-    costly = np.array([r["token"] for r in rows], dtype=np.int64).view(np.uint64)
+    rows = counted.orderBy(F.desc("n"), "token").limit(MOST_COSTLY).toArrow()
+    costly = rows.column("token").to_numpy().view(np.uint64)
     order = np.argsort(costly)
-    costly, splits = costly[order], -(-np.array([r["n"] for r in rows], dtype=np.int64)[order] // PER_HUB)
+    costly, splits = costly[order], -(-rows.column("n").to_numpy()[order] // PER_HUB)
     usable = source.where("doc is not null and text is not null")
     filled = sets.where("doc is not null and n > 0")
-    classes = filled.groupBy("n", "c", "d").agg(F.min("doc").alias("rep"))
+    # a table, so that the join's two sides are plain shuffles and Spark splits a class that holds a third of all rows
+    classes = scratch.table(filled.groupBy("n", "c", "d").agg(F.min("doc").alias("rep")), "classes")
     named = scratch.table(filled.join(classes, ["n", "c", "d"]).select("doc", "n", "rep"), "named")
     # documents of several texts join the classes that these are in
     several = named.groupBy("doc").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
@@ -277,19 +275,12 @@ def similar_groups(docs: DataFrame, percent: int = 75, width: int = 5, doc_id: s
     # a first look at each document's best hub, where the two share enough
     best = counts.groupBy("doc").agg(F.max(F.struct("k", (-F.col("hub")).alias("hub"))).alias("x")).select("doc", "x.k", (-F.col("x.hub")).alias("hub"))
     best = best.join(reps, "doc").join(reps.select(F.col("doc").alias("hub"), F.col("n").alias("m")), "hub")
-    best = scratch.table(best, "best")
-    first = best.where(enough(F.col("n"), F.col("m"), F.col("k"), percent)).select(F.col("hub").alias("u"), F.col("doc").alias("v")).distinct()
-    linked = scratch.table(verified(first, usable, width, percent), "links")
-    # a second look for those near a hub that is not near enough: the documents that share most with it
-    central = best.groupBy("hub", F.pmod(F.xxhash64("doc"), F.lit(CENTRAL)).alias("part")).agg(F.max(F.struct("k", "doc")).alias("x")).select("hub", F.col("x.doc").alias("centre"))
-    missed = best.where(F.col("k") * 16 >= F.col("n")).join(linked.select(F.col("u").alias("hub"), F.col("v").alias("doc")), ["hub", "doc"], "left_anti").select("hub", "doc").distinct()
-    second = missed.join(central, "hub").where("doc <> centre").select(F.least("doc", "centre").alias("u"), F.greatest("doc", "centre").alias("v")).distinct()
-    looked = scratch.table(first.unionByName(second).distinct(), "looked-at")
-    links = scratch.table(linked.unionByName(verified(second, usable, width, percent)).unionByName(same), "links")
+    first = scratch.table(best.where(enough(F.col("n"), F.col("m"), F.col("k"), percent)).select(F.col("hub").alias("u"), F.col("doc").alias("v")).distinct(), "first")
+    links = scratch.table(verified(first, usable, width, percent).unionByName(same), "links")
     labels = components(links)
     # what is left: pairs of different components that share an entry
     own = reps.join(labels, reps["doc"] == labels["id"], "left").select("doc", "n", F.coalesce("label", "doc").alias("label"))
-    pairs = apart(held, own, percent).join(looked, ["u", "v"], "left_anti")
+    pairs = apart(held, own, percent).join(first, ["u", "v"], "left_anti")
     more = verified(pairs, usable, width, percent)
     labels = components(links.unionByName(scratch.table(more, "links")))
     found = named.join(labels, named["rep"] == labels["id"], "left").select("doc", "n", F.coalesce("label", "rep").alias("component"))
