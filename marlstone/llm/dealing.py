@@ -20,7 +20,9 @@ WIDTH = 64
 TERMS = 1 << 16
 #: The share of the hash in a cut; vectors have length 1.
 SPREAD = 1e-3
-LOT = 512
+#: Documents, and terms of documents, that are worked on at a time, for the memory of 64 numbers for each term of each.
+LOT = 64
+TURNED = 1 << 15
 
 
 def weights(ids: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,8 +50,13 @@ def basis(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(idf, directions) of a sample; terms of one document or of none have no weight."""
     df = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=TERMS)
     idf = np.where(df > 1, np.log1p((len(ids) - df + 0.5) / (df + 0.5)), 0.0)
-    doc, term, w = weights(ids, idf)
-    turned = np.argsort(term, kind="stable")
+
+    def lot(a: int) -> tuple:
+        doc, term, w = weights(ids[a : a + LOT], idf)
+        return (doc + a).astype(np.int32), term.astype(np.int32), w
+
+    doc, term, w = map(np.concatenate, zip(*map(lot, range(0, len(ids), LOT)), strict=True))
+    turned = np.argsort(term, kind="stable").astype(np.int32)
     cut = np.searchsorted(doc, np.arange(0, len(ids) + LOT, LOT))
 
     def across(x: np.ndarray) -> np.ndarray:
@@ -57,12 +64,14 @@ def basis(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
     def back(y: np.ndarray) -> np.ndarray:
         out = np.zeros((TERMS, WIDTH), dtype=np.float32)
-        for a in range(0, len(turned), 1 << 18):
-            k = turned[a : a + (1 << 18)]
-            out += summed(y[doc[k]] * w[k, None], term[k], TERMS)
+        for a in range(0, len(turned), TURNED):
+            k = turned[a : a + TURNED]
+            first = np.flatnonzero(np.r_[True, term[k][1:] != term[k][:-1]])
+            out[term[k][first]] += np.add.reduceat(y[doc[k]] * w[k, None], first)
         return out
 
-    x = np.random.default_rng(7).standard_normal((TERMS, WIDTH)).astype(np.float32)
+    drawn = np.random.default_rng(7)
+    x = np.concatenate([drawn.standard_normal((TERMS // 16, WIDTH)).astype(np.float32) for _ in range(16)])
     for _ in range(3):
         x = np.linalg.qr(back(across(x)))[0].astype(np.float32)
     return idf.astype(np.float32), x.astype(np.float16)
