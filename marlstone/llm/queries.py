@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import chat, embedding_dedup, html_extract, line_dedup, lm_scoring, mixing, ngram_join, packing, quality, toxicity
+from marlstone.llm import alignment, chat, embedding_dedup, html_extract, line_dedup, lm_scoring, mixing, ngram_join, packing, quality, toxicity
 
 #: The vocabulary that packing counts tokens in; a parameter of the operator.
 VOCABULARY = "word_bpe_49k.json"
+#: The vocabularies that are aligned: byte-level, and pieces.
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -79,8 +81,14 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(read(spark, sf_dir, "documents"), *map(public_tokenizers.path, ALIGNED))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_lm_scoring, op2_ngram_join, op3_retrieval_packing, op4_line_dedup, op5_embedding_dedup, op6_chat_format, op7_toxicity_chain, op8_html_extract, op9_quality_rules, op10_mix_sources]
+    found = [op1_lm_scoring, op2_ngram_join, op3_retrieval_packing, op4_line_dedup, op5_embedding_dedup, op6_chat_format, op7_toxicity_chain, op8_html_extract, op9_quality_rules, op10_mix_sources, op12_token_alignment]
     return {f.__name__: f for f in found}
 
 
