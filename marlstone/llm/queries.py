@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import alignment, chat, embedding_dedup, html_extract, line_dedup, lm_scoring, mixing, ngram_join, packing, quality, toxicity
+from marlstone.llm import alignment, chat, embedding_dedup, html_extract, line_dedup, lm_scoring, mixing, ngram_join, packing, quality, structure, toxicity
 
 #: The vocabulary that packing counts tokens in; a parameter of the operator.
 VOCABULARY = "word_bpe_49k.json"
@@ -81,6 +81,15 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = structure.summary(structure.repair(structure.damage(turns)))
+    every = turns.select("conv_id").distinct().withColumnRenamed("conv_id", "id")
+    rows = every.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    absent = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit("").cast("binary"), 256)}
+    return rows.select(F.col("id").alias("conv_id"), *(F.coalesce(c, absent.get(c, F.lit(0).cast("long"))).alias(c) for c in found.columns[1:]))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -88,7 +97,7 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_lm_scoring, op2_ngram_join, op3_retrieval_packing, op4_line_dedup, op5_embedding_dedup, op6_chat_format, op7_toxicity_chain, op8_html_extract, op9_quality_rules, op10_mix_sources, op12_token_alignment]
+    found = [op1_lm_scoring, op2_ngram_join, op3_retrieval_packing, op4_line_dedup, op5_embedding_dedup, op6_chat_format, op7_toxicity_chain, op8_html_extract, op9_quality_rules, op10_mix_sources, op11_structure_repair, op12_token_alignment]
     return {f.__name__: f for f in found}
 
 
@@ -160,6 +169,36 @@ WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text
 SELECT doc_id, size, total AS source_size, target, CASE WHEN total = 0 THEN 0 ELSE (wanted // total) * size + least(size, greatest(0, wanted % total - before)) END::BIGINT AS taken FROM q"""
 
 
+STRUCTURE = r"""
+WITH RECURSIVE bits(k, c, step) AS (SELECT k, k, 0 FROM range(256) t(k) UNION ALL SELECT k, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, step + 1 FROM bits WHERE step < 8),
+ tab AS (SELECT list(c ORDER BY k) AS t FROM bits WHERE step = 8),
+ src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+ way AS (SELECT src.*, xor(list_reduce([4294967295] || list_transform(string_split(k, ''), lambda x: unicode(x)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS w FROM src, tab),
+ dam AS (SELECT conv_id, turn, CASE WHEN w = 4 THEN 'user' ELSE role END AS role, CASE WHEN w = 1 THEN '' WHEN w = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE w WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM way),
+ num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(role, 32), left(text, 64), md5(role || chr(10) || text)) AS i, left(role, 1) AS ini FROM dam),
+ rows_ AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+   WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM num),
+ tot AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+   count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY conv_id),
+ cost AS (SELECT conv_id, i, role, text, ini, CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000000 WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more FROM rows_),
+ best(conv_id, i, s0, s1, s2, s3) AS (
+  SELECT conv_id, n, {'c': 0, 'a': '', 'r': []::VARCHAR[]}, {'c': 10, 'a': 'II', 'r': ['user:', 'assistant:']}, {'c': 5, 'a': 'I', 'r': ['assistant:']}, {'c': 0, 'a': '', 'r': []::VARCHAR[]} FROM tot
+  UNION ALL
+  SELECT conv_id, i, least(b0, {'c': d2.c + 5, 'a': 'I' || d2.a, 'r': ['user:'] || d2.r}), least(b1, {'c': d2.c + 5, 'a': 'I' || d2.a, 'r': ['user:'] || d2.r}), d2, d3 FROM (
+   SELECT *, least(b2, {'c': b3.c + 5, 'a': 'I' || b3.a, 'r': ['assistant:'] || b3.r}) AS d2, least(b3, {'c': b2.c + 5, 'a': 'I' || b2.a, 'r': ['user:'] || b2.r}) AS d3 FROM (
+    SELECT conv_id, i,
+     least({'c': s0.c + 2, 'a': 'D' || s0.a, 'r': s0.r}, {'c': s1.c + more + CASE ini WHEN 's' THEN 0 ELSE 1000000000 END, 'a': 'K' || s1.a, 'r': [own] || s1.r}, u) AS b0,
+     least({'c': s1.c + 2, 'a': 'D' || s1.a, 'r': s1.r}, u) AS b1,
+     least({'c': s2.c + 2, 'a': 'D' || s2.a, 'r': s2.r}, {'c': s3.c + more + CASE ini WHEN 'a' THEN 0 ELSE 1 END, 'a': CASE ini WHEN 'a' THEN 'K' ELSE 'R' END || s3.a, 'r': [CASE ini WHEN 'a' THEN own ELSE 'assistant:' || text END] || s3.r}) AS b2,
+     least({'c': s3.c + 2, 'a': 'D' || s3.a, 'r': s3.r}, u) AS b3 FROM (
+      SELECT b.conv_id, b.i - 1 AS i, s0, s1, s2, s3, more, ini, text, role || ':' || text AS own,
+       {'c': s2.c + more + CASE ini WHEN 'u' THEN 0 ELSE 1 END, 'a': CASE ini WHEN 'u' THEN 'K' ELSE 'R' END || s2.a, 'r': [CASE ini WHEN 'u' THEN role ELSE 'user' END || ':' || text] || s2.r} AS u
+      FROM best b JOIN cost c ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND c.i = b.i) x) y) z)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+ coalesce(s0.c, 0)::BIGINT AS cost, coalesce(s0.a, '') AS audit, sha256(coalesce(array_to_string(s0.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN tot ON tot.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM a.conv_id AND best.i = 0"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that it can express; the others are tested against brute force."""
-    return {"op2_ngram_join": NGRAMS, "op4_line_dedup": LINES, "op5_embedding_dedup": VECTORS, "op6_chat_format": CHAT, "op9_quality_rules": QUALITY, "op10_mix_sources": MIX}
+    return {"op2_ngram_join": NGRAMS, "op4_line_dedup": LINES, "op5_embedding_dedup": VECTORS, "op6_chat_format": CHAT, "op9_quality_rules": QUALITY, "op10_mix_sources": MIX, "op11_structure_repair": STRUCTURE}
