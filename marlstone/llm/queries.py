@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import alignment, chat, embedding_dedup, html_extract, line_dedup, lm_scoring, mixing, ngram_join, packing, quality, structure, toxicity
+from marlstone.llm import alignment, chat, embedding_dedup, html_extract, line_dedup, lm_scoring, mixing, ngram_join, packing, quality, structure, substring_dedup, toxicity
 
 #: The vocabulary that packing counts tokens in; a parameter of the operator.
 VOCABULARY = "word_bpe_49k.json"
@@ -96,8 +96,13 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(read(spark, sf_dir, "documents"), *map(public_tokenizers.path, ALIGNED))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_lm_scoring, op2_ngram_join, op3_retrieval_packing, op4_line_dedup, op5_embedding_dedup, op6_chat_format, op7_toxicity_chain, op8_html_extract, op9_quality_rules, op10_mix_sources, op11_structure_repair, op12_token_alignment]
+    found = [op1_lm_scoring, op2_ngram_join, op3_retrieval_packing, op4_line_dedup, op5_embedding_dedup, op6_chat_format, op7_toxicity_chain, op8_html_extract, op9_quality_rules, op10_mix_sources, op11_structure_repair, op12_token_alignment, op13_substring_dedup]
     return {f.__name__: f for f in found}
 
 
@@ -199,6 +204,15 @@ SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN tot ON tot.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM a.conv_id AND best.i = 0"""
 
 
+PASSAGES = rf"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{quality.SPACE}+'), lambda x: x <> '') AS ws FROM documents),
+ g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+ cut AS (SELECT DISTINCT doc_id, i + k AS i FROM (SELECT doc_id, i FROM g QUALIFY min(doc_id) OVER (PARTITION BY g) < doc_id) t, (SELECT unnest(range(13)) AS k) s),
+ gone AS (SELECT doc_id, list(i) AS gone FROM cut GROUP BY doc_id),
+ kept AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed, CASE WHEN gone IS NULL THEN ws ELSE list_transform(list_filter(list_zip(ws, list_transform(range(1, len(ws) + 1), lambda i: NOT list_contains(gone, i))), lambda x: x[2]), lambda x: x[1]) END AS ws FROM w LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(ws, ' ')) AS kept_sha256 FROM kept"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that it can express; the others are tested against brute force."""
-    return {"op2_ngram_join": NGRAMS, "op4_line_dedup": LINES, "op5_embedding_dedup": VECTORS, "op6_chat_format": CHAT, "op9_quality_rules": QUALITY, "op10_mix_sources": MIX, "op11_structure_repair": STRUCTURE}
+    return {"op2_ngram_join": NGRAMS, "op4_line_dedup": LINES, "op5_embedding_dedup": VECTORS, "op6_chat_format": CHAT, "op9_quality_rules": QUALITY, "op10_mix_sources": MIX, "op11_structure_repair": STRUCTURE, "op13_substring_dedup": PASSAGES}

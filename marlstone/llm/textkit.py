@@ -22,6 +22,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+EXACT = _LETTER
 _LETTER = _LETTER[LOWER]
 #: ASCII but for letters and digits.
 PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -90,10 +91,11 @@ def word_starts(solid: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return first
 
 
-def units(data: np.ndarray, offsets: np.ndarray, first: np.ndarray, solid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def units(data: np.ndarray, offsets: np.ndarray, first: np.ndarray, solid: np.ndarray, letter: np.ndarray = _LETTER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and end of every unit, and where each text's units begin.
 
     A unit goes from a byte that is ``first`` to the next, or to one that is not ``solid``.
+    ``letter``: EXACT tells upper from lower case.
     """
     starts = np.flatnonzero(first)
     at = np.searchsorted(starts, offsets)
@@ -109,7 +111,7 @@ def units(data: np.ndarray, offsets: np.ndarray, first: np.ndarray, solid: np.nd
         a, z = int(starts[k]), int(ends[to - 1])
         up, down = powers(z - a)
         sums = np.zeros(z - a + 1, dtype=np.uint64)
-        np.multiply(_LETTER[data[a:z]], up[: z - a], out=sums[1:])
+        np.multiply(letter[data[a:z]], up[: z - a], out=sums[1:])
         np.cumsum(sums[1:], out=sums[1:])
         i, j = starts[k:to] - a, ends[k:to] - a
         h[k:to] = (sums[j] - sums[i]) * down[i]
