@@ -77,7 +77,8 @@ class Linear:
         return x
 
     def probability(self, s, at, dense, before) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.matrix(s, at, dense, before) @ self.weights, -30, 30)))
+        # each row is summed by itself: in a matrix product the order of sums follows the row's place
+        return 1 / (1 + np.exp(-np.clip((self.matrix(s, at, dense, before) * self.weights).sum(axis=1), -30, 30)))
 
 
 def rows_of(s: np.ndarray, at: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +87,9 @@ def rows_of(s: np.ndarray, at: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarr
 
 
 def fit(s: np.ndarray, at: np.ndarray, dense: np.ndarray, before: np.ndarray, y: np.ndarray) -> Linear:
-    """Ridge logistic regression by Newton steps over the words that tell the classes apart."""
+    """Ridge logistic regression by Newton steps over the words that tell the classes apart; without rows a model that says 1/2."""
+    if not len(y):
+        return Linear(np.zeros(0, dtype=np.int64), np.zeros(dense.shape[1]), np.ones(dense.shape[1]), np.zeros(dense.shape[1] + before.shape[1] + 1))
     n, owner = len(y), np.repeat(np.arange(len(y)), np.diff(at))
     held = np.bincount(s, minlength=1 << HASH_BITS)
     hits = np.bincount(s, weights=y[owner], minlength=1 << HASH_BITS)
@@ -148,7 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_lab
 
     Several labels of a document are averaged, null ones ignored. Labelled ids without a
     document are ignored, and so are null ids. Of several documents with one id the one with
-    the least features trains. Without any labelled row every probability is 1/2.
+    the least features trains. A category without a labelled row says 1/2 everywhere, and so
+    does a fold whose other folds have none.
     """
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in categories))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)  # at most max_labelled rows of a few numbers
@@ -165,18 +169,21 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_lab
         return [Linear(zero.words, zero.mean, zero.scale, np.zeros(DENSE + c + 1)) for c in range(len(categories))], {}
     fold = np.array([zlib.crc32(str(i).encode()) % FOLDS for i, _ in found])  # ids may follow a pattern
     models, held_out = fit_chain(s, at, dense, y, fold)
-    told = {c: float(np.mean((held_out[:, k] >= 0.5)[~np.isnan(y[:, k])] == y[~np.isnan(y[:, k]), k])) for k, c in enumerate(categories)}
+    known = ~np.isnan(y)
+    told = {c: float(np.mean((held_out[:, k] >= 0.5)[known[:, k]] == y[known[:, k], k])) for k, c in enumerate(categories) if known[:, k].any()}
     return models, told
 
 
 def score(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("low_quality", "toxic"), threshold: float = 0.5, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """doc_id, the probability ``p_<category>`` of each category, and ``toxic``, for every row of ``docs``.
 
-    ``toxic`` is true from ``threshold`` on for the last category. Null text is empty.
-    Every row is scored for itself, repeated and null ids too; extra columns are ignored.
+    ``toxic`` is true from ``threshold`` on for the last category, and false where nothing is
+    labelled in it. Null text is empty, very long texts are scored whole. Every row is scored
+    for itself, repeated and null ids too; extra columns are ignored; an empty table gives no
+    rows.
     """
-    models, _ = train(docs, labels, categories, max_labelled)
+    models, told = train(docs, labels, categories, max_labelled)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = own.mapInArrow(score_rows(models), "doc_id long, p array<double>")
     out = out.select("doc_id", *(F.col("p")[k].alias(f"p_{c}") for k, c in enumerate(categories)))
-    return out.withColumn("toxic", F.col(f"p_{categories[-1]}") >= threshold)
+    return out.withColumn("toxic", (F.col(f"p_{categories[-1]}") >= threshold) & F.lit(categories[-1] in told))
