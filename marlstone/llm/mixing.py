@@ -11,6 +11,7 @@ seeded hash: whole epochs for all, and the rest of the quota from the front of t
 from __future__ import annotations
 
 import heapq
+import math
 from collections import defaultdict
 from collections.abc import Sequence
 
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 MAX_USES = 3
+#: Rows of a source that one window should order.
+ROWS_EACH = 4096
 #: Cost of the first, second and third use of a word: rising, so that the flow repeats evenly.
 USE_COSTS = (0, 1, 3)
 
@@ -124,8 +127,10 @@ def mix(docs: DataFrame, members: Column, weights=None, total: float | None = No
     ``weights``: source -> weight; by default sources in code point order, null last, weigh
     1, 2, 3, repeating. ``total``: words of the mix, by default those of all documents.
     ``source_size`` and ``target`` are sums over a document's sources. A null text has size
-    0. Rows are selected in the order of a seeded hash of the id (ties: any of equal rows),
-    so reruns agree; the document at the edge of a quota gives only the words still needed.
+    0. Rows are selected in the order of a seeded hash of the id, of the text where there is
+    none; rows that share an id go by a hash of their text. So reruns agree, in whatever order
+    the rows come; of rows equal in id and text any may give the words. The document at the
+    edge of a quota gives only the words still needed. An empty table gives no rows.
     Columns of ``docs`` with the names of added columns are replaced, others stay.
     The driver sees one row per membership pattern.
     """
@@ -133,7 +138,7 @@ def mix(docs: DataFrame, members: Column, weights=None, total: float | None = No
     pattern = F.array_sort(F.array_distinct(F.transform(members, lambda s: F.struct(s.isNull().alias("none"), F.coalesce(s, F.lit("")).alias("name")))))
     sized = docs.withColumn("__p", F.coalesce(pattern, F.expr("cast(array() as array<struct<none: boolean, name: string>>)")))
     sized = sized.drop(*added).withColumnRenamed("__p", "pattern").withColumn("size", word_count(F.col(text)))
-    rows = sized.groupBy("pattern").agg(F.sum("size").alias("words")).collect()
+    rows = sized.groupBy("pattern").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).collect()
     supply = [(frozenset(None if x["none"] else x["name"] for x in r["pattern"]), int(r["words"] or 0)) for r in rows]
     names = sorted({s for own, _ in supply for s in own}, key=lambda s: (s is None, s or ""))
     sizes = {s: sum(words for own, words in supply if s in own) for s in names}
@@ -150,17 +155,20 @@ def mix(docs: DataFrame, members: Column, weights=None, total: float | None = No
         plan.append((r["pattern"], float(sum(sizes[s] for s in own)), float(sum(quota[s] for s in own)), int(epochs), int(wanted - epochs * words)))
     kind = dict(sized.dtypes)["pattern"]
     planned = docs.sparkSession.createDataFrame(plan, f"pattern {kind}, source_size double, target double, epochs long, rest long")
-    ranked = sized.withColumn("__h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(doc_id).cast("string")))).withColumn("__b", F.substring("__h", 1, 3))
-    # the order in two steps: words of each of the 4096 first hex digits of the hash, then places inside
+    # the order in two steps: words of each start of the hash, then places inside; as many starts as keep each to some thousand rows
+    digits = max(3, math.ceil(math.log(max((r["n"] for r in rows), default=1) / ROWS_EACH + 1, 16)))
+    told = F.xxhash64(F.col(text))
+    own = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text "), told.cast("string")))
+    ranked = sized.withColumns({"__h": F.md5(F.concat_ws(":", F.lit(str(seed)), own)), "__t": told}).withColumn("__b", F.substring("__h", 1, digits))
     buckets = ranked.groupBy("pattern", "__b").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("pattern").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
     edges = buckets.join(planned, "pattern")
     edges = edges.withColumn("room", F.col("rest") - F.coalesce(before, F.lit(0))).drop("words", "rest")
-    inside = Window.partitionBy("pattern", "__b").orderBy("__h", doc_id).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("pattern", "__b").orderBy("__h", doc_id, "__t", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = ranked.withColumn("__before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = placed.join(edges, ["pattern", "__b"])  # dealt out as the places were
     extra = F.least("size", F.greatest(F.lit(0), F.col("room") - F.col("__before")))
-    return joined.withColumns({"source_size": F.col("source_size").cast("long"), "taken": (F.col("epochs") * F.col("size") + extra).cast("long")}).drop("__h", "__b", "__before", "room", "epochs")
+    return joined.withColumns({"source_size": F.col("source_size").cast("long"), "taken": (F.col("epochs") * F.col("size") + extra).cast("long")}).drop("__h", "__t", "__b", "__before", "room", "epochs")
 
 
 def mix_sources(docs: DataFrame, source: str = "source", **more) -> DataFrame:

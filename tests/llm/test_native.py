@@ -175,6 +175,19 @@ def test_flow_against_a_plain_solver(seed):
     assert (round(sum(given)), round(cost)) == plain_flow(supply, quota) and all(g <= 3 * w + 1e-6 for g, (_, w) in zip(given, supply, strict=True))
 
 
+def test_mix_of_repeated_and_null_ids_in_any_order(spark, docs):
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.choice([1, 2, 3, None, None, k]), "w " * rng.randint(0, 30) + rng.choice("abc"), "en", rng.choice("st"), 1) for k in range(400)]
+    seen = []
+    for n in (1, 7):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(n)
+        seen.append(sorted((tuple(r) for r in mixing.mix_sources(df).select("doc_id", "text", "source", "taken").collect()), key=repr))
+    assert seen[0] == seen[1]
+
+
 def test_overlapping_mix_of_many_documents(spark, docs):
     """Documents of one to three of six sources: each source's share is met, and no document goes beyond three uses."""
     rng = random.Random(4)
