@@ -1,12 +1,13 @@
 """Embedding near-dedup with a forest of random-projection trees.
 
 Vectors of equal label are split again and again by random directions; a vector near a
-split goes both ways (spill overlap), so close vectors seldom part. The trees differ in
+split goes both ways (spill overlap; once on its way down), so close vectors seldom part. The trees differ in
 their directions. Vectors of a leaf are compared by exact cosine in double precision, and
 linked vectors are united. A pair that shares several leaves counts in the first of them,
 so links are counted where they are found and pairs are never written out. Equal vectors
-are one class and are compared once; a leaf of many close vectors is compared in blocks.
-A label of at most SINGLE vectors is one leaf, in which all are compared.
+are one class and are compared once. Splits are fitted where few vectors lie near them, so
+that a tight group, which any cut through it would send both ways again and again, stays
+together; its leaf is compared in blocks, as any leaf of many close vectors is.
 """
 
 from __future__ import annotations
@@ -23,23 +24,23 @@ from marlstone.sources import scratch
 from marlstone.llm.components import components
 
 TREES = 6
-#: Vectors that a leaf should have, where a label has more than SINGLE.
-LEAF = 1024
-#: Up to here all pairs cost less than six trees of leaves.
-SINGLE = 8192
+#: Vectors that a leaf should have.
+LEAF = 128
+#: Directions that are tried for a split, the least share of the sample on either side, and the most that may go both ways: else the node stays a leaf.
+TRIED, LEAST_SHARE, MOST_BOTH = 4, 0.1, 0.3
 #: A leaf with more is compared in blocks of about this many.
 BLOCK = 1536
-#: Half the width of the overlap, for vectors of length one. Pairs of cosine 0.93 in 64
-#: dimensions part at one split in 70; six trees of 20 levels all miss one in 4,000.
+#: Half the width of the overlap, for vectors of length one. A vector goes both ways once in
+#: a tree, so that it is in twelve leaves at most.
 SPILL = 0.03
-#: Vectors that split points are fitted on (medians); below their reach splits are at 0.
+#: Vectors that splits are fitted on; below their reach splits are at 0.
 FITTED = 4096
 FIT_LEAST = 64
 
 
-@lru_cache(maxsize=4096)
-def direction(tree: int, node: int, dim: int) -> np.ndarray:
-    x = np.random.default_rng([tree, node, dim]).standard_normal(dim)
+@lru_cache(maxsize=8192)
+def direction(tree: int, node: int, dim: int, tried: int = 0) -> np.ndarray:
+    x = np.random.default_rng([tree, node, dim, tried]).standard_normal(dim)
     return x / np.linalg.norm(x)
 
 
@@ -49,8 +50,24 @@ def unit(rows: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def fit_splits(sample: list) -> dict[tuple[int, int, int], float]:
-    """(tree, node, dimensions) -> median of the sample's projections."""
+def best_cut(x: np.ndarray, tree: int, node: int) -> tuple[int, float] | None:
+    """The direction and the point at which least of the sample is near, both sides having their share; None where too much is near any."""
+    best = None
+    for tried in range(TRIED):
+        at = np.sort(x @ direction(tree, node, x.shape[1], tried))
+        cuts = at[int(LEAST_SHARE * len(at)) : max(int((1 - LEAST_SHARE) * len(at)), 1)]
+        near = np.searchsorted(at, cuts + SPILL, side="right") - np.searchsorted(at, cuts - SPILL)
+        # among points that few are near, the one that halves best
+        uneven = np.abs(np.searchsorted(at, cuts) / len(at) - 0.5)
+        cost = near / len(at) + 0.3 * uneven
+        k = int(np.argmin(cost))
+        if near[k] <= MOST_BOTH * len(at) and (best is None or cost[k] < best[0]):
+            best = cost[k], tried, float(cuts[k])
+    return best and best[1:]
+
+
+def fit_splits(sample: list) -> dict[tuple[int, int, int], tuple[int, float] | None]:
+    """(tree, node, dimensions) -> direction and point of its split, None where it has none; below the sample's reach splits are at 0."""
     splits = {}
     for dim in {len(x) for x in sample}:
         x = unit([v for v in sample if len(v) == dim])
@@ -59,27 +76,32 @@ def fit_splits(sample: list) -> dict[tuple[int, int, int], float]:
             while todo:
                 node, own = todo.pop()
                 if len(own) >= FIT_LEAST:
-                    at = own @ direction(tree, node, dim)
-                    cut = splits[tree, node, dim] = float(np.median(at))
-                    todo += [(2 * node, own[at <= cut]), (2 * node + 1, own[at > cut])]
+                    cut = splits[tree, node, dim] = best_cut(own, tree, node)
+                    if cut:
+                        at = own @ direction(tree, node, dim, cut[0]) - cut[1]
+                        todo += [(2 * node, own[at <= 0]), (2 * node + 1, own[at > 0])]
     return splits
 
 
 def leaves_of(x: np.ndarray, depth: np.ndarray, splits: dict, trees: int = TREES) -> tuple[np.ndarray, np.ndarray]:
-    """(row, leaf code) of every leaf that each vector is in. depth: levels for each vector."""
+    """(row, leaf code) of every leaf that each vector is in, two of a tree at most. depth: levels for each vector."""
     dim, out_row, out_code = x.shape[1], [], []
     for tree in range(trees):
-        todo = [(1, np.flatnonzero(depth > 0) if tree else np.arange(len(x)), 0)]
+        first = np.flatnonzero(depth > 0) if tree else np.arange(len(x))
+        todo = [(1, first, np.zeros(len(first), dtype=bool), 0)]
         while todo:
-            node, rows, level = todo.pop()
-            ended = depth[rows] <= level
+            node, rows, spilled, level = todo.pop()
+            cut = splits.get((tree, node, dim), (0, 0.0))
+            ended = (depth[rows] <= level) | (cut is None)
             if ended.any():
                 out_row.append(rows[ended])
                 out_code.append(np.full(int(ended.sum()), (tree << 48) + node, dtype=np.int64))
-                rows = rows[~ended]
+                rows, spilled = rows[~ended], spilled[~ended]
             if len(rows):
-                at = x[rows] @ direction(tree, node, dim) - splits.get((tree, node, dim), 0.0)
-                todo += [(2 * node, rows[at <= SPILL], level + 1), (2 * node + 1, rows[at > -SPILL], level + 1)]
+                at = x[rows] @ direction(tree, node, dim, cut[0]) - cut[1]
+                both = (np.abs(at) <= SPILL) & ~spilled
+                for child, side in ((2 * node, (at <= 0) | both), (2 * node + 1, (at > 0) | both)):
+                    todo.append((child, rows[side], (spilled | both)[side], level + 1))
     return np.concatenate(out_row), np.concatenate(out_code)
 
 
@@ -151,7 +173,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, vec_id: str = "vec_
     vectors are linked with each other. ``component_id`` is the smallest id that links reach;
     ``kept`` marks the rows with that id. A null id links with nothing and is never kept.
     Rows that repeat an id each count as a vector, with links and a component of its own.
-    Other columns are ignored.
+    Other columns are ignored; an empty table gives no rows.
     """
     kind = dict(vectors.dtypes)[embedding]
     own = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast(kind if kind == "array<float>" else "array<double>").alias("embedding"))
@@ -165,7 +187,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, vec_id: str = "vec_
     classes = scratch.table(classes.withColumns({"dim": F.size("embedding"), "name": F.monotonically_increasing_id()}), "vectors")
     sample = [r["embedding"] for r in classes.orderBy(F.xxhash64("least", "label"), "least", "name").select("embedding").limit(FITTED).collect()]
     sizes = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
-    depth = F.when(F.col("n") <= SINGLE, 0).otherwise(F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / LEAF)))).cast("int")
+    depth = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / LEAF))).cast("int")
     levels = sizes.select("label", "dim", depth.alias("depth"))
     rows = classes.join(levels, ["label", "dim"]).select("name", "copies", "label", "dim", "depth", "embedding")
     element = dict(classes.dtypes)["embedding"]

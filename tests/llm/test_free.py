@@ -291,7 +291,6 @@ def test_embeddings_with_repeated_ids(spark):
 
 
 def test_forest_recall_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "SINGLE", 100)
     monkeypatch.setattr(embedding_dedup, "LEAF", 60)  # several levels and blocks on a small table
     monkeypatch.setattr(embedding_dedup, "BLOCK", 80)
     rng = np.random.default_rng(4)
@@ -307,6 +306,51 @@ def test_forest_recall_and_blocks(spark, monkeypatch):
     assert (n <= link.sum(axis=1)).all() and n.sum() >= 0.99 * link.sum()
 
 
+def test_tight_group():
+    """Around one centre, alone or as most of a table, vectors are in few leaves and meet the others of their group."""
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(64)
+    for share in (1.0, 0.6):
+        n = 3000
+        tight = centre + rng.standard_normal((int(n * share), 64)) * 0.02
+        x = embedding_dedup.unit(np.vstack([tight, rng.standard_normal((n - len(tight), 64))]).tolist())
+        splits = embedding_dedup.fit_splits(list(x[:: 2]))
+        for depth in (4, 14):
+            row, code = embedding_dedup.leaves_of(x, np.full(len(x), depth), splits)
+            assert np.bincount(row)[: len(tight)].max() <= 12
+            inside = row < len(tight)
+            met = np.zeros((200, len(tight)), dtype=bool)
+            for leaf in np.unique(code[inside & (row < 200)]):
+                own = row[(code == leaf) & inside]
+                met[np.ix_(own[own < 200], own)] = True
+            assert met.mean() >= 0.99
+
+
+def test_forest_splits_and_finds(spark):
+    """A label beyond a leaf is split, and hardly a link is lost."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((900, 64))
+    x = np.vstack([base, base[:300] + rng.standard_normal((300, 64)) * 0.36])
+    df = spark.createDataFrame([(k, [float(c) for c in v], 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    u = embedding_dedup.unit(x.tolist())
+    link = u @ u.T >= 0.93
+    np.fill_diagonal(link, False)
+    row, code = embedding_dedup.leaves_of(u, np.full(len(u), 4), embedding_dedup.fit_splits(list(x)))
+    assert len(np.unique(code)) > 6 * 4
+    n = np.array([r["n_links"] for r in embedding_dedup.near_duplicates(df).orderBy("vec_id").collect()])
+    assert link.sum() > 100 and (n <= link.sum(axis=1)).all() and n.sum() >= 0.99 * link.sum()
+
+
+def test_toxicity_of_few_labels(spark, docs):
+    df = docs("one two three", "four five", "", None, "word " * 200_000)
+    kind = "doc_id long, low_quality int, toxic int"
+    for rows in ([(0, 1, 1)], [(0, 1, 0), (1, 0, None)], [(0, None, 1)], [(0, 1, None), (1, 0, None)], [(0, 0, 1), (1, 1, 0), (2, 0, 0)]):
+        got = toxicity.score(df, spark.createDataFrame(rows, kind)).collect()
+        assert len(got) == 5 and all(0 <= r[c] <= 1 for r in got for c in ("p_low_quality", "p_toxic"))
+        if all(r[2] is None for r in rows):
+            assert {(r["p_toxic"], r["toxic"]) for r in got} == {(0.5, False)}
+
+
 def toxic_table(docs, spark, n=600):
     rng = random.Random(7)
     insults = ["grobnak", "zurgle", "fimpot"]
