@@ -7,8 +7,6 @@ is looked at, as a listing of that many rows does, ``most`` what is found.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,7 +14,9 @@ from pyspark.sql.window import Window
 from marlstone.functions import text as T
 from marlstone.functions import vocabulary as V
 from marlstone.functions.scalars import first_price, hours_until, once, parameter, round_half_away
+from marlstone.operators import dominance
 from marlstone.operators.weather import ladder
+from marlstone.sources import scratch
 
 
 def capped(df: DataFrame, most: int | None, *order: str) -> DataFrame:
@@ -145,58 +145,19 @@ def combinatorial(markets: DataFrame, min_edge: float = 1.0, least: float = 0.03
     return pairs.select("topic", "hi_ord", "lo_ord", F.concat_ws(" vs ", F.substring("hi_question", 1, 50), F.substring("lo_question", 1, 50)).alias("question"), "hi_price", "lo_price", round_half_away(diff, 3).alias("price_diff"), round_half_away(F.col("net"), 2).alias("net_edge"))
 
 
-def weight_below(ranks: np.ndarray, weight: np.ndarray, first: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """For each k: the weight of those of ``ranks[:first[k]]`` that are less than ``below[k]``; ranks are a permutation (wavelet matrix)."""
-    total, a, b = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64), first.astype(np.int64)
-    top = 1 << len(ranks).bit_length()
-    below = np.minimum(below, top - 1)
-    while top := top >> 1:
-        ones = (ranks & top) != 0
-        zeros, sums = (np.concatenate([[0], np.cumsum(x)]) for x in (~ones, weight[~ones]))
-        za, zb, up = zeros[a], zeros[b], (below & top) != 0
-        total += np.where(up, sums[zb] - sums[za], 0)
-        a, b = np.where(up, zeros[-1] + a - za, za), np.where(up, zeros[-1] + b - zb, zb)
-        ranks, weight = (np.concatenate([x[~ones], x[ones]]) for x in (ranks, weight))
-    return total
-
-
-def topic_violations(min_edge: float, least: float, fee: float):
-    """Of a topic's points (price, threshold, least ord, markets): those with a violation, how many, and the best."""
-
-    def run(topic: pa.Table) -> pa.Table:
-        order, price, threshold, weight = (topic.column(c).to_numpy() for c in ("ord", "price", "threshold", "n"))
-        ranked = np.lexsort((order, price))
-        rank = np.empty(len(ranked), np.int64)
-        rank[ranked] = np.arange(len(ranked))
-        by = np.argsort(threshold, kind="stable")
-        lower = np.searchsorted(threshold[by], threshold, "left")
-        # the counterparts cheap enough are the first of those ranked by price
-        cheap, end = np.zeros(len(by), np.int64), np.full(len(by), len(by))
-        while (open_ := cheap < end).any():
-            mid = (cheap + end) // 2
-            diff = price - price[ranked[np.minimum(mid, len(by) - 1)]]
-            fine = open_ & (diff > least) & (diff * 100 - fee > min_edge)
-            cheap, end = np.where(fine, mid + 1, cheap), np.where(open_ & ~fine, mid, end)
-        count = weight_below(rank[by], weight[by], lower, cheap)
-        hit = np.flatnonzero(count)
-        best = ranked[np.minimum.accumulate(rank[by])[lower[hit] - 1]]
-        columns = (threshold[hit], price[hit], order[best], count[hit], price[best])
-        return pa.table([topic.column("topic").take(pa.array(hit)), *map(pa.array, columns)], names=["topic", "threshold", "price", "lo_ord", "violations", "lo_price"])
-
-    return run
-
-
-def combinatorial_best(markets: DataFrame, min_edge: float = 1.0, least: float = 0.03, fee: float = 2.5, most: int | None = None, min_volume: float = 1000) -> DataFrame:
+def combinatorial_best(markets: DataFrame, min_edge: float = 1.0, least: float = 0.03, fee: float = 2.5, most: int | None = None, min_volume: float = 1000, held: int = dominance.HELD) -> DataFrame:
     """For each market with a pair in ``combinatorial``: how many it has as the higher threshold, and the best.
 
     The best counterpart has the lowest price, then the first place. Every market of the
-    table is compared with all of its topic in n log n steps, so no limit is needed. Markets
-    of equal threshold and price are one point with a weight; a topic's points are held by
-    one task, which is as many as it has different thresholds, times the ticks of a price.
+    table is compared with all of its topic, by ranges of thresholds and of prices (see
+    ``dominance``): no task holds a topic. Markets of equal threshold and price are one point
+    with a weight.
     """
-    able = threshold_markets(markets, most, min_volume).select("topic", "ord", F.col("price").cast("double").alias("price"), F.col("threshold").cast("double").alias("threshold"))
-    points = able.groupBy("topic", "threshold", "price").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n"))
-    found = points.groupBy("topic").applyInArrow(topic_violations(min_edge, least, fee), "topic string, threshold double, price double, lo_ord long, violations long, lo_price double")
+    able = scratch.table(threshold_markets(markets, most, min_volume).select("topic", "ord", F.col("price").cast("double").alias("price"), F.col("threshold").cast("double").alias("threshold")), "able-markets")
+    points = able.groupBy(F.col("topic").alias("grp"), F.col("threshold").alias("place"), F.col("price").alias("height")).agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n"))
+    fine = lambda diff: (diff > least) & (diff * 100 - fee > min_edge)
+    found = dominance.dominated(scratch.table(points, "points"), fine, max(least, (fee + min_edge) / 100), held)
+    found = found.select(F.col("grp").alias("topic"), F.col("place").alias("threshold"), F.col("height").alias("price"), "violations", F.col("low_height").alias("lo_price"), F.col("low_ord").alias("lo_ord"))
     rows = able.join(found, ["topic", "threshold", "price"]).select("topic", F.col("ord").alias("hi_ord"), "lo_ord", "violations", F.col("price").alias("hi_price"), "lo_price")
     diff = F.col("hi_price") - F.col("lo_price")
     return rows.withColumns({"price_diff": round_half_away(diff, 3), "net_edge": round_half_away(diff * 100 - fee, 2)})
