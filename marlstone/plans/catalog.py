@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +14,8 @@ from marlstone.functions import vocabulary as V
 from marlstone.operators import ledger, markets, strategies, weather
 from marlstone.plans import scans
 from marlstone.sources import adapters as A
-from marlstone.sources import schemas, scratch
-from marlstone.streaming import feeds
+from marlstone.sources import feed, schemas, scratch
+from marlstone.streaming import feeds, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -711,7 +712,68 @@ def stream_dedup_within(spark, sf_dir):
 
 @query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def stream_latest(spark, sf_dir):
-    return feeds.drain_latest(event_stream(spark, sf_dir), ["user_id"], ["ts", "event_id"], scratch.place(spark, "latest")).select("user_id", "event_id", "event_type", "value")
+    return stateful.drain_latest(event_stream(spark, sf_dir), ["user_id"], ["ts", "event_id"], scratch.place(spark, "latest")).select("user_id", "event_id", "event_type", "value")
+
+
+def event_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events, each told twice, in four parts."""
+    events = A.read(spark, sf_dir, "events")
+    path, n = scratch.place(spark, "events-twice"), max(4, spark.sparkContext.defaultParallelism)
+    events.unionByName(events).repartition(n, "event_type").write.parquet(path)
+    return feeds.files(spark, path, events.schema, -(-n // 4))
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def stream_first_seen(spark, sf_dir):
+    """Each event once, whatever is told again; seen ids by user."""
+    rows = stateful.first_seen(event_twice(spark, sf_dir), "user_id", "event_id", ["ts", "event_id"], 5)
+    return stateful.drain(rows, scratch.place(spark, "seen")).select("event_id", "user_id", "event_type")
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
+def stream_history(spark, sf_dir):
+    """The five newest events of each user, as the stream's state holds them."""
+    at = scratch.place(spark, "history")
+    stateful.start(stateful.first_seen(event_twice(spark, sf_dir), "user_id", "event_id", ["ts", "event_id"], 5), at).awaitTermination()
+    return stateful.held(spark, at, "newest", "list").select("list_element.user_id", "list_element.event_id", "list_element.event_type")
+
+
+@query("""SELECT event_id, user_id, event_type FROM events
+ WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) OR (event_id % 2 = 1 AND user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 1))""")
+def stream_subscription_changes(spark, sf_dir):
+    """Ids that are added while the stream goes on pass from then on: a third of the customers at first, another third before the odd events."""
+    events, at, home = A.read(spark, sf_dir, "events"), scratch.place(spark, "subscription-changes"), scratch.place(spark, "subscription-frames")
+    ids = A.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.lit(True).alias("on"))
+    for part in (0, 1):
+        events.where(f"event_id % 2 = {part}").write.mode("append").parquet(f"{home}/frames")
+        ids.where(f"user_id % 3 = {part}").write.mode("append").parquet(f"{home}/control")
+        frames, control = (feeds.files(spark, f"{home}/{name}", df.schema, 1_000_000) for name, df in (("frames", events), ("control", ids)))
+        out = stateful.drain(stateful.subscribed(frames, control, "user_id"), at)
+    return out.select("event_id", "user_id", "event_type")
+
+
+@query("SELECT event_id, user_id, event_type FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)")
+def stream_source(spark, sf_dir):
+    """Frames of a feed, of the subscribed ids alone, as the feed hands them out."""
+    home = scratch.mounted(scratch.place(spark, "feed"))
+    os.makedirs(f"{home}/ids")
+    events = A.read(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    feed.keep_log(events.withColumn("id", F.col("user_id").cast("string")), "event_id", f"file://{home}/frames", f"{home}/index", max(4, spark.sparkContext.defaultParallelism))
+    ids = A.read(spark, sf_dir, "customer").where("c_custkey % 3 = 0").join(events, F.col("c_custkey") == F.col("user_id"), "left_semi")
+    with open(f"{home}/ids/0", "w") as f:
+        f.write("\n".join(str(r["c_custkey"]) for r in ids.toLocalIterator()))  # what is subscribed
+    frames = feed.frames(spark, "events_feed", feed.Log(f"{home}/index", f"{home}/ids"))
+    body = frames.select(F.from_json("value", "event_id long, user_id long, event_type string").alias("b")).select("b.*")
+    return feeds.drain(body, scratch.place(spark, "fed"))
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY event_type")
+def stream_statistics(spark, sf_dir):
+    """Counters over a stream, kept as it goes; a batch tells what it changed, and the last told counts."""
+    at, stream = scratch.place(spark, "statistics"), event_stream(spark, sf_dir)
+    pairs = stream.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+    told = stateful.drain_changes(pairs, ["event_type", "user_id"], at)
+    return told.groupBy("event_type").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("users"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
 @query("SELECT event_id, user_id FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)")

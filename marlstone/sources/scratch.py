@@ -31,6 +31,13 @@ def place(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def mounted(path: str) -> str:
+    """The local path of one in the shared folder, where every machine mounts that; an error for other stores."""
+    if not re.match("file:|/", path):
+        raise ValueError(f"{path} is in no folder that machines mount")
+    return re.sub("^file:/*", "/", path)
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
