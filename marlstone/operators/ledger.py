@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from marlstone.functions.scalars import number_or, round_half_away
+from marlstone.sources import scratch
 
 START = 1000.0
 
@@ -83,6 +84,37 @@ def place(orders: DataFrame, account: str, start: float = START, default: float
     return sorted_.mapInArrow(_fold(float(start), least), schema)
 
 
+def place_cents(orders: DataFrame, account: str, start: float = START, default: float = 10.0, least: float = 0.5) -> DataFrame:
+    """As ``place`` for sizes in whole cents (others are rounded to them first): an account's orders may be dealt to many tasks.
+
+    A balance only falls, so as long as orders fit it is the start less a running sum. The
+    first order that does not fit takes what is left, if that is ``least`` or more, and no
+    later one can be accepted. The running sum has two levels: over ranges of the orders, and
+    inside each. An order of less than ``least`` is refused and counts for nothing.
+    """
+    cents = lambda x: (F.signum(x) * F.floor(F.abs(x) * 100 + 0.5)).cast("long")
+    rows = orders.select(F.col(account), "seq", F.col("id").cast("long").alias("id"), cents(number_or(F.col("size"), default).cast("double")).alias("__c"))
+    all_, small = int(round(start * 100)), int(round(least * 100))
+    take = F.when(F.col("__c") >= small, F.col("__c")).otherwise(F.lit(0).cast("long"))
+    order = ["seq", "id", "__c"]
+    ranged = scratch.table(rows.repartitionByRange(account, *order).withColumns({"__part": F.spark_partition_id(), "__take": take}), "orders-by-range")
+    both = Window.partitionBy("__a").orderBy("__p")
+    spans = ranged.groupBy(F.col(account).alias("__a"), F.col("__part").alias("__p")).agg(F.sum("__take").alias("__sum"))  # a row for each range of an account
+    spans = spans.select("__a", "__p", F.coalesce(F.sum("__sum").over(both.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.sum("__take").over(Window.partitionBy(account, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    same = lambda df, side: df.join(side, df[account].eqNullSafe(side["__a"]) & (df["__part"] == side["__p"])).drop("__a", "__p")
+    rest = same(ranged.withColumn("__in", F.coalesce(inside, F.lit(0))), spans).withColumn("__rest", F.lit(all_) - F.col("__before") - F.col("__in"))
+    rest = scratch.table(rest.select(account, "id", "__part", "__c", "__take", "__rest"), "orders-with-rest")
+    # what the first order that does not fit leaves: nothing, or too little for any
+    least_rest = F.min(F.when((F.col("__take") > 0) & (F.col("__rest") >= 0), F.col("__rest")))
+    ends = rest.groupBy(F.col(account).alias("__a"), F.col("__part").alias("__p")).agg(least_rest.alias("__least"))
+    ends = ends.select("__a", "__p", F.min("__least").over(Window.partitionBy("__a")).alias("__least"))
+    got = F.least("__c", "__rest")
+    accepted = (F.col("__take") > 0) & (got >= small)
+    after = F.when(F.col("__rest") < 0, F.when(F.col("__least") < small, F.col("__least")).otherwise(F.lit(0))).when(accepted, F.col("__rest") - got).otherwise(F.col("__rest"))
+    return same(rest, ends).select(account, "id", F.when(accepted, got / 100).alias("size"), accepted.alias("accepted"), (after / 100).alias("balance"))
+
+
 def _fold(start: float, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, last, balance = True, None, start

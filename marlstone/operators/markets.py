@@ -61,6 +61,40 @@ def unseen(batch: DataFrame, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
     return batch.join(seen.select(*keys).distinct(), list(keys), "left_anti")
 
 
+#: Bits of a filter of keys, at most: 16 MB to each executor, whatever the batch.
+MOST_BITS = 1 << 27
+_PAGE = 32_768
+
+
+def key_place(keys: Sequence[str], bits: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(bits))
+
+
+def key_bits(rows: DataFrame, keys: Sequence[str], bits: int) -> DataFrame:
+    """(page, bitmap): a filter of the rows' keys, a page of 4 kB for each part that has any; pages add up by aggregation."""
+    at = key_place(keys, bits)
+    return rows.select(F.floor(at / _PAGE).cast("long").alias("page"), (at % _PAGE).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def possible(rows: DataFrame, pages: DataFrame, keys: Sequence[str], bits: int) -> DataFrame:
+    """Rows whose key may be in the filter: all that are, and few others. Nothing is shuffled."""
+    at = key_place(keys, bits)
+    placed = rows.withColumns({"__page": F.floor(at / _PAGE).cast("long"), "__bit": (at % _PAGE).cast("int")})
+    found = placed.join(F.broadcast(pages.select(F.col("page").alias("__page"), "bitmap")), "__page")  # MOST_BITS at most
+    byte = F.conv(F.hex(F.substring(F.col("bitmap"), F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.where(byte.bitwiseAND(F.expr("shiftleft(1, __bit % 8)")) != 0).drop("__page", "__bit", "bitmap")
+
+
+def unseen_of_many(batch: DataFrame, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``unseen`` for a seen side that is far larger than the batch: of it only rows that the batch's key filter lets through are shuffled.
+
+    The batch is read three times: for its size, its filter, and itself.
+    """
+    wanted = max(batch.count(), 1) * 16
+    bits = min(MOST_BITS, max(_PAGE, 1 << (wanted - 1).bit_length()))
+    return unseen(batch, possible(seen.select(*keys), key_bits(batch, keys, bits), keys, bits), keys)
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``new`` replaces rows of equal key and adds the rest. Write the result to a new path and swap."""
     return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from marlstone.functions import text as T
 from marlstone.functions import vocabulary as V
-from marlstone.functions.scalars import first_price, hours_until, once, parameter, round_half_away
+from marlstone.functions.scalars import first_price, first_text, hours_until, once, parameter, round_half_away
 from marlstone.operators import dominance
 from marlstone.operators.weather import ladder
 from marlstone.sources import scratch
@@ -32,7 +32,8 @@ def baskets(legs: DataFrame, min_legs: int, buffer: float, fee_per_leg: float, m
     """Groups whose YES prices sum to less than 1: (group_key, question, outcomes, total_cost, raw_edge, net_edge, legs).
 
     legs: group_key, ord, yes_price, question. Legs without a price count for the group's
-    size, not for its cost. Sums are exact in any order where prices are binary fractions.
+    size, not for its cost. Sums are exact in any order where prices are binary fractions. A
+    first leg without a question is named by the group's key.
     """
     valid = F.col("yes_price").isNotNull() & ~F.isnan("yes_price")
     leg = F.when(valid, F.struct("ord", "question", "yes_price"))
@@ -44,7 +45,7 @@ def baskets(legs: DataFrame, min_legs: int, buffer: float, fee_per_leg: float, m
     net = raw - F.lit(buffer) - F.col("outcomes") * F.lit(fee_per_leg)
     kept = groups.where((F.col("size") >= min_legs) & (F.col("outcomes") >= min_legs)).withColumns({"raw": raw, "net": net}).where(F.col("net") > min_edge)
     return capped(kept, most, "first").select(
-        "group_key", F.substring("question", 1, 80).alias("question"), "outcomes", round_half_away(F.col("total"), 4).alias("total_cost"), F.lit(1.0).alias("payout"), round_half_away(F.col("raw"), 2).alias("raw_edge"),
+        "group_key", F.substring(first_text(F.col("question"), F.col("group_key").cast("string")), 1, 80).alias("question"), "outcomes", round_half_away(F.col("total"), 4).alias("total_cost"), F.lit(1.0).alias("payout"), round_half_away(F.col("raw"), 2).alias("raw_edge"),
         round_half_away(F.col("net"), 2).alias("net_edge"), F.lit("BUY ALL YES").alias("direction"), F.array_join(F.transform("legs", lambda x: x["question"]), ",").alias("legs"),
     )
 

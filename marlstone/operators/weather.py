@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from marlstone.functions import text as T
 from marlstone.functions import vocabulary as V
 from marlstone.functions.scalars import clamp, number_or, once, round_half_away, to_fahrenheit
+from marlstone.operators.names import containing
 
 FEE = 1.25
 MOST_SPREAD = 15
@@ -63,12 +64,15 @@ def ensemble(rows: DataFrame, keys: list[str]) -> DataFrame:
 def match_markets(stations: DataFrame, markets: DataFrame, most: int | None = MARKETS_PER_STATION) -> DataFrame:
     """The first markets in order whose question names the station, all with None; ``stations``: city, station_id, alias rows.
 
-    The stations are a small table of fixed values (at most MOST_ALIASES rows): they become
-    one condition each, and every market is looked at once, in generated code.
+    Up to MOST_ALIASES names become one condition each, and every market is looked at once, in
+    generated code; more are found by a join on their rarest pieces (see ``names``). The
+    names are lower case.
     """
     rows = stations.select("city", "station_id", "alias").limit(MOST_ALIASES + 1).collect()
     if len(rows) > MOST_ALIASES:
-        raise ValueError(f"over {MOST_ALIASES} names of stations")
+        lowered = markets.withColumn("__low", F.lower("question"))
+        found = containing(lowered, "__low", stations.select("city", "station_id", F.col("alias").alias("__alias")), "__alias")
+        return first_of_station(found.drop("__low", "__alias").dropDuplicates(["ord", "station_id"]), most)
     names: dict[tuple, list[str]] = {}
     for r in rows:
         names.setdefault((r["city"], r["station_id"]), []).append(r["alias"])
@@ -78,6 +82,10 @@ def match_markets(stations: DataFrame, markets: DataFrame, most: int | None = MA
     found = [F.when(low.rlike(any_of(words)), F.struct(F.lit(city).alias("city"), F.lit(station).alias("station_id"))) for (city, station), words in names.items()]
     some = once(markets, "__low", F.lower("question")).where(low.rlike(any_of(sum(names.values(), []))))
     named = some.withColumn("s", F.explode(F.array_compact(F.array(*found)))).select("*", "s.city", "s.station_id").drop("s", "__low")
+    return first_of_station(named, most)
+
+
+def first_of_station(named: DataFrame, most: int | None) -> DataFrame:
     if most is None:
         return named
     place = F.row_number().over(Window.partitionBy("station_id").orderBy("ord"))

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from marlstone.functions import scalars as S
 from marlstone.functions import text as T
 from marlstone.functions import vocabulary as V
-from marlstone.operators import ledger, markets, strategies, weather
-from marlstone.plans import scans
+from marlstone.operators import ledger, markets, names, strategies, weather
+from marlstone.plans import cycles, scans
 from marlstone.sources import adapters as A
-from marlstone.sources import feed, schemas, scratch
+from marlstone.sources import feed, merged, schemas, scratch
 from marlstone.streaming import feeds, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -402,16 +402,22 @@ def source_diag(spark, sf_dir):
     return markets.source_status([(name, listed.where(test)) for name, test in SLICES])
 
 
-@query("SELECT * FROM (VALUES ('BTC', 250000.0::DOUBLE), ('ETH', 120500.0::DOUBLE), ('SOL', 60000.0::DOUBLE)) t(symbol, spot)")
+@query("""WITH a AS (SELECT c_nationkey AS k, max(c_acctbal) AS spot FROM customer WHERE c_nationkey % 3 <> 0 GROUP BY 1), b AS (SELECT s_nationkey AS k, max(s_acctbal) AS spot FROM supplier GROUP BY 1)
+SELECT n_name AS symbol, coalesce(a.spot, b.spot) AS spot FROM nation LEFT JOIN a ON a.k = n_nationkey LEFT JOIN b ON b.k = n_nationkey WHERE coalesce(a.spot, b.spot) <> 0""")
 def spot_fallback(spark, sf_dir):
-    wanted = spark.createDataFrame([(s,) for s, _ in V.SYMBOLS], "symbol string")
-    second = spark.createDataFrame([("BTC", 1.0), ("ETH", 120500.0), ("XRP", 0.0)], "symbol string, spot double")
-    return markets.spot_prices(wanted, A.spot(spark).where(F.col("symbol").isin("BTC", "SOL")), second)
+    """Nations as symbols, priced by their customers, and where those do not quote by their suppliers."""
+    nations = A.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("symbol"))
+    first = A.read(spark, sf_dir, "customer").where("c_nationkey % 3 <> 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.max("c_acctbal").alias("spot"))
+    second = A.read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.max("s_acctbal").alias("spot"))
+    return markets.spot_prices(nations, first.join(nations, "k"), second.join(nations, "k"))
 
 
-@query("SELECT false AS all_ok, 3::BIGINT AS sources")
+@query("SELECT bool_and(n > 0) AS all_ok, count(*) AS sources FROM (SELECT count(o_custkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)")
 def probe_all_ok(spark, sf_dir):
-    return markets.all_ok(source_diag(spark, sf_dir))
+    """Customers as sources: fine where they have orders."""
+    customers, orders = A.read(spark, sf_dir, "customer").select("c_custkey"), A.read(spark, sf_dir, "orders").select("o_custkey")
+    status = customers.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg((F.count("o_custkey") > 0).alias("ok"))
+    return markets.all_ok(status)
 
 
 @query(UNION + "SELECT type, CASE type WHEN 'geopolitics' THEN 0 WHEN 'negrisk' THEN 1 WHEN 'economics' THEN 2 WHEN 'crypto' THEN 3 WHEN 'weather' THEN 4 ELSE 5 END AS display_rank, count(*) AS n FROM u GROUP BY ALL")
@@ -425,15 +431,28 @@ def running_counters(spark, sf_dir):
     return markets.running_counts(cycles, "day", "scanned", "edges")
 
 
-# --- tables --------------------------------------------------------------------------------
+@query(f"""WITH {MARKETS}, k AS (SELECT DISTINCT '$' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS name FROM orders WHERE o_orderkey % 7 = 0)
+SELECT ord, name FROM m JOIN k ON contains(question, name)""")
+def name_matches(spark, sf_dir):
+    """Questions that contain one of very many names: the prices of every seventh market."""
+    listed = A.markets(spark, sf_dir).select("ord", "question")
+    wanted = A.read(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.concat(F.lit("$"), F.floor("o_totalprice").cast("long").cast("string")).alias("name")).distinct()
+    return names.containing(listed, "question", wanted, "name").select("ord", "name")
 
-UPDATES = [("min_edge", "2.5"), ("max_position", "75"), ("unknown", "1")]
 
+# --- tables --------------------------------------------------------------------------------
 
-@query("SELECT * FROM (VALUES ('paper_balance', '1000'), ('paper_enabled', 'true'), ('live_enabled', 'false'), ('min_edge', '2.5'), ('max_position', '75'), ('scan_active', 'true')) t(key, value)")
+@query("""SELECT c_custkey, c_name, c_acctbal + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS c_acctbal FROM customer WHERE c_custkey % 7 <> 0
+ UNION ALL SELECT -c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 11 = 0 AND c_custkey > 0""")
 def settings_upsert(spark, sf_dir):
-    changed = spark.createDataFrame(UPDATES, schemas.SETTINGS).where(F.col("key").isin([k for k, _ in V.SETTINGS]))
-    return markets.upsert(schemas.default_settings(spark), changed, ["key"])
+    """A keyed table that changes by merging on read: some keys change, some are new, some go."""
+    held = A.read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    at = scratch.place(spark, "keyed")
+    store = merged.Table(spark, at, held.schema, ["c_custkey"], buckets=16)
+    store.upsert(held)
+    store.upsert(held.where("c_custkey % 5 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1).unionByName(held.where("c_custkey % 11 = 0 and c_custkey > 0").withColumn("c_custkey", -F.col("c_custkey"))))
+    store.delete(held.where("c_custkey % 7 = 0").select("c_custkey"))
+    return store.read()
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE 'new' END AS c_name FROM customer")
@@ -448,6 +467,13 @@ def anti_seen(spark, sf_dir):
     return markets.unseen(rows.where("event_id % 2 = 1"), rows.where("event_id % 2 = 0"), ["user_id", "dollars"]).select("event_id", "user_id", "event_type")
 
 
+@query(SQL["anti_seen"])
+def anti_seen_many(spark, sf_dir):
+    """The same by a filter of the batch's keys, which lets few of the seen rows reach the join."""
+    rows = A.read(spark, sf_dir, "events").withColumn("dollars", F.floor("value"))
+    return markets.unseen_of_many(rows.where("event_id % 2 = 1"), rows.where("event_id % 2 = 0"), ["user_id", "dollars"]).select("event_id", "user_id", "event_type")
+
+
 # --- ledger --------------------------------------------------------------------------------
 
 TRADES = f"""t AS (SELECT event_id AS id, user_id, ts, value / 100 AS size, (json_extract_string(props, '$.k')::DOUBLE + 1) / 101 AS price, event_id % 2 = 0 AS yes, event_id % 3 = 0 AS resolved_yes, event_id % 5 = 0 AS is_open FROM events WHERE event_type = 'purchase'),
@@ -485,6 +511,17 @@ def ledger_place(spark, sf_dir):
     return ledger.place(orders, "user_id")
 
 
+@query(f"""WITH RECURSIVE {TRADES}, o AS (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS n, CAST(floor(size * 50 * 100 + 0.5) AS BIGINT) AS c FROM t),
+ f(user_id, id, n, size, accepted, balance) AS (SELECT user_id, NULL::BIGINT, 0::BIGINT, NULL::BIGINT, false, 100000::BIGINT FROM (SELECT DISTINCT user_id FROM o)
+  UNION ALL SELECT f.user_id, o.id, o.n, CASE WHEN least(c, f.balance) >= 50 THEN least(c, f.balance) END, least(c, f.balance) >= 50, f.balance - CASE WHEN least(c, f.balance) >= 50 THEN least(c, f.balance) ELSE 0 END
+   FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1)
+SELECT user_id, id, size / 100 AS size, accepted, balance / 100 AS balance FROM f WHERE n > 0""")
+def ledger_place_cents(spark, sf_dir):
+    """Sizes in whole cents: running sums in two levels, so that an account is no one task's."""
+    orders = A.trades(spark, sf_dir).select("user_id", F.struct("ts", "id").alias("seq"), "id", (F.col("size") * 50).alias("size"))
+    return ledger.place_cents(orders, "user_id")
+
+
 @query(f"""WITH {TRADES}, s AS (SELECT count(*) AS total, count(*) FILTER (status = 'open') AS open, count(*) FILTER (status <> 'open') AS closed, count(*) FILTER (status = 'won') AS won,
   sum(CAST(sign(pnl) * floor(abs(pnl) * 100 + 0.5) AS BIGINT)) FILTER (status <> 'open') / 100 AS pnl FROM r)
 SELECT 1000.0::DOUBLE AS paper_balance, total AS total_trades, open AS open_trades, closed AS closed_trades, won AS won_trades, closed - won AS lost_trades, {rnd('(won / closed * 100)', 1)} AS win_rate, {rnd('pnl', 2)} AS total_pnl,
@@ -546,14 +583,19 @@ def parameter_defaults(spark, sf_dir):
     return A.read(spark, sf_dir, "events").select("event_id", S.number_or(S.number_prefix(given), 1.5).alias("min_edge"))
 
 
-@query("SELECT * FROM (VALUES ('New York', 'KLGA', 'F')) t(city, station_id, unit)")
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_suppkey = (SELECT max(s_suppkey) FROM supplier)")
 def station_by_id(spark, sf_dir):
-    return markets.lookup(schemas.stations(spark), "stationId", "KLGA").select("city", F.col("stationId").alias("station_id"), "unit")
+    """One row by its id: the last supplier."""
+    rows = A.read(spark, sf_dir, "supplier")
+    last = rows.agg(F.max("s_suppkey")).first()[0]  # one number
+    return markets.lookup(rows, "s_suppkey", last).select("s_suppkey", "s_name", "s_acctbal")
 
 
-@query("SELECT '1.5' AS value")
+@query("SELECT value FROM (SELECT c_name AS key, c_mktsegment AS value FROM customer) WHERE key = (SELECT min(c_name) FROM customer)")
 def setting_value(spark, sf_dir):
-    return markets.lookup(schemas.default_settings(spark), "key", "min_edge").select("value")
+    """The value of one key: the first customer's segment."""
+    rows = A.read(spark, sf_dir, "customer").select(F.col("c_name").alias("key"), F.col("c_mktsegment").alias("value"))
+    return markets.lookup(rows, "key", rows.agg(F.min("key")).first()[0]).select("value")
 
 
 @query(f"WITH {TRADES} SELECT id, size, status FROM r WHERE id = (SELECT max(id) FROM t)")
@@ -681,6 +723,29 @@ def forecast_flatten(spark, sf_dir):
     return weather.flatten_forecast(nested).withColumnRenamed("stationId", "station")
 
 
+CYCLE_SIGNALS = without(CRYPTO, " QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ord) <= 8") + f"""SELECT symbol, ord, CASE WHEN net > 0 THEN 'BUY YES' ELSE 'BUY NO' END AS direction, {rnd('price', 3)} AS price, {rnd('net', 2)} AS net_edge FROM e WHERE abs(net) > 3.0"""
+
+
+@query(f"""WITH RECURSIVE sig AS ({CYCLE_SIGNALS}), s AS (SELECT *, ord % 3 AS batch FROM sig),
+ o AS (SELECT batch, count(DISTINCT ord) AS opportunities FROM s GROUP BY batch), t AS (SELECT batch, least(count(*), 3) AS n FROM s WHERE abs(net_edge) >= 2.0 GROUP BY batch),
+ c(batch, opportunities, trades, size, balance) AS (SELECT -1::BIGINT, 0::BIGINT, 0::BIGINT, 0.0::DOUBLE, 1000.0::DOUBLE
+  UNION ALL SELECT batch + 1, coalesce((SELECT opportunities FROM o WHERE o.batch = c.batch + 1), 0), coalesce((SELECT n FROM t WHERE t.batch = c.batch + 1), 0), {rnd('least(50.0, balance * 0.02)', 2)},
+   round(balance - coalesce((SELECT n FROM t WHERE t.batch = c.batch + 1), 0) * {rnd('least(50.0, balance * 0.02)', 2)}, 2) FROM c WHERE batch < 2)
+SELECT batch, opportunities, trades, CASE WHEN trades > 0 THEN size END AS size, balance FROM c WHERE batch >= 0""")
+def cycle_commits(spark, sf_dir):
+    """Three cycles over thirds of the markets, the second handed over twice; what each has committed."""
+    store = cycles.Store(spark, scratch.place(spark, "cycles"))
+    found = strategies.crypto_lag(A.markets(spark, sf_dir), A.spot(spark), A.as_of(), None).withColumns({"type": F.lit("crypto"), "market_id": F.col("ord"), "strategy": F.lit("Crypto Price Lag")})
+    for batch in (0, 1, 1, 2):
+        cycles.run(store, batch, found.where(f"ord % 3 = {batch}"), A.as_of())
+    # an opportunity's id begins with its type and market
+    opportunities = store.read("opportunities").groupBy((F.col("marketId").cast("long") % 3).alias("batch")).agg(F.count(F.lit(1)).alias("opportunities"))
+    trades = store.read("trades").groupBy("batch").agg(F.count(F.lit(1)).alias("trades"), F.max("size").alias("size"))
+    balances = spark.createDataFrame([(b, float(store.settings(b + 1)["paper_balance"])) for b in store.commits.numbers()], "batch long, balance double")
+    rows = balances.join(opportunities, "batch", "left").join(trades, "batch", "left")
+    return rows.select("batch", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("opportunities", "trades")), "size", "balance")
+
+
 # --- streams -------------------------------------------------------------------------------
 
 
