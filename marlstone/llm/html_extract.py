@@ -53,6 +53,10 @@ CLOSE_ANY = frozenset("html body article main div section".split())
 INNER_FENCE = frozenset("article main body".split())
 #: Words that classes and ids are made of. A name counts if all its words are here and one is not PLAIN.
 CLEAR = frozenset("ad ads adbox adsbygoogle advert adverts advertisement advertisements advertising sponsor sponsored sponsors sidebar nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices newsletter subscribe popup modal comment comments commentlist disqus pagination pager skip skiplink masthead".split())
+#: Of those, words that an article's own section may be about: alone they say as little as VAGUE ones there.
+TOPICS = frozenset("cookie cookies consent gdpr notice notices newsletter subscribe popup modal pagination navigation sponsor sponsors advertising".split())
+#: Alone inside an article, a list of comments or one of several.
+TALK = frozenset("comment comments".split())
 #: Inside an article these say something in company of a PLAIN word, alone only of an element that is mostly links.
 VAGUE = frozenset("promo promos promotion promotions banner menu alert overlay share sharing social related recommended respond footer widget copyright subscription".split())
 LINKS_ONLY = frozenset("header hidden".split())
@@ -64,10 +68,11 @@ RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for na
 
 
 class Node:
-    __slots__ = ("tag", "up", "own", "vague", "main", "holds_main", "in_main", "inner", "parts", "size", "linked", "headed", "key", "link", "depth", "first", "last", "gone")
+    __slots__ = ("tag", "up", "own", "vague", "talk", "talks", "main", "holds_main", "in_main", "inner", "parts", "size", "linked", "headed", "key", "link", "depth", "first", "last", "gone")
 
-    def __init__(self, tag: str, up: Node | None, bad: bool, main: bool, vague: bool = False):
-        self.tag, self.up, self.own, self.vague = tag, up, bad, vague
+    def __init__(self, tag: str, up: Node | None, bad: bool, main: bool, vague: bool = False, talk: bool = False):
+        self.tag, self.up, self.own, self.vague, self.talk = tag, up, bad, vague, talk
+        self.talks: Node | None = None  # an element inside that is named as a comment, if it is not next to another
         self.main, self.holds_main = main, main
         self.in_main = main or (up is not None and up.in_main)
         self.inner = self if main else up.inner if up is not None else None
@@ -79,9 +84,9 @@ class Node:
 
 
 @lru_cache(maxsize=1 << 14)
-def named(names: str, in_main: bool) -> tuple[bool, bool]:
-    """Whether class and id name boilerplate, and whether they do if the element is mostly links."""
-    clear = vague = False
+def named(names: str, in_main: bool) -> tuple[bool, bool, bool]:
+    """Whether class and id name boilerplate, whether they do if the element is mostly links, and if it is one of several comments or holds some."""
+    clear = vague = talk = False
     for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower().split():
         words = re.findall(r"[^\W\d_]+", name)
         if "".join(words) in CLEAR:
@@ -89,18 +94,20 @@ def named(names: str, in_main: bool) -> tuple[bool, bool]:
         if not words or not all(w in CLEAR or w in VAGUE or w in LINKS_ONLY or w in PLAIN for w in words):
             continue
         telling = [w for w in words if w not in PLAIN]
-        if any(w in CLEAR for w in telling) or (telling and not in_main):
+        if in_main and len(words) == 1 and words[0] in TOPICS | TALK:
+            vague, talk = True, talk or words[0] in TALK
+        elif any(w in CLEAR for w in telling) or (telling and not in_main):
             clear = True
         elif any(w in VAGUE for w in telling) and len(words) > 1:
             clear = True
         elif telling:
             vague = True
-    return clear, vague
+    return clear, vague, talk
 
 
-def marks(tag: str, raw: str, up: Node) -> tuple[bool, bool, bool]:
-    """Whether an element marks itself as boilerplate, as the main part, and as boilerplate if it is mostly links."""
-    main, vague = tag in ("article", "main"), False
+def marks(tag: str, raw: str, up: Node) -> tuple[bool, bool, bool, bool]:
+    """Whether an element marks itself as boilerplate, as the main part, and as boilerplate if it is mostly links, or if it is or holds comments."""
+    main, vague, talk = tag in ("article", "main"), False, False
     bad = tag in DROPPED or (tag == "header" and not up.in_main)
     if raw and not raw.isspace():
         found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)}
@@ -111,9 +118,9 @@ def marks(tag: str, raw: str, up: Node) -> tuple[bool, bool, bool]:
         if main or tag in ("html", "body"):
             bad = bool(main and tag == "article" and COMMENTS.search(names))
         elif tag not in HEADINGS:
-            clear, vague = named(names, up.in_main)
+            clear, vague, talk = named(names, up.in_main)
             bad = bad or hidden or role in ROLES or clear
-    return bad, main and not bad, vague
+    return bad, main and not bad, vague, talk
 
 
 def parse(page: str) -> tuple[Node, list[Node], list[tuple[Node, str | None]]]:
@@ -128,7 +135,11 @@ def parse(page: str) -> tuple[Node, list[Node], list[tuple[Node, str | None]]]:
             x, up = node, node.up
             open_[x.tag].pop()
             x.last = len(stream)
-            x.own = x.own or (x.vague and 2 * x.linked >= x.size)
+            x.own = x.own or (x.vague and 2 * x.linked >= x.size) or (x.talk and x.talks is not None)
+            if x.talk and up.talks is not None and up.talks.up is up:
+                x.own = up.talks.own = True  # comments side by side
+            if x.talk or x.talks is not None:
+                up.talks = x if x.talk else up.talks or x.talks
             digest = xxhash.xxh64_intdigest("\x01".join([x.tag, *x.parts]))
             x.key = digest - (1 << 63)
             up.parts.append(f"\x02{digest:x}")
@@ -195,10 +206,10 @@ def parse(page: str) -> tuple[Node, list[Node], list[tuple[Node, str | None]]]:
         if tag == "body" and (head := open_one(("head",), ())) is not None:
             close(head)
         raw = m[3] or m[6] or ""
-        bad, main, vague = marks(tag, raw, node)
+        bad, main, vague, talk = marks(tag, raw, node)
         if tag in BLOCK:
             stream.append((node, None))
-        node = Node(tag, node, bad, main, vague)
+        node = Node(tag, node, bad, main, vague, talk)
         node.first = len(stream)
         nodes.append(node)
         open_.setdefault(tag, []).append(node)

@@ -46,7 +46,7 @@ def remove_lines(docs: DataFrame, min_sites: int = 5, doc_id: str = "doc_id", te
     """``docs`` with cross-site boilerplate lines taken out of ``text``, and ``n_lines``, ``n_removed``.
 
     Lines are compared without the white space around them; lines without a word are
-    never counted or removed. A null site is one site of its own, a null text stays null
+    never counted or removed. Null and empty sites are one site, a null text stays null
     (no lines), and rows with a null id keep their text. Rows that repeat an id and a text are
     the one document that they are; other texts of that id have lines of their own. Other
     columns stay as they are. A text of any length is one row; its lines are one row each.

@@ -67,6 +67,27 @@ def test_names_inside_the_article(inner, want):
     assert html_extract.main_text(f"<main><p>a</p>{inner}</main>", set()).split("\n") == ["a", want][: 1 + bool(want)]
 
 
+@pytest.mark.parametrize("name", ['id="cookies"', 'id="pagination"', 'id="comments"', 'id="navigation"', 'class="modal"', 'class="newsletter"', 'class="comment"'])
+def test_sections_of_an_article_about_such_things(name):
+    inner = f"<section {name}><h2>Title</h2><p>Mix butter and sugar.</p></section>"
+    assert html_extract.main_text(f"<article><p>a</p>{inner}</article>", set()) == "a\nTitle\nMix butter and sugar."
+    assert html_extract.main_text(f"<article><p>a</p><div {name}><a href=1>one</a> <a href=2>two</a></div></article>", set()) == "a"
+    assert html_extract.main_text(f"<p>a</p>{inner}", set()) == "a"
+
+
+def test_reader_comments_inside_the_main_part():
+    one, kept = '<div class="comment"><b>Ann</b><p>Nice.</p></div>', "<p>a</p>"
+    for talk in (f'<section id="comments"><h2>2 comments</h2>{one}{one}</section>', f'<div class="comments"><ul><li class="comment">x</ul></div>', one + one, '<div class="comment-list"><p>x</p></div>', f'<div id="comments"><div><div class="comment">x</div></div></div>'):
+        assert html_extract.main_text(f"<main>{kept}{talk}</main>", set()) == "a"
+
+
+def test_counts_change_article_pages(spark):
+    """Sections that a site repeats in its articles go by the counts, whatever they are called."""
+    box = '<section id="cookies"><p>We use cookies, says every page.</p></section>'
+    rows = [(k, "http://a.example/", f"<article><h1>T {k}</h1><p>own {k}</p>{box}</article>") for k in range(6)] + [(9, "http://b.example/", f"<article><h1>T</h1><p>own</p>{box}</article>")]
+    assert texts_of(spark, rows) == [f"T {k}\nown {k}" for k in range(6)] + ["T\nown\nWe use cookies, says every page."]
+
+
 def test_long_and_broken_pages():
     n = 100_000
     began = time.time()
