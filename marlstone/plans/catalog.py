@@ -467,6 +467,15 @@ def anti_seen(spark, sf_dir):
     return markets.unseen(rows.where("event_id % 2 = 1"), rows.where("event_id % 2 = 0"), ["user_id", "dollars"]).select("event_id", "user_id", "event_type")
 
 
+@query("""SELECT n_name AS key, coalesce(v, 'none') AS value FROM nation LEFT JOIN (SELECT c_nationkey AS k, min(c_name) AS v FROM customer WHERE c_acctbal > 9000 GROUP BY 1) ON k = n_nationkey""")
+def seed_defaults(spark, sf_dir):
+    """Settings, one for each nation with a rich customer, and defaults for those that are not set; what is set stays."""
+    nations = A.read(spark, sf_dir, "nation")
+    rich = A.read(spark, sf_dir, "customer").where("c_acctbal > 9000").groupBy("c_nationkey").agg(F.min("c_name").alias("value"))
+    held = rich.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("key"), "value")
+    return markets.insert_or_ignore(held, nations.select(F.col("n_name").alias("key"), F.lit("none").alias("value")), ["key"])
+
+
 @query(SQL["anti_seen"])
 def anti_seen_many(spark, sf_dir):
     """The same by a filter of the batch's keys, which lets few of the seen rows reach the join."""
@@ -780,6 +789,19 @@ def stream_latest(spark, sf_dir):
     return stateful.drain_latest(event_stream(spark, sf_dir), ["user_id"], ["ts", "event_id"], scratch.place(spark, "latest")).select("user_id", "event_id", "event_type", "value")
 
 
+@query(SQL["stream_latest"])
+def stream_polled(spark, sf_dir):
+    """The same while the stream runs: a reader polls the state, which no batch has to wait for."""
+    at = scratch.place(spark, "polled")
+    running = stateful.start(stateful.latest(event_stream(spark, sf_dir), ["user_id"], ["ts", "event_id"]), at, "update", every="1 second")
+    try:
+        running.processAllAvailable()
+        seen = stateful.held(spark, at, "last").select("value.*").select("user_id", "event_id", "event_type", "value")
+        return scratch.table(seen, "polled-rows")
+    finally:
+        running.stop()
+
+
 def event_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events, each told twice, in four parts."""
     events = A.read(spark, sf_dir, "events")

@@ -67,6 +67,15 @@ def write_snapshot(df: DataFrame, path: str, version: int | None = None) -> int:
     return version
 
 
+def prune_snapshot(spark: SparkSession, path: str, keep: int) -> int:
+    """Remove all but the last ``keep`` complete versions; how many went. Readers of older ones must be done."""
+    old = versions(spark, path)[:-keep]
+    for v in old:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{v}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(old)
+
+
 def listings(bodies: DataFrame, value: str = "value", item: str = "markets") -> DataFrame:
     """Markets of JSON response bodies: an array, or an object that holds one in data or in ``item``.
 

@@ -59,8 +59,10 @@ def drain(stream: DataFrame, at: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
-def merging(schema, at: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Sink:
-    """A batch writer that keeps a snapshot under ``at``: each batch merges into the version before it.
+def merging(schema, at: str, merge: Callable[[DataFrame, DataFrame], DataFrame], keep: int = 3) -> Sink:
+    """A batch writer that keeps a snapshot under ``at``: each batch merges into the version before it; ``keep`` versions stay.
+
+    For states of a few rows: each batch writes the whole. See ``stateful`` for large ones.
 
     The version has the number of the batch, so a batch that is repeated after a failure
     starts from the same snapshot and gives the same one.
@@ -69,6 +71,7 @@ def merging(schema, at: str, merge: Callable[[DataFrame, DataFrame], DataFrame])
     def write(batch: DataFrame, epoch: int) -> None:
         old = schemas.read_snapshot(batch.sparkSession, f"{at}/state", schema, before=epoch)
         schemas.write_snapshot(merge(old, batch), f"{at}/state", epoch)
+        schemas.prune_snapshot(batch.sparkSession, f"{at}/state", keep)
 
     return write
 
