@@ -126,21 +126,16 @@ class Chunk:
             before[k:] = self.tokens[:-k] if k < len(out) else before[k:]
             before[place < k] = START
             out = textkit.scramble(out + before * np.uint64(0xBF58476D1CE4E5B9 + 2 * k))
-        return out if order == 1 else out >> np.uint64(16) << np.uint64(16)
+        return out
 
 
 def pack_hashes(h: np.ndarray, order: int) -> bytes:
-    """Eight bytes each for words, the upper six for longer n-grams."""
-    return h.tobytes() if order == 1 else np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+    """Eight bytes each, for any order."""
+    return h.tobytes()
 
 
 def unpack_hashes(raw: bytes, order: int) -> np.ndarray:
-    if order == 1:
-        return np.frombuffer(raw, dtype=np.uint64)
-    upper = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
-    out = np.zeros((len(upper), 8), dtype=np.uint8)
-    out[:, 2:] = upper
-    return out.reshape(-1).view(np.uint64)
+    return np.frombuffer(raw, dtype=np.uint64)
 
 
 def squeeze(x: np.ndarray) -> bytes:
