@@ -393,6 +393,25 @@ def type_breakdown(spark, sf_dir):
     return scans.breakdown(cycle_signals(spark, sf_dir))
 
 
+WHOLE = [("economics", "economics_flags", "ord", "0.0::DOUBLE", "''"), ("geopolitics", "geopolitics_expiring", "ord", "net_edge", "direction"), ("negrisk", "negrisk_rebalance", "group_key", "net_edge", "direction"),
+         ("crypto", "crypto_lag_all", "ord", "net_edge", "direction"), ("combinatorial", "combinatorial_best", "hi_ord", "net_edge", "''")]
+UNION_ALL = " UNION ALL ".join(f"SELECT '{kind}' AS type, '{dict(scans.STRATEGIES)[kind]}' AS strategy, {key} AS key, {net} AS net_edge, {side} AS direction FROM ({SQL[name]})" for kind, name, key, net, side in WHOLE)
+
+
+def whole_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.all_signals(A.legs(spark, sf_dir), scans.listing_table(A.markets(spark, sf_dir)), A.spot(spark), A.as_of())
+
+
+@query(UNION_ALL)
+def strategy_union_all(spark, sf_dir):
+    return whole_signals(spark, sf_dir)
+
+
+@query(f"SELECT type, CASE type WHEN 'geopolitics' THEN 0 WHEN 'negrisk' THEN 1 WHEN 'economics' THEN 2 WHEN 'crypto' THEN 3 WHEN 'weather' THEN 4 ELSE 5 END AS display_rank, count(*) AS n FROM ({UNION_ALL}) GROUP BY ALL")
+def type_breakdown_all(spark, sf_dir):
+    return scans.for_display(whole_signals(spark, sf_dir)).groupBy("type", "display_rank").agg(F.count(F.lit(1)).alias("n"))
+
+
 SLICES = (("listing", "true"), ("events", "ord % 2 = 0"), ("keyword", "ord < 0"))
 
 

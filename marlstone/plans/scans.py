@@ -67,6 +67,19 @@ def all_strategies(legs: DataFrame, listed: DataFrame, spot: DataFrame, as_of: C
     })
 
 
+def all_signals(legs: DataFrame, listed: DataFrame, spot: DataFrame, as_of: Column) -> DataFrame:
+    """Every strategy over its whole table: (type, strategy, key, net_edge, direction), the key a market's or group's; absent numbers are 0, absent texts empty.
+
+    In place of the first markets of a symbol and the first listed ones of a topic all are
+    looked at; of the pairs of a market the best.
+    """
+    signals = strategy_union({
+        "economics": strategies.economics(listed, None), "geopolitics": strategies.geopolitics(listed, as_of, None), "negrisk": strategies.negrisk(legs, None).withColumnRenamed("group_key", "ord"),
+        "crypto": strategies.crypto_lag(listed, spot, as_of, None), "combinatorial": strategies.combinatorial_best(listed).withColumnRenamed("hi_ord", "ord"),
+    })
+    return signals.select("type", "strategy", F.col("ord").alias("key"), number_or(F.col("net_edge"), 0.0).alias("net_edge"), text_or(F.col("direction"), "").alias("direction"))
+
+
 def listing_table(listed: DataFrame) -> DataFrame:
     """The listing as a table with its price parsed, for the several strategies that read it."""
     return scratch.table(strategies.with_listed_price(listed).drop("outcome_prices"), "listing")
