@@ -16,9 +16,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from marlstone.streaming import feeds
 
-#: The store that holds state key by key; and no batches without rows, which times to live would ask for without end.
+#: The store that holds state key by key, which saves a batch's changes and not all it holds; and no batches without
+#: rows, which times to live would ask for without end.
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
@@ -26,14 +28,14 @@ SETTINGS = {
 @contextmanager
 def keyed_store(spark: SparkSession) -> Iterator[None]:
     """SETTINGS for queries begun inside; a query keeps what it began with."""
-    before = {k: spark.conf.get(k) for k in SETTINGS}
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
     for k, v in SETTINGS.items():
         spark.conf.set(k, v)
     try:
         yield
     finally:
         for k, v in before.items():
-            spark.conf.set(k, v)
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def ddl(df: DataFrame, columns: Sequence[str]) -> str:
