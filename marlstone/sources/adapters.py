@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import vocabulary as V
+from marlstone.sources import pieces
 
 AS_OF = "1998-06-15 00:00:00"
 SUBJECTS = ["bitcoin", "ethereum", "solana", "xrp", "temperature", "rain", "snow", "storm", "cpi inflation", "fed interest rate", "unemployment jobs", "gdp recession"]
@@ -31,7 +32,7 @@ def div(x: Column, n: int) -> Column:
 
 def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(group_key, ord, yes_price, question): order lines as legs of a basket, priced by quantity / 64."""
-    line = read(spark, sf_dir, "lineitem")
+    line = pieces.spread(read(spark, sf_dir, "lineitem"))
     order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return line.select(F.col("l_orderkey").alias("group_key"), order.alias("ord"), (F.col("l_quantity") / 64).alias("yes_price"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("question"))
 
@@ -44,7 +45,7 @@ def markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     thousandths = (k * 37) % 1000
     prices = F.format_string('["%d.%03d","%d.%03d"]', div(thousandths, 1000), thousandths % 1000, div(1000 - thousandths, 1000), (1000 - thousandths) % 1000)
     end = F.timestamp_micros((F.unix_micros(as_of()) + ((k * 29) % 240 - 24) * 3_600_000_000).cast("long"))
-    return read(spark, sf_dir, "orders").select(k.alias("ord"), k.alias("market_id"), question.alias("question"), (thousandths / F.lit(1000.0)).alias("yes_price"), prices.alias("outcome_prices"), (F.col("o_totalprice") / 5).alias("volume"), end.alias("end_date"), F.when(k % 4 != 0, k).alias("token_id"))
+    return pieces.spread(read(spark, sf_dir, "orders")).select(k.alias("ord"), k.alias("market_id"), question.alias("question"), (thousandths / F.lit(1000.0)).alias("yes_price"), prices.alias("outcome_prices"), (F.col("o_totalprice") / 5).alias("volume"), end.alias("end_date"), F.when(k % 4 != 0, k).alias("token_id"))
 
 
 def spot(spark: SparkSession) -> DataFrame:
