@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import alignment, chat, embedding_dedup, html_extract, line_dedup, lm_scoring, mixing, ngram_join, packing, quality, structure, substring_dedup, toxicity
+from marlstone.sources import pieces
 
 #: The vocabulary that packing counts tokens in; a parameter of the operator.
 VOCABULARY = "word_bpe_49k.json"
@@ -20,23 +21,28 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, which are work for every core."""
+    return pieces.spread(read(spark, sf_dir, name))
+
+
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(read(spark, sf_dir, "documents"))
+    return lm_scoring.score(texts(spark, sf_dir, "documents"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ngram_join.similar_groups(read(spark, sf_dir, "documents"))
+    out = ngram_join.similar_groups(texts(spark, sf_dir, "documents"))
     return out.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
 def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return packing.pack(texts(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.remove_lines(read(spark, sf_dir, "documents"))
+    out = line_dedup.remove_lines(texts(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", "text", "n_lines", "n_removed")
 
 
@@ -63,21 +69,21 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels").withColumn("low_quality", 1 - F.col("quality"))
-    return toxicity.score(read(spark, sf_dir, "documents"), labels)
+    return toxicity.score(texts(spark, sf_dir, "documents"), labels)
 
 
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = html_extract.extract(read(spark, sf_dir, "pages"))
+    out = html_extract.extract(texts(spark, sf_dir, "pages"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.measure(read(spark, sf_dir, "documents"))
+    out = quality.measure(texts(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_chars")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -93,11 +99,11 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return alignment.align(read(spark, sf_dir, "documents"), *map(public_tokenizers.path, ALIGNED))
+    return alignment.align(texts(spark, sf_dir, "documents"), *map(public_tokenizers.path, ALIGNED))
 
 
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring_dedup.dedup(read(spark, sf_dir, "documents"))
+    out = substring_dedup.dedup(texts(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
