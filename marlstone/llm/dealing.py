@@ -4,6 +4,9 @@ A sample of documents gives the telling terms and the main directions of their w
 Each document becomes a short vector, and a tree over a sample of the vectors cuts the
 table into shards of equal size, each cut along the widest direction of its part. A small
 share of a hash in each cut splits groups of equal vectors that are larger than a shard.
+The tree has a bounded number of leaves. Where more shards are needed, its leaves are
+regions, whose rows are sorted by Spark along the direction of the region's last cut and
+sliced into shards, so that neither the driver nor a task holds more than that tree.
 """
 
 from __future__ import annotations
@@ -12,10 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
-#: Documents that the directions are taken from, and vectors for the tree for each shard.
+#: Documents that the directions are taken from, about so many bytes of them at most, and vectors for the tree for each leaf.
 BASIS_SAMPLE = 4096
+BASIS_BYTES = 64 << 20
 TREE_SAMPLE = 32
+#: Leaves of the tree at most: 34 MB of vectors on the driver, 1 MB of cuts in tasks.
+REGIONS = 4096
+#: Shards that a task slices regions into, about; the bits that number them, and tasks, so that shards have numbers below 2**31.
+SLICED = 32
+SLICE_BITS = 11
+TASKS = 1 << 20
 WIDTH = 64
 TERMS = 1 << 16
 #: The share of the hash in a cut; vectors have length 1.
@@ -119,13 +130,15 @@ def tree(x: np.ndarray, size: np.ndarray, shards: int) -> tuple[np.ndarray, np.n
     return direction, bound, child
 
 
-def shard_of(x: np.ndarray, cuts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+def leaf_of(x: np.ndarray, cuts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The leaf of each row, and its place along the direction of the leaf's last cut."""
     direction, bound, child = cuts
-    at = np.zeros(len(x), dtype=np.int64)
+    at, place = np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=np.float32)
     while (inner := np.flatnonzero(at >= 0)).size:
         node = at[inner]
-        at[inner] = child[node, (np.einsum("ij,ij->i", x[inner], direction[node]) >= bound[node]).astype(int)]
-    return -1 - at
+        place[inner] = np.einsum("ij,ij->i", x[inner], direction[node])
+        at[inner] = child[node, (place[inner] >= bound[node]).astype(int)]
+    return -1 - at, place
 
 
 def as_ids(column: pa.Array) -> list[np.ndarray]:
@@ -144,13 +157,35 @@ def vector_rows(idf: np.ndarray, directions: np.ndarray):
     return run
 
 
-def shard_rows(idf: np.ndarray, directions: np.ndarray, cuts: tuple):
-    """(doc_id, ids, spread) to (doc_id, ids, shard)."""
+def leaf_rows(idf: np.ndarray, directions: np.ndarray, cuts: tuple, place: bool = False):
+    """(doc_id, ids, spread, size) to (doc_id, ids, shard), or with ``place`` to (doc_id, ids, size, region, place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                shard = shard_of(vectors(as_ids(b.column(1)), b.column(2).to_numpy(), idf, directions), cuts)
-                yield pa.record_batch([b.column(0), b.column(1), pa.array(shard)], names=["doc_id", "ids", "shard"])
+                leaf, at = leaf_of(vectors(as_ids(b.column(1)), b.column(2).to_numpy(), idf, directions), cuts)
+                if place:
+                    yield pa.record_batch([b.column(0), b.column(1), b.column(3), pa.array(leaf), pa.array(at)], names=["doc_id", "ids", "size", "region", "place"])
+                else:
+                    yield pa.record_batch([b.column(0), b.column(1), pa.array(leaf)], names=["doc_id", "ids", "shard"])
+
+    return run
+
+
+def slice_rows(shard_bytes: int):
+    """(doc_id, ids, size, region, ...), sorted by region and place, to (doc_id, ids, shard): a shard is full at that size and lies in one region."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, made, filled, last = TaskContext.get().partitionId() << SLICE_BITS, -1, 0, None
+        for b in batches:
+            shard = []
+            for size, region in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if region != last or filled >= shard_bytes:
+                    made, filled, last = made + 1, 0, region
+                filled += size
+                shard.append(first + made)
+            if made >> SLICE_BITS:
+                raise ValueError(f"a task of {made + 1} shards; their numbers would meet those of the next")
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(shard, type=pa.int64())], names=["doc_id", "ids", "shard"])
 
     return run

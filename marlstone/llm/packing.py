@@ -168,24 +168,32 @@ def pack_shard(window: int):
     return run
 
 
-def deal(coded: DataFrame, shards: int) -> DataFrame:
+def deal(coded: DataFrame, shards: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Add ``shard`` to rows of doc_id, ids, size and place, by content; equal texts are told apart by id, without one by place."""
     if shards == 1:
         return coded.select("doc_id", "ids", F.lit(0).cast("long").alias("shard"))
     spread = (F.pmod(F.xxhash64("doc_id", "ids", "place"), F.lit(1 << 20)) / F.lit(1 << 20)).alias("spread")
-    n = coded.count()
+    n, total = coded.agg(F.count(F.lit(1)), F.sum("size")).first()
+    leaves = min(shards, dealing.REGIONS)
 
-    def sample(most: int, seed: int) -> DataFrame:
+    def sample(most: int, seed: int, share: float = 1.0) -> DataFrame:
         # half as many again are drawn, so that chance leaves enough
-        return coded.where(F.pmod(F.xxhash64("ids", "doc_id", "place", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, 1.5 * most / n) * (1 << 30)))
+        return coded.where(F.pmod(F.xxhash64("ids", "doc_id", "place", F.lit(seed)), F.lit(1 << 30)) < int(min(share, 1.5 * most / n) * (1 << 30)))
 
-    drawn = sample(dealing.BASIS_SAMPLE, 1).select("ids").limit(dealing.BASIS_SAMPLE).collect()
+    drawn = sample(dealing.BASIS_SAMPLE, 1, min(1.0, dealing.BASIS_BYTES / total)).select("ids").limit(dealing.BASIS_SAMPLE).collect()
     drawn = drawn or coded.select("ids").limit(1).collect()
     idf, directions = dealing.basis([np.frombuffer(r["ids"], dtype=np.uint16) for r in drawn])
-    points = sample(dealing.TREE_SAMPLE * shards, 2).select("ids", spread, "size").mapInArrow(dealing.vector_rows(idf, directions), "vector binary, size long").toArrow()
+    points = sample(dealing.TREE_SAMPLE * leaves, 2).select("ids", spread, "size").mapInArrow(dealing.vector_rows(idf, directions), "vector binary, size long").toArrow()
     x = np.frombuffer(b"".join(points.column("vector").to_pylist()), dtype=np.float32).reshape(-1, dealing.WIDTH + 1)
-    cuts = dealing.tree(x, points.column("size").to_numpy().astype(np.float64), shards)
-    return coded.select("doc_id", "ids", spread).mapInArrow(dealing.shard_rows(idf, directions, cuts), "doc_id long, ids binary, shard long")
+    cuts = dealing.tree(x, points.column("size").to_numpy().astype(np.float64), leaves)
+    rows = coded.select("doc_id", "ids", spread, "size")
+    if leaves == shards:
+        return rows.mapInArrow(dealing.leaf_rows(idf, directions, cuts), "doc_id long, ids binary, shard long")
+    # more shards than the tree has leaves: each leaf is a region, sliced along its last cut
+    placed = rows.mapInArrow(dealing.leaf_rows(idf, directions, cuts, place=True), "doc_id long, ids binary, size long, region long, place float")
+    order = ["region", "place", "doc_id"]
+    sorted_ = placed.repartitionByRange(min(-(-shards // dealing.SLICED), dealing.TASKS), *order).sortWithinPartitions(*order, "ids")
+    return sorted_.mapInArrow(dealing.slice_rows(shard_bytes), "doc_id long, ids binary, shard long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -201,5 +209,5 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_bytes
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     coded = scratch.table(own.mapInArrow(encode_rows(tokenizer_path), "doc_id long, ids binary, size long, place long"), "packing-ids")
     total = coded.agg(F.sum("size").alias("n")).first()["n"] or 0
-    dealt = deal(coded, max(1, -(-total // shard_bytes)))
+    dealt = deal(coded, max(1, -(-total // shard_bytes)), shard_bytes)
     return dealt.groupBy("shard").applyInArrow(pack_shard(window), SCHEMA)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import embedding_dedup, lm_scoring, ngram_join, packing, textkit, toxicity
+from marlstone.llm import dealing, embedding_dedup, lm_scoring, ngram_join, packing, textkit, toxicity
 from marlstone.llm.components import components
 
 try:
@@ -235,6 +235,26 @@ def test_packing_meets_neighbours_across_the_table(docs):
     assert alike > 0.8 * sum(n for own in by.values() for _, n in own[1:])
 
 
+@needs_vocabulary
+def test_packing_slices_regions_beyond_the_tree(docs, monkeypatch):
+    """More shards than the tree has leaves: the same guarantees, and related documents still meet."""
+    monkeypatch.setattr(dealing, "REGIONS", 2)
+    monkeypatch.setattr(dealing, "SLICED", 4)
+    rng = random.Random(8)
+    words = [[f"{chr(97 + t)}{rng.choice('aeiou')}{chr(97 + rng.randrange(26))}{k}" for k in range(60)] for t in range(4)]
+    texts = [None, "", *(" ".join(rng.choices(words[k % 4], k=90)) for k in range(2, 300)), *["one text that all of these share " * 9] * 200]
+    size = sum(len(t or "") for t in texts) + 16 * len(texts)
+    rows = packing.pack(docs(*texts), VOCABULARY, shard_bytes=size // 16).collect()
+    room = check_pieces(rows, dict(enumerate(texts)))
+    loads, kinds = collections.Counter(), collections.defaultdict(collections.Counter)
+    for r in rows:
+        loads[r["sequence_id"] >> 32] += len(texts[r["doc_id"]] or "") + 16 if not r["start"] else 0
+        kinds[r["sequence_id"] >> 32][4 if r["doc_id"] >= 300 else r["doc_id"] % 4] += 1
+    assert len(loads) >= 16 and max(loads.values()) < 1.2 * (size // 16) + 1000
+    assert sum(n < 2048 for n in room.values()) <= len(loads)
+    assert sum(max(c.values()) for c in kinds.values()) > 0.6 * len(rows)
+
+
 @needs_vocabulary
 def test_packing_splits_a_group_of_copies(docs):
     texts = ["one text that all of these share"] * 300 + [f"other {k} text" for k in range(100)]
