@@ -67,6 +67,24 @@ def test_names_in_texts(spark):
     assert names.containing(spark.createDataFrame(texts, "id long, t string"), "t", spark.createDataFrame([], "n string"), "n").count() == 0
 
 
+def test_names_of_many_lengths(spark):
+    """Texts twice over, names with a copy, pieces that repeat in a text; whole names and pieces of them give the same."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("ab\u00e9\U0001f600") for _ in range(n))
+    texts = [(k % 70, t) for k, t in enumerate([word(rng.randint(0, 40)) for _ in range(70)] * 2)] + [(99, "")]
+    wanted = [(word(n), k) for n in range(1, 13) for k in range(6)] + [("ab", 50), ("ab", 51), ("abab", 52)]
+    left, right = spark.createDataFrame(texts, "id long, t string"), spark.createDataFrame(wanted, "n string, m long")
+    want = sorted((i, t, n, m) for i, t in texts for n, m in wanted if n in t)
+    for most in (names.LENGTHS, 99):
+        assert sorted(map(tuple, names.containing(left, "t", right, "n", most_lengths=most).collect())) == want and len(want) > 500
+
+
+def test_few_pieces_of_texts_reach_the_join(spark):
+    texts = spark.range(500).select("id", F.concat(F.lit("Will it be above $"), (F.col("id") * 977).cast("string"), F.lit("?")).alias("t"))
+    wanted = spark.range(100).select(F.concat(F.lit("$"), (F.col("id") * 977 * 5).cast("string")).alias("__piece"))
+    assert names.text_pieces(texts, "t", wanted).count() < 500  # of more than 25,000
+
+
 def test_a_hundred_thousand_names(spark):
     key = lambda k: "".join(string.ascii_lowercase[k // 26**p % 26] for p in range(5))
     stations = spark.range(100_000).select(F.concat(F.lit("station "), F.col("id").cast("string")).alias("city"), F.col("id").cast("string").alias("station_id"), F.concat(F.lit("town"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("alias"))
