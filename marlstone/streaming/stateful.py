@@ -7,6 +7,7 @@ again goes on with it. ``held`` reads the state as a table.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
@@ -104,15 +105,58 @@ class History(StatefulProcessor):
         pass
 
 
-def first_seen(stream: DataFrame, key: str, id_: str, by: Sequence[str], most: int = 50, within_ms: int | None = None) -> DataFrame:
+class Newest(StatefulProcessor):
+    """Of each key its newest rows; all rows pass, or with ``tell`` off none."""
+
+    def __init__(self, schema: str, columns: Sequence[str], by: Sequence[str], most: int, tell: bool = True):
+        self.schema, self.columns, self.by, self.most, self.tell = schema, list(columns), list(by), most, tell
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getListState("newest", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        places = [self.columns.index(c) for c in self.by]
+        order = lambda r: tuple((r[p] is not None, r[p]) for p in places)
+        held = [(order(r), n, r) for n, r in enumerate(map(tuple, self.newest.get()))]
+        for n, row in enumerate(rows, len(held)):
+            # rows may be many: no more than twice the history is held at a time
+            held.append((order(row), n, tuple(row)))
+            if len(held) > 2 * self.most:
+                held = heapq.nsmallest(self.most, held, key=_Last)
+            if self.tell:
+                yield row
+        self.newest.put([r for *_, r in heapq.nsmallest(self.most, held, key=_Last)])
+
+    def close(self) -> None:
+        pass
+
+
+class _Last:
+    """The highest order first, of equal ones the row that came first."""
+
+    def __init__(self, row: tuple):
+        self.row = row
+
+    def __lt__(self, other) -> bool:
+        return self.row[0] > other.row[0] or (self.row[0] == other.row[0] and self.row[1] < other.row[1])
+
+
+def first_seen(stream: DataFrame, key: str, id_: str, by: Sequence[str], most: int = 50, within_ms: int | None = None, tell: bool = True) -> DataFrame:
     """Rows whose id is new to their key, each once; an id counts as new again ``within_ms`` after it was seen.
 
     Each key keeps its ``most`` newest rows by ``by`` beside the ids (state ``newest``), which
-    is no more than that many rows; ids are bounded by the time that they are kept.
+    is no more than that many rows; ids are bounded by the time that they are kept. Ids that
+    are kept for good are Spark's own deduplication, dealt by key and id, and the history has
+    a state of its own behind it; of several rows of an id in one batch any may pass. With
+    ``most`` 0 there is no history, and with ``tell`` off the history alone is kept: no row
+    is handed on.
     """
     schema = ddl(stream, stream.columns)
+    if not within_ms:
+        fresh = stream.dropDuplicates([key, id_])
+        return fresh.groupBy(key).transformWithState(Newest(schema, stream.columns, by, most, tell), schema, "Append", "None") if most else fresh
     processor = History(schema, stream.columns, id_, ddl(stream, [id_]), by, most, within_ms)
-    return stream.groupBy(key).transformWithState(processor, schema, "Append", "ProcessingTime" if within_ms else "None")
+    return stream.groupBy(key).transformWithState(processor, schema, "Append", "ProcessingTime")
 
 
 class Subscribed(StatefulProcessor):
@@ -173,7 +217,8 @@ def held(spark: SparkSession, at: str, state: str, kind: str | None = None) -> D
     if kind == "list":
         reader = reader.option("flattenCollectionTypes", True)
     with keyed_store(spark):
-        return reader.load(f"{at}/progress")
+        operators = spark.read.format("state-metadata").load(f"{at}/progress").where("operatorName like 'transformWithState%'")
+        return reader.option("operatorId", operators.agg(F.min("operatorId")).first()[0]).load(f"{at}/progress")  # one number
 
 
 def drain_latest(stream: DataFrame, keys: Sequence[str], by: Sequence[str], at: str) -> DataFrame:

@@ -41,6 +41,23 @@ def test_seen_ids_and_bounded_history(spark, tmp_path):
     assert sorted((r["k"], r["id"]) for r in newest.collect()) == [("a", 37), ("a", 38), ("a", 39), ("b", 1), ("b", 2)]  # three of a key at most
 
 
+def test_seen_ids_are_no_calls_of_their_own(spark, tmp_path):
+    """A key with many ids, told again in later batches, after a restart too: none by one asks Python's state."""
+    path, at = f"{tmp_path}/in", f"{tmp_path}/at"
+    rows = [("a", i, i // 2 if i % 7 else None, f"v{i}") for i in range(3000)] + [(None, 5, 1, "n"), (None, None, 2, "n")]
+    for part in (rows[:1500] + rows[:700], rows, rows[-900:]):
+        out = stateful.drain(stateful.first_seen(add(spark, path, part), "k", "id", ["ts", "id"], 4), at)
+    assert sorted(((r["k"], r["id"], r["ts"], r["v"]) for r in out.collect()), key=repr) == sorted(rows, key=repr)
+    newest = stateful.held(spark, at, "newest", "list").select("list_element.*").collect()
+    assert sorted((r["k"] or "", r["id"] or 0) for r in newest) == [("", 0), ("", 5), *(("a", i) for i in range(2995, 3000) if i % 7)][:6]
+    silent = f"{tmp_path}/silent"
+    assert stateful.drain(stateful.first_seen(feeds.files(spark, path, FRAME, 100), "k", "id", ["ts", "id"], 4, tell=False), silent).count() == 0
+    assert stateful.held(spark, silent, "newest", "list").count() == 6
+    assert stateful.drain(stateful.first_seen(feeds.files(spark, path, FRAME, 100), "k", "id", ["ts", "id"], 0), f"{tmp_path}/none").count() == len(rows)
+    told = spark.read.format("state-metadata").load(f"{at}/progress").select("operatorName").collect()
+    assert {r[0] for r in told} >= {"dedupe"}  # ids are held by Spark's own deduplication
+
+
 def test_seen_ids_expire(spark, tmp_path):
     path, at = f"{tmp_path}/in", f"{tmp_path}/at"
     run = lambda rows: stateful.drain(stateful.first_seen(add(spark, path, rows), "k", "id", ["ts"], 3, within_ms=3000), at).count()
