@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from marlstone.functions import vocabulary as V
 from marlstone.operators import ledger, markets
 from marlstone.plans import scans
-from marlstone.sources import schemas
+from marlstone.sources import schemas, scratch
 from marlstone.sources.manifests import Conflict, Manifests
 
 TRADES = "batch long, ord long, market_id string, direction string, price double, size double"
@@ -63,13 +63,15 @@ def run(store: Store, batch: int, signals: DataFrame, as_of) -> bool:
     """One cycle over ``signals``, which have ord, market_id, direction, market_prob and net_edge; False where the batch was run before.
 
     Opportunities whose id is stored already are left out. At most three signals are traded;
-    their sizes follow from the balance that the cycle begins with.
+    their sizes follow from the balance that the cycle begins with. The scan that gives the
+    signals runs once: they are a table before they are stored and traded.
     """
     if batch in store.commits.numbers():
         return False
     settings = store.settings(batch)
     balance = float(settings.get("paper_balance") or 0)
-    fresh = scans.stored(signals, as_of).dropDuplicates(["id"])
+    signals = scratch.table(signals, "signals")
+    fresh = scratch.table(scans.stored(signals, as_of).dropDuplicates(["id"]), "opportunities")
     fresh = markets.unseen_of_many(fresh, store.read("opportunities", batch), ["id"])
     on = lambda key: settings.get(key) == "true"
     placed = ledger.intents(signals, balance, float(settings.get("max_position") or 50), float(settings.get("min_edge") or 1.5), on("paper_enabled"), on("scan_active"))

@@ -178,6 +178,18 @@ def test_cycles_commit_whole(spark, tmp_path):
     assert store.settings(1)["paper_balance"] == "940.0"
 
 
+def test_a_cycle_scans_once(spark, tmp_path):
+    store, as_of, scanned = cycles.Store(spark, str(tmp_path)), F.to_timestamp(F.lit("2024-01-10 00:00:00")), spark.sparkContext.accumulator(0)
+
+    def told(x):
+        scanned.add(1)
+        return x
+
+    scan = signals(spark, 0, 40).withColumn("market_prob", F.udf(told, "double").asNondeterministic()("market_prob"))
+    assert cycles.run(store, 0, scan, as_of) and scanned.value == 40
+    assert store.read("opportunities").count() == 40 and store.read("trades").count() == 3
+
+
 def test_a_cycle_in_a_stream(spark, tmp_path):
     """Batches of a stream as cycles; started anew after a stop it goes on, and a batch handed over twice counts once."""
     store, as_of = cycles.Store(spark, f"{tmp_path}/store"), F.to_timestamp(F.lit("2024-01-10 00:00:00"))
